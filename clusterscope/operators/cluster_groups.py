@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from ..config import (AP_CONVERGENCE_ITER, AP_DAMPING, AP_MAX_ITER, DBSCAN_EPS, DBSCAN_MIN_SAMPLES,
                       HDBSCAN_MIN_CLUSTER_SIZE, HDBSCAN_MIN_SAMPLES, LINKAGE_DEFAULT_METHOD,
                       LINKAGE_DEPTH, LINKAGE_T)
@@ -433,4 +434,5 @@ def grouped_labels(hits: DataFrame, dist: DataFrame, alg: Column) -> DataFrame:
                         F.lit(0.0).alias("d"), alg.alias("cluster_alg"))
     pairs = dist.select("query_id", "rank_a", "rank_b", "d", alg.alias("cluster_alg"))
     rows = selfs.unionByName(pairs)
+    ship_package(hits.sparkSession)
     return rows.groupBy("query_id").applyInPandas(_group_fn, schema=LABEL_SCHEMA)

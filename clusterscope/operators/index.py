@@ -73,23 +73,32 @@ def bm25(tf, df, dl, n_docs, avgdl, k1: float = BM25_K1, b: float = BM25_B):
     return idf * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * dl / avgdl))
 
 
-def build_impacts(fields: DataFrame, postings: DataFrame | None = None,
-                  k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+def build_impacts(fields: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """Q3: ``impacts(domain, term, page_id, s_title, s_plaintext, s_fulltext)``.
 
-    Document frequencies come from an aggregate joined back on
-    ``(domain, field, term)`` rather than a window, so a term present in a
-    third of all pages is one aggregated row plus a skew-split join (AQE),
-    never one giant window partition.
+    One aggregation on ``(domain, term, page_id)`` (combined map-side) yields
+    the tf and length of every field; document frequencies come from a second,
+    map-side-combined aggregate on ``(domain, term)`` joined back — a term
+    present in a third of all pages is one aggregated row plus a skew-split
+    join (AQE), never one giant window partition.  Field statistics are one
+    row per site (broadcast once AQE has measured them).
     """
-    p = postings if postings is not None else build_postings(fields, with_positions=False)
-    p = p.select("domain", "field", "term", "page_id", "tf", "dl")
-    scored = (p.join(term_stats(p), ["domain", "field", "term"])
-              .join(field_stats(fields), ["domain", "field"])
-              .select("domain", "term", "page_id", "field",
-                      bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n_docs"), F.col("avgdl"),
-                           k1, b).alias("s")))
-    return scored.groupBy("domain", "term", "page_id").agg(*[
-        F.coalesce(F.max(F.when(F.col("field") == f, F.col("s"))), F.lit(0.0)).alias(f"s_{f}")
-        for f in SEARCH_FIELDS
+    t = field_tokens(fields)
+    tf = t.groupBy("domain", "term", "page_id").agg(*[
+        a for f in SEARCH_FIELDS for a in (
+            F.count(F.when(F.col("field") == f, 1)).alias(f"tf_{f}"),
+            F.max(F.when(F.col("field") == f, F.col("dl"))).alias(f"dl_{f}"))
+    ])
+    df = tf.groupBy("domain", "term").agg(*[
+        F.count(F.when(F.col(f"tf_{f}") > 0, 1)).alias(f"df_{f}") for f in SEARCH_FIELDS])
+    fs = field_stats(fields).groupBy("domain").agg(*[
+        a for f in SEARCH_FIELDS for a in (
+            F.max(F.when(F.col("field") == f, F.col("n_docs"))).alias(f"n_{f}"),
+            F.max(F.when(F.col("field") == f, F.col("avgdl"))).alias(f"avgdl_{f}"))
     ])
+    j = tf.join(df, ["domain", "term"]).join(fs, "domain")
+    return j.select("domain", "term", "page_id", *[
+        F.when(F.col(f"tf_{f}") > 0,
+               bm25(F.col(f"tf_{f}"), F.col(f"df_{f}"), F.col(f"dl_{f}"), F.col(f"n_{f}"),
+                    F.col(f"avgdl_{f}"), k1, b)).otherwise(F.lit(0.0)).alias(f"s_{f}")
+        for f in SEARCH_FIELDS])

@@ -43,26 +43,37 @@ def _is_ignored(tok: Column, domain_words: Column) -> Column:
     return tok.isin(*ENGLISH_STOPWORDS, *PUNCTUATION) | F.array_contains(domain_words, tok)
 
 
-def cluster_phrases(hits: DataFrame, cluster_ids: DataFrame, fields: DataFrame,
-                    max_chars: int = RAKE_MAX_CHARS) -> DataFrame:
-    """Distinct candidate phrases ``(query_id, cluster_id, phrase)``."""
+def cluster_texts(hits: DataFrame, cluster_ids: DataFrame, fields: DataFrame,
+                  max_chars: int = RAKE_MAX_CHARS) -> DataFrame:
+    """``(query_id, cluster_id, domain, text)`` — the first ``max_chars``
+    characters of each member's text, newline-joined in hit order.  A cluster
+    holds at most k members, so a text is at most k x ``max_chars``."""
     mem = (hits.select("query_id", "domain", "rank", "page_id")
            .join(cluster_ids, ["query_id", "rank"])
            .join(fields.select("domain", "page_id", "plaintext"), ["domain", "page_id"]))
-    toks = mem.select(
-        "query_id", "cluster_id", "rank", domain_stopwords(F.col("domain")).alias("dw"),
-        F.posexplode(rake_tokens(F.substring(F.coalesce("plaintext", F.lit("")), 1, max_chars)))
-        .alias("pos", "tok"))
-    toks = toks.withColumn("stop", _is_ignored(F.col("tok"), F.col("dw")).cast("int"))
-    # islands between ignored tokens; the window holds one cluster's label text
-    w = (Window.partitionBy("query_id", "cluster_id").orderBy("rank", "pos")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    toks = toks.withColumn("island", F.sum("stop").over(w))
-    words = toks.where("stop = 0").groupBy("query_id", "cluster_id", "island").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "pos", "tok"))).alias("ws"))
-    phrases = words.select("query_id", "cluster_id",
-                           F.array_join(F.transform("ws", lambda x: x["tok"]), " ").alias("phrase"))
-    return phrases.distinct()
+    mem = mem.select("query_id", "cluster_id", "domain", "rank",
+                     F.substring(F.coalesce("plaintext", F.lit("")), 1, max_chars).alias("txt"))
+    g = mem.groupBy("query_id", "cluster_id", "domain").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "txt"))).alias("parts"))
+    return g.select("query_id", "cluster_id", "domain",
+                    F.array_join(F.transform("parts", lambda x: x["txt"]), "\n").alias("text"))
+
+
+def cluster_phrases(hits: DataFrame, cluster_ids: DataFrame, fields: DataFrame,
+                    max_chars: int = RAKE_MAX_CHARS) -> DataFrame:
+    """Distinct candidate phrases ``(query_id, cluster_id, phrase)``.
+
+    Inside the row: ignored tokens become empty strings, tokens are joined by
+    single spaces, so an ignored token shows as a run of two or more spaces;
+    splitting there and trimming gives the phrases.  Tokens never contain
+    spaces, so this is exact."""
+    t = cluster_texts(hits, cluster_ids, fields, max_chars)
+    dw = domain_stopwords(F.col("domain"))
+    marked = F.transform(rake_tokens(F.col("text")),
+                         lambda tok: F.when(_is_ignored(tok, dw), F.lit("")).otherwise(tok))
+    parts = F.transform(F.split(F.array_join(marked, " "), " {2,}"), lambda p: F.trim(p))
+    phrases = F.array_distinct(F.filter(parts, lambda p: p != ""))
+    return t.select("query_id", "cluster_id", F.explode(phrases).alias("phrase"))
 
 
 def phrase_scores(phrases: DataFrame) -> DataFrame:
