@@ -49,5 +49,5 @@ def rank_clusters(clusters: DataFrame, rank_alg: str | None = None) -> DataFrame
         for name, col in RANK_METRICS.items():
             metric = F.when(F.lower(F.coalesce(F.col("rank_alg"), F.lit("max_score"))) == name,
                             F.col(col)).otherwise(metric)
-    w = Window.partitionBy("query_id").orderBy(metric.desc(), F.col("first_rank").asc())
+    w = Window.partitionBy("query_id").orderBy(F.round(metric, 9).desc(), F.col("first_rank").asc())
     return clusters.withColumn("cluster_rank", F.row_number().over(w))

@@ -60,7 +60,9 @@ def top_k(scores: DataFrame, k: int = TOP_K) -> DataFrame:
     ``row_number() <= k`` is planned as a WindowGroupLimit, so each map task
     keeps only its own top k per query before the shuffle.
     """
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("page_id"))
+    # ranked on the score rounded to 9 places: exactly tied pages (copies) must
+    # not be reordered by float summation order
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.asc("page_id"))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -1,7 +1,328 @@
-"""Independent DuckDB SQL for the registered jobs (the correctness oracle)."""
+"""Independent DuckDB SQL for the registered jobs (the correctness oracle).
+
+Written from the operator definitions, not from the Spark plans: the pair
+similarity is the literal per-pair TF-IDF (full outer join of the two term
+vectors, idf from the pair's own document frequencies) rather than the
+closed form; DBSCAN is a recursive reachability CTE; RAKE is scored from its
+phrase/word counts.  Views ``pages`` and ``benchmark`` / ``conversations``
+are the driver's tables.
+"""
 
 from __future__ import annotations
 
+from ..config import (BLOCK_TAGS, ENGLISH_STOPWORDS, FIELD_BOOSTS, HTML_ENTITIES, PUNCTUATION,
+                      SEARCH_FIELDS, SIM_FIELDS, SIM_WEIGHTS, TEXT_TAGS)
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _unescape(x: str) -> str:
+    for ent, ch in HTML_ENTITIES:
+        x = f"replace({x}, {_q(ent)}, {_q(ch)})"
+    return x
+
+
+SCRIPT = r"(?is)<script(?:[ \t\r\n\f][^>]*)?>.*?</script[ \t\r\n\f]*>"
+STYLE = r"(?is)<style(?:[ \t\r\n\f][^>]*)?>.*?</style[ \t\r\n\f]*>"
+HEAD = r"(?is)<head(?:[ \t\r\n\f][^>]*)?>.*?</head[ \t\r\n\f]*>"
+BLOCK = r"(?i)<(/?(?:" + "|".join(BLOCK_TAGS) + r"))([ \t\r\n\f/>])"
+TEXTSEG = r"(?i)^<(?:" + "|".join(TEXT_TAGS) + r")[ \t\r\n\f/>]"
+TITLE = r"(?is)<title(?:[ \t\r\n\f][^>]*)?>(.*?)</title[ \t\r\n\f]*>"
+SIM_TOK = r"[\p{L}\p{N}_]{2,}"
+SEARCH_TOK = r"[\p{L}\p{N}]+"
+RAKE_TOK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]+"
+
+
+def fields_cte() -> str:
+    """CTE ``fields``: page fields (P2, P6-P11) straight from ``pages``."""
+    clean = (f"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), "
+             f"{_q(SCRIPT)}, '', 'g'), {_q(STYLE)}, '', 'g')")
+    seg = (f"list_transform(list_filter(string_split(regexp_replace(clean, {_q(BLOCK)}, "
+           f"chr(1) || '<\\1\\2', 'g'), chr(1)), lambda s: regexp_matches(s, {_q(TEXTSEG)})), "
+           f"lambda s: regexp_replace(s, '<[^>]*>', chr(10), 'g'))")
+    pt = _unescape(f"array_to_string({seg}, chr(10))")
+    pt = f"regexp_replace({pt}, '[ \\t\\r\\n\\f]*\\n[ \\t\\r\\n\\f]*', chr(10), 'g')"
+    pt = f"regexp_replace({pt}, '^\\n+|\\n+$', '', 'g')"
+    ft = f"regexp_replace(clean, {_q(HEAD)}, '', 'g')"
+    ft = f"regexp_replace({ft}, '(?i)<a[ \\t\\r\\n\\f][^>]*href=\"([^\"]*)\"[^>]*>', ' \\1 ', 'g')"
+    ft = f"regexp_replace({ft}, '(?i)<img[ \\t\\r\\n\\f][^>]*alt=\"([^\"]*)\"[^>]*>', ' \\1 ', 'g')"
+    ft = _unescape(f"regexp_replace({ft}, '<[^>]*>', ' ', 'g')")
+    ft = f"trim(regexp_replace({ft}, '[ \\t\\r\\n\\f]+', ' ', 'g'))"
+    traw = f"regexp_extract(clean, {_q(TITLE)}, 1)"
+    return f"""
+pg0 AS (
+  SELECT page_id, url, html, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS netloc FROM pages),
+pg1 AS (
+  SELECT *, regexp_extract(lower(regexp_replace(regexp_replace(netloc, '^[^@]*@', ''), ':[0-9]*$', '')),
+                           '([^.]+\\.[^.]+)$', 1) AS domain FROM pg0),
+pg2 AS (
+  SELECT domain, page_id, url, {clean} AS clean FROM pg1 WHERE strpos(netloc, domain) > 0),
+pg3 AS (
+  SELECT domain, page_id, url, md5(url) AS url_hash,
+    CASE WHEN strpos(url, domain) > 0 THEN substr(url, strpos(url, domain) + 1) ELSE url END AS ut,
+    CASE WHEN NOT regexp_matches(clean, '(?i)<title[ \\t\\r\\n\\f/>]') THEN url
+         WHEN {traw} = '' OR strpos({traw}, '<') > 0 THEN NULL
+         ELSE {_unescape(traw)} END AS title,
+    {pt} AS plaintext,
+    {ft} AS fulltext,
+    row_number() OVER (PARTITION BY domain, url ORDER BY page_id) AS rn
+  FROM pg2),
+fields AS (
+  SELECT domain, page_id, url, url_hash, CASE WHEN ut = '' THEN ' ' ELSE ut END AS url_text,
+         title, plaintext, fulltext
+  FROM pg3 WHERE rn = 1)"""
+
+
+def index_ctes() -> str:
+    """CTEs ``toks`` (search tokens with positions), ``fstats``, ``impacts``."""
+    unions = " UNION ALL ".join(
+        f"SELECT domain, page_id, '{f}' AS field, regexp_extract_all(lower(coalesce({f}, '')), "
+        f"{_q(SEARCH_TOK)}, 0) AS t FROM fields" for f in SEARCH_FIELDS)
+    bm = []
+    for f in SEARCH_FIELDS:
+        bm.append(f"""coalesce(max(CASE WHEN p.field = '{f}' THEN
+            ln(1 + (s.n_docs - d.df + 0.5) / (d.df + 0.5)) * (p.tf * 2.2) /
+            (p.tf + 1.2 * (0.25 + 0.75 * p.dl / s.avgdl)) END), 0.0) AS s_{f}""")
+    return f"""
+ftok AS ({unions}),
+toks AS (
+  SELECT domain, page_id, field, len(t) AS dl, unnest(t) AS term, unnest(range(len(t))) AS pos FROM ftok),
+post AS (
+  SELECT domain, field, term, page_id, count(*) AS tf, max(dl) AS dl FROM toks
+  GROUP BY domain, field, term, page_id),
+fstats AS (
+  SELECT domain, field, count(*) AS n_docs, avg(len(t)) AS avgdl FROM ftok WHERE len(t) > 0
+  GROUP BY domain, field),
+dfs AS (SELECT domain, field, term, count(*) AS df FROM post GROUP BY domain, field, term),
+impacts AS (
+  SELECT p.domain, p.term, p.page_id, {", ".join(bm)}
+  FROM post p JOIN dfs d USING (domain, field, term) JOIN fstats s USING (domain, field)
+  GROUP BY p.domain, p.term, p.page_id)"""
+
+
+def hits_ctes(query_source: str = "bench") -> str:
+    """CTEs ``qs`` (queries), ``hits`` (top 10 per query and site)."""
+    if query_source == "bench":
+        qs = "SELECT 'b' || CAST(item_id AS VARCHAR) AS base_id, text AS query FROM benchmark"
+    else:
+        qs = ("SELECT 'c' || CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS base_id, "
+              "text AS query FROM conversations WHERE role = 'user'")
+    best = ", ".join(f"{float(FIELD_BOOSTS[f])} * i.s_{f}" for f in SEARCH_FIELDS)
+    return f"""
+qs AS ({qs}),
+qt AS (
+  SELECT base_id, term, count(*) AS qtf FROM (
+    SELECT base_id, unnest(regexp_extract_all(lower(query), {_q(SEARCH_TOK)}, 0)) AS term FROM qs)
+  GROUP BY base_id, term),
+sc AS (
+  SELECT qt.base_id || '@' || i.domain AS query_id, qt.base_id, i.domain, i.page_id,
+         sum(qt.qtf * greatest({best})) AS score
+  FROM qt JOIN impacts i USING (term)
+  GROUP BY 1, 2, 3, 4),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, page_id) AS rank FROM sc),
+hits AS (
+  SELECT r.query_id, r.base_id, r.domain, CAST(r.rank AS INTEGER) AS rank, r.page_id, f.url, f.title, r.score
+  FROM ranked r JOIN fields f USING (domain, page_id) WHERE r.rank <= 10)"""
+
+
+def sim_ctes() -> str:
+    """CTEs ``sims`` (the four per-pair TF-IDF cosines of hit pairs) and
+    ``dist`` (weighted distance of every hit pair, 1.0 when absent)."""
+    src = {"url": "url_text", "title": "title", "fulltext": "fulltext", "plaintext": "plaintext"}
+    vec_union = " UNION ALL ".join(
+        f"SELECT domain, page_id, '{f}' AS field, unnest(regexp_extract_all(lower({src[f]}), "
+        f"{_q(SIM_TOK)}, 0)) AS term FROM fields WHERE {src[f]} IS NOT NULL" for f in SIM_FIELDS)
+    cnt = " + ".join(f"(CASE WHEN {src[f]} IS NOT NULL AND len(regexp_extract_all(lower({src[f]}), "
+                     f"{_q(SIM_TOK)}, 0)) > 0 THEN 0 ELSE 0 END)" for f in SIM_FIELDS)
+    del cnt
+    ntok = ", ".join(f"len(regexp_extract_all(lower(coalesce({src[f]}, '')), {_q(SIM_TOK)}, 0)) AS k_{f}"
+                     for f in SIM_FIELDS)
+    valid = " AND ".join(f"(a.k_{f} > 0 OR b.k_{f} > 0)" for f in SIM_FIELDS)
+    pivot = ", ".join(f"coalesce(max(CASE WHEN field = '{f}' THEN sim END), 0.0) AS {f}_sim_score"
+                      for f in SIM_FIELDS)
+    wsum = " + ".join(f"{SIM_WEIGHTS[f]} * s.{f}_sim_score" for f in SIM_FIELDS)
+    return f"""
+vec AS (
+  SELECT domain, page_id, field, term, count(*) AS tf FROM ({vec_union}) GROUP BY ALL),
+pinfo AS (
+  SELECT domain, page_id, title IS NOT NULL AS title_ok, {ntok} FROM fields),
+hp AS (
+  SELECT a.query_id, a.rank AS rank_a, b.rank AS rank_b, a.url AS url_a, b.url AS url_b,
+         a.domain, a.page_id AS pa, b.page_id AS pb
+  FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.rank < b.rank
+  JOIN pinfo x ON x.domain = a.domain AND x.page_id = a.page_id
+  JOIN pinfo y ON y.domain = b.domain AND y.page_id = b.page_id
+  WHERE x.title_ok AND y.title_ok AND {valid.replace('a.k_', 'x.k_').replace('b.k_', 'y.k_')}),
+va AS (SELECT hp.query_id, hp.rank_a, hp.rank_b, v.field, v.term, v.tf
+       FROM hp JOIN vec v ON v.domain = hp.domain AND v.page_id = hp.pa),
+vb AS (SELECT hp.query_id, hp.rank_a, hp.rank_b, v.field, v.term, v.tf
+       FROM hp JOIN vec v ON v.domain = hp.domain AND v.page_id = hp.pb),
+pv AS (
+  SELECT coalesce(va.query_id, vb.query_id) AS query_id, coalesce(va.rank_a, vb.rank_a) AS rank_a,
+         coalesce(va.rank_b, vb.rank_b) AS rank_b, coalesce(va.field, vb.field) AS field,
+         coalesce(va.tf, 0) AS tf1, coalesce(vb.tf, 0) AS tf2
+  FROM va FULL OUTER JOIN vb
+    ON va.query_id = vb.query_id AND va.rank_a = vb.rank_a AND va.rank_b = vb.rank_b
+   AND va.field = vb.field AND va.term = vb.term),
+pw AS (
+  SELECT *, ln(3.0 / (1 + (CASE WHEN tf1 > 0 THEN 1 ELSE 0 END) + (CASE WHEN tf2 > 0 THEN 1 ELSE 0 END))) + 1
+         AS idf FROM pv),
+fs AS (
+  SELECT query_id, rank_a, rank_b, field,
+         CASE WHEN sum((tf1 * idf) * (tf1 * idf)) = 0 OR sum((tf2 * idf) * (tf2 * idf)) = 0 THEN 0.0
+              ELSE sum((tf1 * idf) * (tf2 * idf)) /
+                   (sqrt(sum((tf1 * idf) * (tf1 * idf))) * sqrt(sum((tf2 * idf) * (tf2 * idf)))) END AS sim
+  FROM pw GROUP BY ALL),
+sims AS (
+  SELECT hp.query_id, hp.rank_a, hp.rank_b, hp.url_a, hp.url_b, {pivot}
+  FROM hp LEFT JOIN fs USING (query_id, rank_a, rank_b)
+  GROUP BY hp.query_id, hp.rank_a, hp.rank_b, hp.url_a, hp.url_b),
+dist AS (
+  SELECT a.query_id, a.rank AS rank_a, b.rank AS rank_b,
+         coalesce(least(1.0, greatest(0.0, 1.0 - ({wsum}))), 1.0) AS d
+  FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.rank < b.rank
+  LEFT JOIN sims s ON s.query_id = a.query_id AND s.rank_a = a.rank AND s.rank_b = b.rank)"""
+
+
+def dbscan_ctes(eps: float = 0.4) -> str:
+    """CTE ``cids``: DBSCAN (min_samples 2) as reachability over d <= eps, with
+    noise relabelled -1, -2, ... in hit order."""
+    return f"""
+edges AS (
+  SELECT query_id, rank_a AS a, rank_b AS b FROM dist WHERE d <= {eps}
+  UNION ALL SELECT query_id, rank_b AS a, rank_a AS b FROM dist WHERE d <= {eps}),
+reach(query_id, src, dst) AS (
+  SELECT query_id, rank, rank FROM hits
+  UNION
+  SELECT r.query_id, r.src, e.b FROM reach r JOIN edges e ON r.query_id = e.query_id AND r.dst = e.a),
+comp AS (SELECT query_id, src AS rank, min(dst) AS root, count(*) AS csize FROM reach GROUP BY 1, 2),
+lab AS (
+  SELECT query_id, rank, csize > 1 AS clustered, dense_rank() OVER (PARTITION BY query_id, csize > 1 ORDER BY root) - 1 AS c,
+         row_number() OVER (PARTITION BY query_id, csize > 1 ORDER BY rank) AS nr
+  FROM comp),
+cids AS (
+  SELECT query_id, rank, CAST(CASE WHEN clustered THEN c ELSE -nr END AS VARCHAR) AS cluster_id FROM lab)"""
+
+
+def cluster_agg_ctes() -> str:
+    return """
+clus AS (
+  SELECT h.query_id, h.domain, c.cluster_id, count(*) AS size, min(h.rank) AS first_rank,
+         string_agg(CAST(h.rank AS VARCHAR), ',' ORDER BY h.rank) AS members,
+         max(h.score) AS score_max, median(h.score) AS score_median, sum(h.score) AS score_sum
+  FROM hits h JOIN cids c USING (query_id, rank)
+  GROUP BY h.query_id, h.domain, c.cluster_id)"""
+
+
+def rake_ctes() -> str:
+    """CTE ``summ``: RAKE labels of the clusters in ``cids``."""
+    stop = ", ".join(_q(w) for w in list(ENGLISH_STOPWORDS) + list(PUNCTUATION))
+    dw = ("list_distinct(list_concat(list_concat("
+          "list_filter(regexp_split_to_array(parts, '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> ''), "
+          "list_filter(regexp_split_to_array(words, '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '')), "
+          "list_filter(regexp_split_to_array(words2, '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '')))")
+    return f"""
+ctext AS (
+  SELECT h.query_id, c.cluster_id, h.domain,
+         string_agg(substr(coalesce(f.plaintext, ''), 1, 10000), chr(10) ORDER BY h.rank) AS text
+  FROM hits h JOIN cids c USING (query_id, rank) JOIN fields f ON f.domain = h.domain AND f.page_id = h.page_id
+  GROUP BY h.query_id, c.cluster_id, h.domain),
+dom0 AS (SELECT DISTINCT domain, replace(regexp_extract(domain, '^(.*)\\.[^.]*$', 1), '.', ' ') AS parts FROM ctext),
+dom1 AS (SELECT domain, parts, regexp_replace(parts, '[^a-zA-Z0-9]+', ' ', 'g') AS words FROM dom0),
+dom2 AS (SELECT domain, parts, words, regexp_replace(words, '([0-9]+)', ' ' || chr(1) || ' ', 'g') AS words2 FROM dom1),
+dws AS (SELECT domain, {dw} AS dw FROM dom2),
+cphr AS (
+  SELECT t.query_id, t.cluster_id,
+    list_distinct(list_filter(list_transform(regexp_split_to_array(array_to_string(list_transform(
+      regexp_extract_all(lower(t.text), {_q(RAKE_TOK)}, 0),
+      lambda k: CASE WHEN k IN ({stop}) OR list_contains(d.dw, k) THEN '' ELSE k END), ' '), ' {{2,}}'),
+      lambda p: trim(p)), lambda p: p <> '')) AS phrases
+  FROM ctext t JOIN dws d USING (domain)),
+phr AS (SELECT query_id, cluster_id, unnest(phrases) AS phrase FROM cphr),
+pwords AS (
+  SELECT query_id, cluster_id, phrase, len(string_split(phrase, ' ')) AS plen,
+         unnest(string_split(phrase, ' ')) AS w FROM phr),
+wst AS (SELECT query_id, cluster_id, w, count(*) AS freq, sum(plen) AS degree FROM pwords GROUP BY ALL),
+psc AS (
+  SELECT p.query_id, p.cluster_id, p.phrase, sum(CAST(s.degree AS DOUBLE) / s.freq) AS score
+  FROM pwords p JOIN wst s USING (query_id, cluster_id, w) GROUP BY ALL),
+ptop AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, cluster_id ORDER BY round(score, 9) DESC, phrase DESC) AS prank
+    FROM psc) WHERE prank <= 20),
+ncl AS (SELECT query_id, count(DISTINCT cluster_id) AS nc FROM cids GROUP BY query_id),
+cw AS (
+  SELECT w.query_id, list(w.w) AS common FROM (
+    SELECT query_id, w, count(*) AS cnt FROM (
+      SELECT DISTINCT query_id, cluster_id, unnest(string_split(phrase, ' ')) AS w FROM ptop)
+    GROUP BY query_id, w) w JOIN ncl USING (query_id)
+  WHERE w.cnt >= greatest(2.0, ncl.nc / 2.0) AND regexp_full_match(w.w, '[\\p{{L}}\\p{{N}}_]+')
+  GROUP BY w.query_id),
+kept AS (
+  SELECT p.query_id, p.cluster_id, p.prank,
+         array_to_string(list_transform(string_split(p.phrase, ' '),
+           lambda x: CASE WHEN list_contains(coalesce(cw.common, []), x) THEN '' ELSE x END), ' ') AS k
+  FROM ptop p LEFT JOIN cw USING (query_id)),
+lab0 AS (
+  SELECT query_id, cluster_id,
+         regexp_replace(string_agg(k, ', ' ORDER BY prank), '(^,+)|(,+$)|([^0-9A-Za-z]+,+)', '', 'g') AS s
+  FROM kept GROUP BY query_id, cluster_id),
+summ AS (
+  SELECT query_id, cluster_id,
+         CASE WHEN length(s) > 50 AND strpos(substr(s, 51), ',') > 0
+              THEN substr(s, 1, 50 + strpos(substr(s, 51), ',') - 1) ELSE s END AS summary
+  FROM lab0)"""
+
+
+def _with(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",".join(parts)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    F = fields_cte()
+    I = index_ctes()
+    H = hits_ctes("bench")
+    S = sim_ctes()
+    D = dbscan_ctes()
+    C = cluster_agg_ctes()
+    K = rake_ctes()
+    out = {}
+    out["page_fields"] = _with(F) + """
+SELECT domain, page_id, url, url_hash, url_text, title, plaintext, fulltext FROM fields"""
+    out["postings"] = _with(F, I) + """
+SELECT domain, field, term, page_id, count(*) AS tf, max(dl) AS dl,
+       string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
+FROM toks GROUP BY domain, field, term, page_id"""
+    out["field_stats"] = _with(F, I) + """
+SELECT domain, field, n_docs, round(avgdl, 6) AS avgdl FROM fstats"""
+    out["bm25_impacts"] = _with(F, I) + """
+SELECT domain, term, page_id, round(s_title, 6) AS s_title, round(s_plaintext, 6) AS s_plaintext,
+       round(s_fulltext, 6) AS s_fulltext FROM impacts"""
+    out["search_hits"] = _with(F, I, H) + """
+SELECT query_id, domain, rank, page_id, url, title, round(score, 6) AS score FROM hits"""
+    out["flat_search"] = _with(F, I, hits_ctes("conv")) + """
+SELECT query_id, domain, rank, page_id, url, round(score, 6) AS score FROM hits"""
+    out["hit_similarity"] = _with(F, I, H, S) + """
+SELECT query_id, rank_a, rank_b, url_a, url_b, """ + ", ".join(
+        f"round({f}_sim_score, 6) AS {f}_sim_score" for f in SIM_FIELDS) + " FROM sims"
+    out["hit_distances"] = _with(F, I, H, S) + """
+SELECT query_id, rank_a, rank_b, round(d, 6) AS d FROM dist"""
+    out["dbscan_labels"] = _with(F, I, H, S, D) + """
+SELECT query_id, rank, cluster_id FROM cids"""
+    ranked = """
+SELECT query_id, domain,
+       row_number() OVER (PARTITION BY query_id ORDER BY round({m}, 9) DESC, first_rank) AS cluster_rank,
+       cluster_id, size, first_rank, members, round(score_max, 6) AS score_max,
+       round(score_median, 6) AS score_median, round(score_sum, 6) AS score_sum{extra}
+FROM clus{join}"""
+    out["clustered_search"] = _with(F, I, H, S, D, C, K) + ranked.format(
+        m="score_max", extra=", coalesce(summ.summary, '') AS summary",
+        join=" LEFT JOIN summ USING (query_id, cluster_id)")
+    out["rank_median_score"] = _with(F, I, H, S, D, C) + ranked.format(m="score_median", extra="", join="")
+    out["rank_sum_score"] = _with(F, I, H, S, D, C) + ranked.format(m="score_sum", extra="", join="")
+    out["rake_labels"] = _with(F, I, H, S, D, K) + """
+SELECT query_id, cluster_id, summary FROM summ"""
+    return out
