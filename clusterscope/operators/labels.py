@@ -15,6 +15,8 @@ into the next, as they do in the newline-joined text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,54 +41,109 @@ def domain_stopwords(domain: Column) -> Column:
     return F.array_distinct(F.concat(ws_split(parts), ws_split(words), ws_split(words2)))
 
 
-def _is_ignored(tok: Column, domain_words: Column) -> Column:
-    return tok.isin(*ENGLISH_STOPWORDS, *PUNCTUATION) | F.array_contains(domain_words, tok)
+W = r"\p{L}\p{N}_"                 # word characters
+P = r"^\p{L}\p{N}_\s\p{Z}"          # (negated) punctuation-run characters
+
+
+def _trie_alternation(words) -> str:
+    """A regex alternation of ``words`` factored by common prefixes, so the
+    matcher tests one branch per first character instead of every word."""
+    tree: dict = {}
+    for w in sorted(set(words)):
+        node = tree
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node) -> str:
+        alts = []
+        end = "" in node
+        for ch in sorted(k for k in node if k):
+            alts.append(re.escape(ch) + emit(node[ch]))
+        if not alts:
+            return ""
+        body = alts[0] if len(alts) == 1 and not end else "(?:" + "|".join(alts) + ")"
+        return body + ("?" if end else "")
+
+    return emit(tree)
+
+
+# ignored word tokens: the stopwords that are single word runs, plus "_"
+# (a punctuation character that tokenises as a word run)
+_WORD_STOP = [w for w in ENGLISH_STOPWORDS if re.fullmatch(r"\w+", w)] + [c for c in PUNCTUATION if re.fullmatch(r"\w", c)]
+_PUNCT_STOP = [c for c in PUNCTUATION if not re.fullmatch(r"\w", c)]
+IGNORED_PATTERN = (
+    f"(?<![{W}])(?:{_trie_alternation(_WORD_STOP)})(?![{W}])"
+    f"|(?<![{P}])[{re.escape(''.join(_PUNCT_STOP))}](?![{P}])"
+)
+MARK = "\u0002"
 
 
 def cluster_texts(hits: DataFrame, cluster_ids: DataFrame, fields: DataFrame,
                   max_chars: int = RAKE_MAX_CHARS) -> DataFrame:
     """``(query_id, cluster_id, domain, text)`` — the first ``max_chars``
     characters of each member's text, newline-joined in hit order.  A cluster
-    holds at most k members, so a text is at most k x ``max_chars``."""
+    holds at most k members, so a text is at most k x ``max_chars``.
+
+    Grouped on ``(query_id, cluster_id)`` only: every later RAKE step is keyed
+    by a superset of it and runs inside this one hash partitioning."""
     mem = (hits.select("query_id", "domain", "rank", "page_id")
            .join(cluster_ids, ["query_id", "rank"])
            .join(fields.select("domain", "page_id", "plaintext"), ["domain", "page_id"]))
     mem = mem.select("query_id", "cluster_id", "domain", "rank",
                      F.substring(F.coalesce("plaintext", F.lit("")), 1, max_chars).alias("txt"))
-    g = mem.groupBy("query_id", "cluster_id", "domain").agg(
+    g = mem.groupBy("query_id", "cluster_id").agg(
+        F.max("domain").alias("domain"),
         F.array_sort(F.collect_list(F.struct("rank", "txt"))).alias("parts"))
     return g.select("query_id", "cluster_id", "domain",
                     F.array_join(F.transform("parts", lambda x: x["txt"]), "\n").alias("text"))
 
 
+def _domain_pattern(dw: Column) -> Column:
+    """Per-row pattern matching the domain stopwords as whole tokens (word-run
+    words and punctuation-run words; mixed words can never equal a token)."""
+    quote = lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))
+    words = F.filter(dw, lambda x: x.rlike(f"^[{W}]+$"))
+    puncts = F.filter(dw, lambda x: x.rlike(f"^[{P}]+$"))
+    wpat = F.concat(F.lit(f"(?<![{W}])(?:"), F.array_join(F.transform(words, quote), "|"), F.lit(f")(?![{W}])"))
+    ppat = F.concat(F.lit(f"(?<![{P}])(?:"), F.array_join(F.transform(puncts, quote), "|"), F.lit(f")(?![{P}])"))
+    return (F.when((F.size(words) > 0) & (F.size(puncts) > 0), F.concat(wpat, F.lit("|"), ppat))
+            .when(F.size(words) > 0, wpat).when(F.size(puncts) > 0, ppat))
+
+
 def cluster_phrases(hits: DataFrame, cluster_ids: DataFrame, fields: DataFrame,
                     max_chars: int = RAKE_MAX_CHARS) -> DataFrame:
     """Distinct candidate phrases ``(query_id, cluster_id, phrase)``.
 
-    Inside the row: ignored tokens become empty strings, tokens are joined by
-    single spaces, so an ignored token shows as a run of two or more spaces;
-    splitting there and trimming gives the phrases.  Tokens never contain
-    spaces, so this is exact."""
+    Regex passes over the lower-cased text, no per-token lambdas: put a space
+    at every word/punctuation run boundary (they are separate tokens), replace
+    every ignored token by a marker (lookarounds make the match a whole
+    token), collapse blank runs to one space and split at the markers: each
+    piece, trimmed, is a phrase with its tokens joined by single spaces."""
     t = cluster_texts(hits, cluster_ids, fields, max_chars)
-    dw = domain_stopwords(F.col("domain"))
-    marked = F.transform(rake_tokens(F.col("text")),
-                         lambda tok: F.when(_is_ignored(tok, dw), F.lit("")).otherwise(tok))
-    parts = F.transform(F.split(F.array_join(marked, " "), " {2,}"), lambda p: F.trim(p))
-    phrases = F.array_distinct(F.filter(parts, lambda p: p != ""))
+    x = F.lower(F.col("text"))
+    x = F.regexp_replace(x, F.lit(f"(?<=[{W}])(?=[{P}])|(?<=[{P}])(?=[{W}])"), F.lit(" "))
+    x = F.regexp_replace(x, F.lit(IGNORED_PATTERN), F.lit(f" {MARK} "))
+    dpat = _domain_pattern(domain_stopwords(F.col("domain")))
+    x = F.when(dpat.isNull(), x).otherwise(F.regexp_replace(x, F.coalesce(dpat, F.lit("$^")), F.lit(f" {MARK} ")))
+    x = F.regexp_replace(x, F.lit(r"[\s\p{Z}]+"), F.lit(" "))
+    pieces = F.transform(F.split(x, f" ?{MARK} ?"), lambda p: F.trim(p))
+    phrases = F.array_distinct(F.array_remove(pieces, ""))
     return t.select("query_id", "cluster_id", F.explode(phrases).alias("phrase"))
 
 
 def phrase_scores(phrases: DataFrame) -> DataFrame:
-    """``(query_id, cluster_id, phrase, score)``, degree / frequency metric."""
-    pw = phrases.select("query_id", "cluster_id", "phrase",
-                        F.split("phrase", " ").alias("ws"))
-    occ = pw.select("query_id", "cluster_id", "phrase", F.size("ws").alias("len"),
-                    F.explode("ws").alias("w"))
-    stats = occ.groupBy("query_id", "cluster_id", "w").agg(
-        F.count(F.lit(1)).alias("freq"), F.sum("len").alias("degree"))
-    return (occ.join(stats, ["query_id", "cluster_id", "w"])
-            .groupBy("query_id", "cluster_id", "phrase")
-            .agg(F.sum(F.col("degree") / F.col("freq")).alias("score")))
+    """``(query_id, cluster_id, phrase, score)``, degree / frequency metric.
+
+    Word statistics come from a window on ``(query_id, cluster_id, w)``, not a
+    join, so the partitioning of the phrases on ``(query_id, cluster_id)``
+    serves every step."""
+    occ = phrases.select("query_id", "cluster_id", "phrase", F.split("phrase", " ").alias("ws"))
+    occ = occ.select("query_id", "cluster_id", "phrase", F.size("ws").alias("len"), F.explode("ws").alias("w"))
+    w = Window.partitionBy("query_id", "cluster_id", "w")
+    occ = occ.select("query_id", "cluster_id", "phrase",
+                     (F.sum("len").over(w) / F.count(F.lit(1)).over(w)).alias("ws_score"))
+    return occ.groupBy("query_id", "cluster_id", "phrase").agg(F.sum("ws_score").alias("score"))
 
 
 def top_phrases(scores: DataFrame, n: int = RAKE_MAX_PHRASES) -> DataFrame:
