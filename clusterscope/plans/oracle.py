@@ -277,6 +277,45 @@ summ AS (
   FROM lab0)"""
 
 
+def _canon(h: str, base: str) -> str:
+    """SQL of the link canonicalisation (resolve, drop fragment, sort query)."""
+    hh = f"trim(regexp_replace({h}, '#.*$', ''))"
+    scheme = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)"
+    origin = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+    bpath = f"regexp_replace(regexp_replace({base}, '[?#].*$', ''), '/[^/]*$', '/')"
+    bdir = (f"CASE WHEN regexp_extract({base}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/.*)?$', 1) = '' "
+            f"THEN {origin} || '/' ELSE {bpath} END")
+    ab = (f"CASE WHEN regexp_matches({hh}, '^([A-Za-z][A-Za-z0-9+.-]*):') THEN {hh} "
+          f"WHEN starts_with({hh}, '//') THEN {scheme} || ':' || {hh} "
+          f"WHEN starts_with({hh}, '/') THEN {origin} || {hh} "
+          f"WHEN starts_with({hh}, '?') THEN regexp_replace({base}, '[?#].*$', '') || {hh} "
+          f"WHEN {hh} = '' THEN regexp_replace({base}, '#.*$', '') "
+          f"ELSE {bdir} || {hh} END")
+    path = f"regexp_extract({ab}, '^([^?]*)', 1)"
+    sq = (f"array_to_string(list_sort(list_filter(string_split(regexp_extract({ab}, '\\?(.*)$', 1), '&'), "
+          f"lambda x: x <> '')), '&')")
+    return f"(CASE WHEN {sq} = '' THEN {path} ELSE {path} || '?' || {sq} END)"
+
+
+def links_ctes() -> str:
+    clean = (f"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), "
+             f"{_q(SCRIPT)}, '', 'g'), {_q(STYLE)}, '', 'g')")
+    return f"""
+lp0 AS (
+  SELECT page_id, url, regexp_extract(lower(regexp_replace(regexp_replace(
+           regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1), '^[^@]*@', ''), ':[0-9]*$', '')),
+           '([^.]+\\.[^.]+)$', 1) AS domain, {clean} AS clean FROM pages),
+lp1 AS (
+  SELECT domain, page_id, url, unnest(regexp_extract_all(clean, '(?i)<a[ \\t\\r\\n\\f][^>]*href="([^"]*)"', 1)) AS href
+  FROM lp0),
+lp2 AS (
+  SELECT domain, page_id AS src_page_id, {_canon('url', 'url')} AS src, {_canon('href', 'url')} AS dst FROM lp1),
+links AS (
+  SELECT DISTINCT domain, src_page_id, src, dst FROM lp2
+  WHERE regexp_matches(lower(dst), '^https?://')
+    AND strpos(regexp_extract(dst, '^[^:/?#]+://([^/?#]*)', 1), domain) > 0)"""
+
+
 def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts)
 
@@ -290,6 +329,25 @@ def oracle_sql() -> dict[str, str]:
     C = cluster_agg_ctes()
     K = rake_ctes()
     out = {}
+    L = links_ctes()
+    out["page_links"] = _with(L) + """
+SELECT domain, src_page_id, src, dst FROM links"""
+    out["reachable_pages"] = _with(L) + f"""
+,
+pu AS (SELECT DISTINCT domain, {_canon('url', 'url')} AS u FROM lp0),
+st AS (SELECT domain, {_canon('url', 'url')} AS start FROM (
+         SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS r FROM lp0) WHERE r = 1),
+e AS (SELECT DISTINCT domain, src, dst FROM links),
+reach(domain, url, depth) AS (
+  SELECT domain, start, 0 FROM st
+  UNION
+  SELECT r.domain, e.dst, r.depth + 1 FROM reach r JOIN e ON e.domain = r.domain AND e.src = r.url
+  WHERE r.depth < 64),
+best AS (SELECT domain, url, min(depth) AS depth FROM reach GROUP BY ALL)
+SELECT b.domain, b.url, CAST(b.depth AS INTEGER) AS depth, pu.u IS NOT NULL AS is_page,
+       (pu.u IS NOT NULL AND (b.depth > 0 OR EXISTS (SELECT 1 FROM e WHERE e.domain = b.domain AND e.dst = b.url)))
+       AS saved
+FROM best b LEFT JOIN pu ON pu.domain = b.domain AND pu.u = b.url"""
     out["page_fields"] = _with(F) + """
 SELECT domain, page_id, url, url_hash, url_text, title, plaintext, fulltext FROM fields"""
     out["postings"] = _with(F, I) + """

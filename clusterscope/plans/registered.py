@@ -18,6 +18,7 @@ from ..operators.cluster_small import dbscan_labels
 from ..operators.groups import assemble_clusters, rank_clusters, relabel_noise
 from ..operators.index import build_postings, field_stats
 from ..operators.labels import rake_summaries
+from ..operators.links import page_links, reachable_pages
 from ..operators.pages import page_keys
 from ..operators.search import search
 from ..operators.similarity import hit_distances, hit_pair_similarity
@@ -54,6 +55,15 @@ def q_page_keys(spark, sf_dir):
     return page_keys(read_pages(spark, sf_dir))
 
 
+def q_page_links(spark, sf_dir):
+    return page_links(read_pages(spark, sf_dir))
+
+
+def q_reachable_pages(spark, sf_dir):
+    pages = read_pages(spark, sf_dir)
+    return reachable_pages(pages, links=cut(page_links(pages)))
+
+
 # -- index --------------------------------------------------------------------
 def q_postings(spark, sf_dir):
     p = build_postings(_prep(spark, sf_dir).fields, with_positions=True)
@@ -163,6 +173,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {
         "page_fields": q_page_fields,
         "page_keys": q_page_keys,
+        "page_links": q_page_links,
+        "reachable_pages": q_reachable_pages,
         "postings": q_postings,
         "field_stats": q_field_stats,
         "bm25_impacts": q_bm25_impacts,
