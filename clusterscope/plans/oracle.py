@@ -348,6 +348,31 @@ SELECT b.domain, b.url, CAST(b.depth AS INTEGER) AS depth, pu.u IS NOT NULL AS i
        (pu.u IS NOT NULL AND (b.depth > 0 OR EXISTS (SELECT 1 FROM e WHERE e.domain = b.domain AND e.dst = b.url)))
        AS saved
 FROM best b LEFT JOIN pu ON pu.domain = b.domain AND pu.u = b.url"""
+    keyq = """
+pk0 AS (
+  SELECT domain, page_id, url, url_encode(url) AS q FROM pg1),
+pk AS (
+  SELECT domain, page_id, url,
+         CASE WHEN length(q) > 210 THEN substr(q, 1, 200) || substr(CAST(row_number() OVER (
+              PARTITION BY domain, length(q) > 210 ORDER BY page_id) - 1 AS VARCHAR), 1, 10) ELSE q END AS page_key
+  FROM pk0)"""
+    out["page_keys"] = _with(F, keyq) + """
+SELECT domain, page_id, url, page_key FROM pk"""
+    out["urlmap"] = _with(F, keyq) + """
+SELECT domain, url, page_key AS path FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY domain, page_id) AS r FROM pk) WHERE r = 1"""
+    store = """
+store AS (
+  SELECT least(md5(url_a), md5(url_b)) AS url1_hash, greatest(md5(url_a), md5(url_b)) AS url2_hash,
+         max(CASE WHEN md5(url_a) <= md5(url_b) THEN url_a ELSE url_b END) AS url1,
+         max(CASE WHEN md5(url_a) <= md5(url_b) THEN url_b ELSE url_a END) AS url2,
+         """ + ", ".join(f"max({f}_sim_score) AS {f}_sim_score" for f in SIM_FIELDS) + """
+  FROM sims GROUP BY 1, 2)"""
+    out["similarity_store"] = _with(F, I, H, S, store) + """
+SELECT url1_hash, url2_hash, url1, url2, """ + ", ".join(
+        f"round({f}_sim_score, 6) AS {f}_sim_score" for f in SIM_FIELDS) + " FROM store"
+    out["similarity_scan"] = _with(F, I, H, S) + """
+SELECT query_id, rank_a, rank_b, round(d, 6) AS d FROM dist"""
     out["page_fields"] = _with(F) + """
 SELECT domain, page_id, url, url_hash, url_text, title, plaintext, fulltext FROM fields"""
     out["postings"] = _with(F, I) + """

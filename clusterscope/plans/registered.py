@@ -8,6 +8,7 @@ compared order-insensitively against an independent SQL formulation.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,9 @@ from ..operators.cluster_small import dbscan_labels
 from ..operators.groups import assemble_clusters, rank_clusters, relabel_noise
 from ..operators.index import build_postings, field_stats
 from ..operators.labels import rake_summaries
+from ..session import ensure_checkpoint_dir
+from ..sources.similarity_store import canonical_rows, scan
+from ..sources.urlmap import read_urlmap, write_urlmap
 from ..operators.links import page_links, reachable_pages
 from ..operators.pages import page_keys
 from ..operators.search import search
@@ -64,6 +68,30 @@ def q_reachable_pages(spark, sf_dir):
     return reachable_pages(pages, links=cut(page_links(pages)))
 
 
+def q_urlmap(spark, sf_dir):
+    """S4 then S1: write the pages' manifest (url, file key) per domain into the
+    shared checkpoint folder and read it back with the first-wins reader."""
+    pages = read_pages(spark, sf_dir)
+    keys = page_keys(pages)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clusterscope-urlmap/{uuid.uuid4().hex}"
+    write_urlmap(keys.select("domain", "page_id", "url", F.col("page_key").alias("path")), root)
+    m = read_urlmap(spark, root, mode="first")
+    return m.select(F.regexp_extract("file", r"domain=([^/]+)/", 1).alias("domain"), "url", "path")
+
+
+def q_similarity_store(spark, sf_dir):
+    prep, _, h = _hits(spark, sf_dir, materialize=True)
+    st = canonical_rows(hit_pair_similarity(h, prep.vectors, prep.norms))
+    return st.select("url1_hash", "url2_hash", "url1", "url2", *[_r(f"{f}_sim_score") for f in SIM_FIELDS])
+
+
+def q_similarity_scan(spark, sf_dir):
+    prep, _, h = _hits(spark, sf_dir, materialize=True)
+    st = cut(canonical_rows(hit_pair_similarity(h, prep.vectors, prep.norms)))
+    d = hit_distances(h, scan(st, h))
+    return d.select("query_id", "rank_a", "rank_b", _r("d"))
+
+
 # -- index --------------------------------------------------------------------
 def q_postings(spark, sf_dir):
     p = build_postings(_prep(spark, sf_dir).fields, with_positions=True)
@@ -175,6 +203,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_keys": q_page_keys,
         "page_links": q_page_links,
         "reachable_pages": q_reachable_pages,
+        "urlmap": q_urlmap,
+        "similarity_store": q_similarity_store,
+        "similarity_scan": q_similarity_scan,
         "postings": q_postings,
         "field_stats": q_field_stats,
         "bm25_impacts": q_bm25_impacts,
