@@ -22,6 +22,9 @@ from ..operators.labels import rake_summaries
 from ..session import ensure_checkpoint_dir
 from ..sources.similarity_store import canonical_rows, scan
 from ..sources.urlmap import read_urlmap, write_urlmap
+from ..functions.text import search_tokens
+from ..operators.lsa import (blurred_field, blurred_terms, fit_lsa, related_terms, singular_values,
+                             term_vectors, topic_terms)
 from ..operators.links import page_links, reachable_pages
 from ..operators.pages import page_keys
 from ..operators.search import search
@@ -197,6 +200,43 @@ def q_cluster_dispatch(spark, sf_dir):
                     _r("score_max"))
 
 
+# -- latent semantic expansion -----------------------------------------------------
+_LSA: dict = {}
+
+
+def _lsa(spark, sf_dir):
+    """The semantic job's model (L1-L4) over the pages' full text, fitted once
+    per session and input; its factor tables are checkpointed."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LSA:
+        prep = _prep(spark, sf_dir)
+        model = fit_lsa(cut(term_vectors(prep.fields, "fulltext")))
+        model.u, model.terms, model.docs = cut(model.u), cut(model.terms), cut(model.docs)
+        _LSA[key] = model
+    return _LSA[key]
+
+
+def q_lsa_singular_values(spark, sf_dir):
+    return singular_values(spark, _lsa(spark, sf_dir))
+
+
+def q_lsa_blurred_field(spark, sf_dir):
+    """Every page with its blurred-term field (cutoff 0.1)."""
+    m = _lsa(spark, sf_dir)
+    out = blurred_field(_prep(spark, sf_dir).fields, blurred_terms(m), "fulltext")
+    return out.select("domain", "page_id", "fulltextblurred")
+
+
+def q_lsa_topic_terms(spark, sf_dir):
+    return topic_terms(_lsa(spark, sf_dir)).select("topic", "term", _r("weight"))
+
+
+def q_lsa_related_terms(spark, sf_dir):
+    """30 related terms for every distinct term of the benchmark queries."""
+    toks = benchmark_queries(spark, sf_dir).select(F.explode(search_tokens(F.col("query"))).alias("token"))
+    return related_terms(_lsa(spark, sf_dir), toks, 30).select("token", "rank", "term", _r("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {
         "page_fields": q_page_fields,
@@ -220,6 +260,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rank_sum_score": q_rank_sum_score,
         "rake_labels": q_rake_labels,
         "cluster_dispatch": q_cluster_dispatch,
+        "lsa_singular_values": q_lsa_singular_values,
+        "lsa_blurred_field": q_lsa_blurred_field,
+        "lsa_topic_terms": q_lsa_topic_terms,
+        "lsa_related_terms": q_lsa_related_terms,
     }
     for name in CLUSTER_ALGORITHMS:
         if name != "dbscan":

@@ -106,3 +106,19 @@ def test_linkage_single_matches_mst_order():
     d = np.array([[0, .2, .9, .8], [.2, 0, .7, .9], [.9, .7, 0, .3], [.8, .9, .3, 0]], float)
     z = linkage(d, "single")
     assert list(z[:, 2]) == pytest.approx([0.2, 0.3, 0.7])
+
+
+def test_lsa_golden(spark):
+    from clusterscope.operators.lsa import blurred_terms, fit_lsa, related_terms
+
+    m = [[1, 2, 0, 0], [0, 1, 2, 0], [0, 0, 1, 3]]
+    tv = spark.createDataFrame(
+        [("d", doc, f"t{t}", float(v)) for doc, row in enumerate(m) for t, v in enumerate(row) if v],
+        "domain string, page_id long, term string, value double")
+    model = fit_lsa(tv, k=2)
+    assert list(np.round(model.s, 6)) == [3.284092, 2.551018]
+    rel = {r.term: r.score for r in related_terms(model, spark.createDataFrame([("t0",)], "token string"), 4).collect()}
+    for t, want in zip(["t0", "t1", "t2", "t3"], [0.228189, 0.638631, 0.303304, -0.183600]):
+        assert rel[t] == pytest.approx(want, abs=1e-5)
+    got = {(r.page_id, r.term) for r in blurred_terms(model, 0.1).collect()}
+    assert {t for d, t in got if d == 0} == {"t0", "t1", "t2"}
