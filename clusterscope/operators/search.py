@@ -20,12 +20,31 @@ RUN_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 SENTENCE_PATTERN = r"[^.!?\n]+[.!?]*"
 
 
+# a clause: optional +/- operator, then a quoted phrase or a run of non-blanks
+CLAUSE_PATTERN = r'[+-]?"[^"]*"|[+-]?[^\s"]+'
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
-    """``(query_id, q_domain, term, qtf)``: analysed query terms with their count
-    (a repeated term counts once per occurrence, as repeated clauses do)."""
-    t = queries.select("query_id", F.col("domain").alias("q_domain"),
-                       F.explode(search_tokens(F.col("query"))).alias("term"))
-    return t.groupBy("query_id", "q_domain", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    """Q4: ``(query_id, q_domain, term, qtf, req, proh, n_req)``.
+
+    The query string is split into clauses; ``+clause`` terms are required,
+    ``-clause`` terms prohibited, other terms (quoted phrases included, by
+    their terms) optional.  ``qtf`` counts scored occurrences (a repeated
+    term counts once per occurrence, as repeated clauses do)."""
+    c = queries.select("query_id", F.col("domain").alias("q_domain"),
+                       F.explode(F.regexp_extract_all("query", F.lit(CLAUSE_PATTERN), 0)).alias("clause"))
+    op = (F.when((F.length("clause") > 1) & F.col("clause").startswith("+"), F.lit("+"))
+          .when((F.length("clause") > 1) & F.col("clause").startswith("-"), F.lit("-"))
+          .otherwise(F.lit("")))
+    c = c.select("query_id", "q_domain", op.alias("op"),
+                 F.when(op != "", F.substring("clause", 2, 1 << 30)).otherwise(F.col("clause")).alias("body"))
+    t = c.select("query_id", "q_domain", "op", F.explode(search_tokens(F.col("body"))).alias("term"))
+    g = t.groupBy("query_id", "q_domain", "term").agg(
+        F.count(F.when(F.col("op") != "-", 1)).alias("qtf"),
+        F.max(F.col("op") == "+").alias("req"),
+        F.max(F.col("op") == "-").alias("proh"))
+    nreq = g.groupBy("query_id").agg(F.count(F.when(F.col("req"), 1)).alias("n_req"))
+    return g.join(nreq, "query_id")
 
 
 def dismax_score(boosts: dict | None = None, tie: float = 0.0):
@@ -49,9 +68,14 @@ def match_scores(queries: DataFrame, impacts: DataFrame, boosts: dict | None = N
     m = m.select(
         F.when(F.col("q_domain").isNull(), F.concat(F.col("query_id"), F.lit("@"), F.col("domain")))
         .otherwise(F.col("query_id")).alias("query_id"),
-        F.col("query_id").alias("base_id"), "domain", "page_id",
+        F.col("query_id").alias("base_id"), "domain", "page_id", "req", "proh", "n_req", "qtf",
         (F.col("qtf") * dismax_score(boosts)).alias("s"))
-    return m.groupBy("query_id", "base_id", "domain", "page_id").agg(F.sum("s").alias("score"))
+    g = m.groupBy("query_id", "base_id", "domain", "page_id").agg(
+        F.sum("s").alias("score"), F.count(F.when(F.col("req"), 1)).alias("_req"),
+        F.max("proh").alias("_proh"), F.max("n_req").alias("_nreq"), F.max(F.col("qtf") > 0).alias("_pos"))
+    # required terms all present, no prohibited term, at least one scored term
+    return g.where((F.col("_req") == F.col("_nreq")) & ~F.col("_proh") & F.col("_pos")).select(
+        "query_id", "base_id", "domain", "page_id", "score")
 
 
 def top_k(scores: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -122,3 +122,21 @@ def test_lsa_golden(spark):
         assert rel[t] == pytest.approx(want, abs=1e-5)
     got = {(r.page_id, r.term) for r in blurred_terms(model, 0.1).collect()}
     assert {t for d, t in got if d == 0} == {"t0", "t1", "t2"}
+
+
+def test_query_syntax(spark, mini_fields):
+    from clusterscope.operators.index import build_impacts as bi
+
+    imp = bi(mini_fields)
+    q = spark.createDataFrame([("a", "makehaven.org", "laser training"),
+                               ("b", "makehaven.org", "+laser training"),
+                               ("c", "makehaven.org", "laser training -guide"),
+                               ("d", "makehaven.org", '"laser cutter" -saw')],
+                              "query_id string, domain string, query string")
+    got = {}
+    for r in match_scores(q, imp).collect():
+        got.setdefault(r.query_id, set()).add(r.page_id)
+    assert got["a"] == {0, 1, 2}
+    assert got["b"] == {0, 2}
+    assert got["c"] == {0, 1}
+    assert got["d"] == {0, 2}
