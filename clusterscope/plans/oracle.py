@@ -316,6 +316,52 @@ links AS (
     AND strpos(regexp_extract(dst, '^[^:/?#]+://([^/?#]*)', 1), domain) > 0)"""
 
 
+def corpus_ctes(eps: float = 0.1) -> str:
+    """CTE ``cdb``: corpus DBSCAN (min_samples 2) from ALL page pairs of a site
+    (literal per-pair TF-IDF), components by recursive reachability."""
+    src = {"url": "url_text", "title": "title", "fulltext": "fulltext", "plaintext": "plaintext"}
+    vec_union = " UNION ALL ".join(
+        f"SELECT domain, page_id, '{f}' AS field, unnest(regexp_extract_all(lower({src[f]}), "
+        f"{_q(SIM_TOK)}, 0)) AS term FROM fields WHERE {src[f]} IS NOT NULL" for f in SIM_FIELDS)
+    ntok = ", ".join(f"len(regexp_extract_all(lower(coalesce({src[f]}, '')), {_q(SIM_TOK)}, 0)) AS k_{f}"
+                     for f in SIM_FIELDS)
+    valid = " AND ".join(f"(x.k_{f} > 0 OR y.k_{f} > 0)" for f in SIM_FIELDS)
+    wsum = " + ".join(f"{SIM_WEIGHTS[f]} * coalesce(max(CASE WHEN field = '{f}' THEN sim END), 0.0)"
+                      for f in SIM_FIELDS)
+    return f"""
+cvec AS (
+  SELECT domain, page_id, field, term, count(*) AS tf FROM ({vec_union}) GROUP BY ALL),
+cinfo AS (SELECT domain, page_id, title IS NOT NULL AS title_ok, {ntok} FROM fields),
+cp AS (
+  SELECT x.domain, x.page_id AS a, y.page_id AS b FROM cinfo x JOIN cinfo y
+    ON x.domain = y.domain AND x.page_id < y.page_id
+  WHERE x.title_ok AND y.title_ok AND {valid}),
+cva AS (SELECT cp.domain, cp.a, cp.b, v.field, v.term, v.tf FROM cp JOIN cvec v ON v.domain = cp.domain AND v.page_id = cp.a),
+cvb AS (SELECT cp.domain, cp.a, cp.b, v.field, v.term, v.tf FROM cp JOIN cvec v ON v.domain = cp.domain AND v.page_id = cp.b),
+cpv AS (
+  SELECT coalesce(cva.domain, cvb.domain) AS domain, coalesce(cva.a, cvb.a) AS a, coalesce(cva.b, cvb.b) AS b,
+         coalesce(cva.field, cvb.field) AS field, coalesce(cva.tf, 0) AS tf1, coalesce(cvb.tf, 0) AS tf2
+  FROM cva FULL OUTER JOIN cvb ON cva.domain = cvb.domain AND cva.a = cvb.a AND cva.b = cvb.b
+   AND cva.field = cvb.field AND cva.term = cvb.term),
+cpw AS (SELECT *, ln(3.0 / (1 + (CASE WHEN tf1 > 0 THEN 1 ELSE 0 END) + (CASE WHEN tf2 > 0 THEN 1 ELSE 0 END))) + 1 AS idf FROM cpv),
+cfs AS (
+  SELECT domain, a, b, field,
+         CASE WHEN sum((tf1 * idf) * (tf1 * idf)) = 0 OR sum((tf2 * idf) * (tf2 * idf)) = 0 THEN 0.0
+              ELSE sum((tf1 * idf) * (tf2 * idf)) /
+                   (sqrt(sum((tf1 * idf) * (tf1 * idf))) * sqrt(sum((tf2 * idf) * (tf2 * idf)))) END AS sim
+  FROM cpw GROUP BY ALL),
+cd AS (SELECT domain, a, b, least(1.0, greatest(0.0, 1.0 - ({wsum}))) AS d FROM cfs GROUP BY domain, a, b),
+ce AS (SELECT domain, a, b FROM cd WHERE d <= {eps} UNION ALL SELECT domain, b, a FROM cd WHERE d <= {eps}),
+creach(domain, src, dst) AS (
+  SELECT DISTINCT domain, a, a FROM ce
+  UNION
+  SELECT r.domain, r.src, e.b FROM creach r JOIN ce e ON e.domain = r.domain AND e.a = r.dst),
+cdb AS (
+  SELECT f.domain, f.page_id, coalesce(c.root, -1) AS cluster
+  FROM fields f LEFT JOIN (SELECT domain, src AS page_id, min(dst) AS root FROM creach GROUP BY 1, 2) c
+    ON c.domain = f.domain AND c.page_id = f.page_id)"""
+
+
 def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts)
 
@@ -373,6 +419,8 @@ SELECT url1_hash, url2_hash, url1, url2, """ + ", ".join(
         f"round({f}_sim_score, 6) AS {f}_sim_score" for f in SIM_FIELDS) + " FROM store"
     out["similarity_scan"] = _with(F, I, H, S) + """
 SELECT query_id, rank_a, rank_b, round(d, 6) AS d FROM dist"""
+    out["corpus_dbscan"] = _with(F, corpus_ctes(0.1)) + """
+SELECT domain, page_id, CAST(cluster AS BIGINT) AS cluster FROM cdb"""
     out["page_fields"] = _with(F) + """
 SELECT domain, page_id, url, url_hash, url_text, title, plaintext, fulltext FROM fields"""
     out["postings"] = _with(F, I) + """

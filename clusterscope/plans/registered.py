@@ -25,6 +25,7 @@ from ..sources.urlmap import read_urlmap, write_urlmap
 from ..functions.text import search_tokens
 from ..operators.lsa import (blurred_field, blurred_terms, fit_lsa, related_terms, singular_values,
                              term_vectors, topic_terms)
+from ..operators.corpus import corpus_dbscan
 from ..operators.links import page_links, reachable_pages
 from ..operators.pages import page_keys
 from ..operators.search import search
@@ -200,6 +201,12 @@ def q_cluster_dispatch(spark, sf_dir):
                     _r("score_max"))
 
 
+def q_corpus_dbscan(spark, sf_dir):
+    """C1 on whole sites: near-duplicate groups (eps 0.1) over every page."""
+    prep = _prep(spark, sf_dir)
+    return corpus_dbscan(prep.fields, prep.vectors, prep.norms, eps=0.1)
+
+
 # -- latent semantic expansion -----------------------------------------------------
 _LSA: dict = {}
 
@@ -260,6 +267,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rank_sum_score": q_rank_sum_score,
         "rake_labels": q_rake_labels,
         "cluster_dispatch": q_cluster_dispatch,
+        "corpus_dbscan": q_corpus_dbscan,
         "lsa_singular_values": q_lsa_singular_values,
         "lsa_blurred_field": q_lsa_blurred_field,
         "lsa_topic_terms": q_lsa_topic_terms,
