@@ -411,7 +411,7 @@ def cluster_matrix(name: str, dist: np.ndarray) -> np.ndarray:
 LABEL_SCHEMA = "query_id string, rank int, label int"
 
 
-def _group_fn(pdf: pd.DataFrame) -> pd.DataFrame:
+def _group_fn(pdf: pd.DataFrame, plugins: dict | None = None) -> pd.DataFrame:
     qid = pdf["query_id"].iloc[0]
     alg = pdf["cluster_alg"].iloc[0]
     ranks = np.sort(pd.unique(pd.concat([pdf["rank_a"], pdf["rank_b"]])))
@@ -422,7 +422,11 @@ def _group_fn(pdf: pd.DataFrame) -> pd.DataFrame:
     for a, b, d in zip(pdf["rank_a"], pdf["rank_b"], pdf["d"]):
         if a != b:
             m[pos[int(a)], pos[int(b)]] = m[pos[int(b)], pos[int(a)]] = min(max(float(d), 0.0), 1.0)
-    labels = cluster_matrix(alg, m)
+    parts = str(alg).lower().split("-")
+    if plugins is not None and parts[0] in plugins:
+        labels = np.asarray(plugins[parts[0]](parts[1] if len(parts) > 1 else "", m))
+    else:
+        labels = cluster_matrix(alg, m)
     return pd.DataFrame({"query_id": qid, "rank": ranks.astype("int32"), "label": labels.astype("int32")})
 
 
@@ -435,4 +439,7 @@ def grouped_labels(hits: DataFrame, dist: DataFrame, alg: Column) -> DataFrame:
     pairs = dist.select("query_id", "rank_a", "rank_b", "d", alg.alias("cluster_alg"))
     rows = selfs.unionByName(pairs)
     ship_package(hits.sparkSession)
-    return rows.groupBy("query_id").applyInPandas(_group_fn, schema=LABEL_SCHEMA)
+    from .registry import cluster_plugins
+
+    plugins = cluster_plugins()
+    return rows.groupBy("query_id").applyInPandas(lambda pdf: _group_fn(pdf, plugins), schema=LABEL_SCHEMA)

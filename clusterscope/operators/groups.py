@@ -42,12 +42,14 @@ def rank_clusters(clusters: DataFrame, rank_alg: str | None = None) -> DataFrame
     """A1-A4: ``cluster_rank`` 1.. per query by the chosen metric, descending;
     ties keep first-member order (a stable sort).  ``rank_alg`` None -> read
     the per-query ``rank_alg`` column (defaults to max_score)."""
+    from .registry import get, names
+
     if rank_alg is not None:
-        metric = F.col(RANK_METRICS[rank_alg.lower()])
+        metric = get("rank", rank_alg)(clusters)
     else:
         metric = F.col("score_max")
-        for name, col in RANK_METRICS.items():
+        for name in names("rank"):
             metric = F.when(F.lower(F.coalesce(F.col("rank_alg"), F.lit("max_score"))) == name,
-                            F.col(col)).otherwise(metric)
+                            get("rank", name)(clusters)).otherwise(metric)
     w = Window.partitionBy("query_id").orderBy(F.round(metric, 9).desc(), F.col("first_rank").asc())
     return clusters.withColumn("cluster_rank", F.row_number().over(w))

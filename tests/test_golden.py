@@ -140,3 +140,20 @@ def test_query_syntax(spark, mini_fields):
     assert got["b"] == {0, 2}
     assert got["c"] == {0, 1}
     assert got["d"] == {0, 2}
+
+
+def test_registry_plugins(spark, mini_fields, mini_hits):
+    from clusterscope.operators import registry
+    from clusterscope.operators.cluster_groups import grouped_labels
+
+    with pytest.raises(KeyError):
+        registry.get("cluster", "kmeans")
+    registry.register("cluster", "everything_together", lambda method, d: np.zeros(d.shape[0], dtype=int))
+    registry.register("rank", "smallest_first", lambda c: -F.col("size"))
+    dist = hit_distances(mini_hits, _sims(mini_fields, mini_hits))
+    lab = grouped_labels(mini_hits, dist, F.lit("Everything_Together"))
+    assert {r.label for r in lab.collect()} == {0}
+    ids = relabel_noise(dbscan_labels(mini_hits, dist))
+    cl = rank_clusters(assemble_clusters(mini_hits, ids), "SMALLEST_FIRST")
+    top = [r.cluster_id for r in cl.orderBy("cluster_rank").collect()]
+    assert top == ["-1", "-2", "0"]
