@@ -87,14 +87,17 @@ def build_impacts(fields: DataFrame, k1: float = BM25_K1, b: float = BM25_B) ->
     tf = t.groupBy("domain", "term", "page_id").agg(*[
         a for f in SEARCH_FIELDS for a in (
             F.count(F.when(F.col("field") == f, 1)).alias(f"tf_{f}"),
-            F.max(F.when(F.col("field") == f, F.col("dl"))).alias(f"dl_{f}"))
+            F.max(F.when(F.col("field") == f, F.col("dl"))).alias(f"dl_{f}"),
+            # the row holding a page-field's first token carries its length once
+            F.max(F.when((F.col("field") == f) & (F.col("pos") == 0), F.col("dl"))).alias(f"first_{f}"))
     ])
     df = tf.groupBy("domain", "term").agg(*[
         F.count(F.when(F.col(f"tf_{f}") > 0, 1)).alias(f"df_{f}") for f in SEARCH_FIELDS])
-    fs = field_stats(fields).groupBy("domain").agg(*[
+    # per-site field statistics from the same aggregate (no second tokenisation)
+    fs = tf.groupBy("domain").agg(*[
         a for f in SEARCH_FIELDS for a in (
-            F.max(F.when(F.col("field") == f, F.col("n_docs"))).alias(f"n_{f}"),
-            F.max(F.when(F.col("field") == f, F.col("avgdl"))).alias(f"avgdl_{f}"))
+            F.count(F.col(f"first_{f}")).alias(f"n_{f}"),
+            (F.sum(F.col(f"first_{f}")) / F.count(F.col(f"first_{f}"))).alias(f"avgdl_{f}"))
     ])
     j = tf.join(df, ["domain", "term"]).join(fs, "domain")
     return j.select("domain", "term", "page_id", *[

@@ -434,6 +434,33 @@ SELECT domain, term, page_id, round(s_title, 6) AS s_title, round(s_plaintext, 6
        round(s_fulltext, 6) AS s_fulltext FROM impacts"""
     out["search_hits"] = _with(F, I, H) + """
 SELECT query_id, domain, rank, page_id, url, title, round(score, 6) AS score FROM hits"""
+    sent = r"[^.!?\n]+[.!?]*"
+    run = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+    out["search_highlights"] = _with(F, I, H) + f"""
+,
+qterm AS (SELECT base_id, list_distinct(regexp_extract_all(lower(query), {_q(SEARCH_TOK)}, 0)) AS terms FROM qs),
+hl0 AS (
+  SELECT h.query_id, h.rank, q.terms, f.plaintext, f.fulltext
+  FROM hits h JOIN qterm q USING (base_id) JOIN fields f ON f.domain = h.domain AND f.page_id = h.page_id),
+ps AS (
+  SELECT query_id, rank, terms, 1 AS src, unnest(regexp_extract_all(coalesce(plaintext, ''), {_q(sent)}, 0)) AS s,
+         unnest(range(len(regexp_extract_all(coalesce(plaintext, ''), {_q(sent)}, 0)))) AS i FROM hl0
+  UNION ALL
+  SELECT query_id, rank, terms, 2 AS src, unnest(regexp_extract_all(coalesce(fulltext, ''), {_q(sent)}, 0)) AS s,
+         unnest(range(len(regexp_extract_all(coalesce(fulltext, ''), {_q(sent)}, 0)))) AS i FROM hl0),
+psn AS (SELECT *, len(list_intersect(regexp_extract_all(lower(s), {_q(SEARCH_TOK)}, 0), terms)) AS n FROM ps),
+bsel AS (
+  SELECT query_id, rank, s, terms FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY src, n DESC, i) AS r FROM psn WHERE n > 0)
+  WHERE r = 1),
+hl AS (
+  SELECT h.query_id, h.rank, h.page_id,
+         coalesce(array_to_string(list_transform(regexp_extract_all(b.s, {_q(run)}, 0),
+           lambda r: CASE WHEN list_contains(b.terms, lower(r)) THEN '<mark>' || r || '</mark>' ELSE r END), ''), '')
+         AS highlight
+  FROM hits h LEFT JOIN bsel b USING (query_id, rank))
+SELECT query_id, rank, page_id, highlight,
+       translate(highlight, chr(9) || chr(10) || chr(13) || chr(12) || chr(11), '     ') AS highlight_str FROM hl"""
     out["flat_search"] = _with(F, I, hits_ctes("conv")) + """
 SELECT query_id, domain, rank, page_id, url, round(score, 6) AS score FROM hits"""
     out["hit_similarity"] = _with(F, I, H, S) + """
