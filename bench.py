@@ -25,6 +25,10 @@ HEADLINE = [
     "cluster_hdbscan",
     "cluster_affinity_propagation",
     "cluster_dispatch",
+    "corpus_dbscan",
+    "page_links",
+    "reachable_pages",
+    "lsa_blurred_field",
 ]
 
 
