@@ -10,7 +10,7 @@ checkpoint folder so lineage never grows with the depth.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import extract_hrefs
@@ -52,10 +52,10 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def start_pages(pages: DataFrame) -> DataFrame:
-    """Stand-in for the configured start URL of each domain: its first page."""
-    w = Window.partitionBy("domain").orderBy("page_id")
-    return (pages.select("domain", "page_id", "url").withColumn("_r", F.row_number().over(w))
-            .where("_r = 1").select("domain", canonical_url(F.col("url"), F.col("url")).alias("start")))
+    """Stand-in for the configured start URL of each domain: its first page
+    (an aggregate, combined map-side, so a huge domain is no single task)."""
+    first = pages.groupBy("domain").agg(F.min_by("url", "page_id").alias("url"))
+    return first.select("domain", canonical_url(F.col("url"), F.col("url")).alias("start"))
 
 
 def reachable_pages(pages: DataFrame, links: DataFrame | None = None, starts: DataFrame | None = None,
