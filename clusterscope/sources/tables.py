@@ -37,12 +37,21 @@ def load_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lower(F.coalesce(F.col("summary_alg"), F.lit(DEFAULT_SUMMARY_ALG))).alias("summary_alg"),
         F.lower(F.coalesce(F.col("rank_alg"), F.lit(DEFAULT_RANK_ALG))).alias("rank_alg"),
     )
-    ok = (F.col("cluster_alg").isin(*CLUSTER_ALGORITHMS)
-          & F.col("summary_alg").isin(*SUMMARY_ALGORITHMS)
-          & F.col("rank_alg").isin(*RANK_ALGORITHMS))
+    from ..operators.registry import names
+
+    cluster_ok = F.col("cluster_alg").isin(*CLUSTER_ALGORITHMS) | F.split("cluster_alg", "-")[0].isin(
+        *[n for n in names("cluster") if n not in ("linkage",)])
+    ok = (cluster_ok
+          & F.col("summary_alg").isin(*sorted(set(SUMMARY_ALGORITHMS) | set(names("summary"))))
+          & F.col("rank_alg").isin(*sorted(set(RANK_ALGORITHMS) | set(names("rank")))))
     return q.where(ok), q.where(~ok)
 
 
+def append_query_log(queries: DataFrame, path: str) -> None:
+    """Keep every submitted query (valid or not) — appended to a log table."""
+    queries.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str, cluster_alg: str | None = None,
                       summary_alg: str | None = None, rank_alg: str | None = None) -> DataFrame:
     """The query batch of the registered jobs: every ``benchmark`` text, whole.
