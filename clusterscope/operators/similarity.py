@@ -88,10 +88,16 @@ def hit_pair_similarity(hits: DataFrame, vectors: DataFrame, norms: DataFrame) -
     ``(query_id, field, term)`` gives the shared terms of the hit pairs (at most
     C(k,2) per term and query); absent pairs are those J2 drops.
     """
-    hv = hits.select("query_id", "domain", "page_id", "rank").join(vectors, ["domain", "page_id"])
-    a = hv.select("query_id", "field", "term", F.col("rank").alias("rank_a"), F.col("tf").alias("tf_a"))
-    b = hv.select("query_id", "field", "term", F.col("rank").alias("rank_b"), F.col("tf").alias("tf_b"))
-    shared = a.join(b, ["query_id", "field", "term"]).where(F.col("rank_a") < F.col("rank_b"))
+    hv = (hits.select("query_id", "domain", "page_id", "rank").join(vectors, ["domain", "page_id"])
+          .select("query_id", "field", "term", "rank", "tf"))
+    # one DataFrame joined with itself: both sides are the same plan, so its
+    # shuffle on (query_id, field, term) runs once and is reused
+    x, y = hv.alias("x"), hv.alias("y")
+    shared = x.join(y, (F.col("x.query_id") == F.col("y.query_id")) & (F.col("x.field") == F.col("y.field"))
+                    & (F.col("x.term") == F.col("y.term")) & (F.col("x.rank") < F.col("y.rank"))).select(
+        F.col("x.query_id").alias("query_id"), F.col("x.field").alias("field"),
+        F.col("x.rank").alias("rank_a"), F.col("y.rank").alias("rank_b"),
+        F.col("x.tf").alias("tf_a"), F.col("y.tf").alias("tf_b"))
     sums = shared.groupBy("query_id", "rank_a", "rank_b").agg(*[
         agg for f in SIM_FIELDS for agg in (
             F.sum(F.when(F.col("field") == f, F.col("tf_a") * F.col("tf_b"))).alias(f"dot_{f}"),
