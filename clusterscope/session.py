@@ -64,6 +64,10 @@ def ship_package(spark: SparkSession) -> None:
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    # already shipped with the job (spark-submit --py-files ...clusterscope...)
+    if "clusterscope" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        _SHIPPED.add(app)
+        return
     import zipfile
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
