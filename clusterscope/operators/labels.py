@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..config import ENGLISH_STOPWORDS, PUNCTUATION, RAKE_MAX_CHARS, RAKE_MAX_PHRASES
 from ..functions.text import clean_label, clip_label, rake_tokens
+from ..session import cut
 
 WORD_TOKEN_PATTERN = r"^[\p{L}\p{N}_]+$"
 
@@ -158,7 +159,8 @@ def rake_summaries(hits: DataFrame, cluster_ids: DataFrame, fields: DataFrame,
                    max_chars: int = RAKE_MAX_CHARS, n_phrases: int = RAKE_MAX_PHRASES) -> DataFrame:
     """``(query_id, cluster_id, summary)``."""
     top = top_phrases(phrase_scores(cluster_phrases(hits, cluster_ids, fields, max_chars)), n_phrases)
-    top = top.select("query_id", "cluster_id", "prank", F.split("phrase", " ").alias("ws"))
+    # at most n_phrases rows per cluster, read twice below: materialise once
+    top = cut(top.select("query_id", "cluster_id", "prank", F.split("phrase", " ").alias("ws")))
     # Words of the kept phrases, counted once per cluster, per query
     n_clusters = cluster_ids.groupBy("query_id").agg(F.countDistinct("cluster_id").alias("nc"))
     cw = (top.select("query_id", "cluster_id", F.explode("ws").alias("w")).distinct()
