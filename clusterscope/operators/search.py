@@ -94,7 +94,8 @@ HIT_COLUMNS = ["query_id", "base_id", "domain", "rank", "page_id", "url", "title
 
 
 def search(queries: DataFrame, impacts: DataFrame, fields: DataFrame, k: int = TOP_K,
-           boosts: dict | None = None, with_highlight: bool = False) -> DataFrame:
+           boosts: dict | None = None, with_highlight: bool = False,
+           passages: DataFrame | None = None) -> DataFrame:
     """Q1-Q6 (+Q7/Q8): ``hits(query_id, base_id, domain, rank, page_id, url, title,
     score[, highlight, highlight_str])``; ``base_id`` is the query's own id.
 
@@ -110,7 +111,7 @@ def search(queries: DataFrame, impacts: DataFrame, fields: DataFrame, k: int = T
         return hits.select(*HIT_COLUMNS)
     qterms = queries.select(F.col("query_id").alias("base_id"),
                             F.array_distinct(search_tokens(F.col("query"))).alias("_terms"))
-    return _add_highlight(hits.join(qterms, "base_id")).select(*HIT_COLUMNS, "highlight", "highlight_str")
+    return _add_highlight_rows(hits, qterms, passages).select(*HIT_COLUMNS, "highlight", "highlight_str")
 
 
 def _mark(passage, terms):
@@ -143,6 +144,37 @@ def _add_highlight(h: DataFrame) -> DataFrame:
     return out.withColumn("highlight_str", normalise_whitespace_controls(F.col("highlight")))
 
 
+def page_passages(fields: DataFrame) -> DataFrame:
+    """Highlight passages, query independent (built with the index):
+    ``(domain, page_id, src, i, s, toks)`` — every sentence of the plaintext
+    (src 1) and of the full text (src 2) with its distinct search tokens."""
+    srcs = F.explode(F.array(F.struct(F.lit(1).alias("src"), F.coalesce("plaintext", F.lit("")).alias("t")),
+                             F.struct(F.lit(2).alias("src"), F.coalesce("fulltext", F.lit("")).alias("t"))))
+    x = fields.select("domain", "page_id", srcs.alias("x"))
+    x = x.select("domain", "page_id", F.col("x.src").alias("src"),
+                 F.posexplode(F.regexp_extract_all(F.col("x.t"), F.lit(SENTENCE_PATTERN), 0)).alias("i", "s"))
+    return x.select("domain", "page_id", "src", "i", "s", F.array_distinct(search_tokens(F.col("s"))).alias("toks"))
+
+
+def _add_highlight_rows(hits: DataFrame, qterms: DataFrame, passages: DataFrame | None = None) -> DataFrame:
+    """Q7/Q8 with sentences as rows: every sentence of the plaintext (source 1)
+    and of the full text (source 2) is scored with built-in array functions;
+    the best per hit is ``min(struct(source, -matches, position))`` over the
+    matching ones, combined map-side; the winner is marked inside its row."""
+    h = hits.join(qterms, "base_id")
+    if passages is None:
+        passages = page_passages(hits.select("domain", "page_id", "plaintext", "fulltext").distinct())
+    x = h.select("query_id", "rank", "domain", "page_id", "_terms").join(passages, ["domain", "page_id"])
+    x = x.select("query_id", "rank", "src", "i", "s",
+                 F.size(F.array_intersect(F.col("toks"), F.col("_terms"))).alias("n")).where("n > 0")
+    best = x.groupBy("query_id", "rank").agg(F.min(F.struct(F.col("src"), (-F.col("n")).alias("nn"), "i", "s"))
+                                             .alias("b"))
+    out = h.join(best, ["query_id", "rank"], "left")
+    hl = F.when(F.col("b").isNull(), F.lit("")).otherwise(_mark(F.col("b.s"), F.col("_terms")))
+    out = out.withColumn("highlight", hl)
+    return out.withColumn("highlight_str", normalise_whitespace_controls(F.col("highlight")))
+
+
 def flat_results(hits: DataFrame) -> DataFrame:
     """Q9: the ungrouped list, by descending score (stable on rank)."""
     return hits.orderBy("query_id", F.desc("score"), "rank")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.index import build_impacts
 from ..operators.pages import page_fields
+from ..operators.search import page_passages
 from ..operators.similarity import page_norms, page_vectors
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_pages
@@ -28,15 +29,16 @@ class Prepared:
     impacts: DataFrame   # (domain, term, page_id, s_title, s_plaintext, s_fulltext)
     vectors: DataFrame   # (domain, page_id, field, term, tf)
     norms: DataFrame     # (domain, page_id, n_url, n_title, n_fulltext, n_plaintext, title_ok)
+    passages: DataFrame  # (domain, page_id, src, i, s, toks) — highlight sentences
 
 
 def prepare(pages: DataFrame) -> Prepared:
     fields = page_fields(pages)
     return Prepared(fields=fields, impacts=build_impacts(fields), vectors=page_vectors(fields),
-                    norms=page_norms(fields))
+                    norms=page_norms(fields), passages=page_passages(fields))
 
 
-_TABLES = ("fields", "impacts", "vectors", "norms")
+_TABLES = ("fields", "impacts", "vectors", "norms", "passages")
 
 
 def _key(sf_dir: str) -> str:
@@ -70,8 +72,8 @@ def materialize(spark: SparkSession, sf_dir: str, force: bool = False) -> Prepar
                 # and derive the rest from the written copy
                 lazy.fields.write.mode("overwrite").parquet(f"{root}/fields")
                 fields = spark.read.parquet(f"{root}/fields")
-                lazy = Prepared(fields=fields, impacts=build_impacts(fields),
-                                vectors=page_vectors(fields), norms=page_norms(fields))
+                lazy = Prepared(fields=fields, impacts=build_impacts(fields), vectors=page_vectors(fields),
+                                norms=page_norms(fields), passages=page_passages(fields))
             if name != "fields":
                 getattr(lazy, name).write.mode("overwrite").parquet(path)
     return Prepared(*[spark.read.parquet(f"{root}/{n}") for n in _TABLES])

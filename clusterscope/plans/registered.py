@@ -49,7 +49,7 @@ def _prep(spark: SparkSession, sf_dir: str):
 def _hits(spark, sf_dir, with_highlight=False, materialize=False):
     prep = _prep(spark, sf_dir)
     valid, _ = load_queries(benchmark_queries(spark, sf_dir))
-    h = search(valid, prep.impacts, prep.fields, with_highlight=with_highlight)
+    h = search(valid, prep.impacts, prep.fields, with_highlight=with_highlight, passages=prep.passages)
     return prep, valid, (cut(h) if materialize else h)
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.urls import registered_domain
 from ..operators.index import build_impacts
 from ..operators.pages import dedupe_urls, page_fields
+from ..operators.search import page_passages
 from ..operators.similarity import page_norms, page_vectors
 from ..session import cut
 
@@ -52,6 +53,7 @@ def prepare_batch(batch: DataFrame, out_root: str) -> None:
     fields.write.mode("append").partitionBy("domain").parquet(fpath)
     page_vectors(fields).write.mode("append").partitionBy("domain").parquet(f"{out_root}/vectors")
     page_norms(fields).write.mode("append").partitionBy("domain").parquet(f"{out_root}/norms")
+    page_passages(fields).write.mode("append").partitionBy("domain").parquet(f"{out_root}/passages")
     touched = fields.select("domain").distinct()
     spark.catalog.refreshByPath(fpath)   # list the files appended just now
     all_touched = spark.read.parquet(fpath).join(touched, "domain", "left_semi")
@@ -77,5 +79,5 @@ def start_incremental_prepare(spark: SparkSession, pages_dir: str, out_root: str
 
 
 def prepared_tables(spark: SparkSession, out_root: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{out_root}/{n}") for n in ("fields", "impacts", "vectors", "norms")}
+    return {n: spark.read.parquet(f"{out_root}/{n}") for n in ("fields", "impacts", "vectors", "norms", "passages")}
 
