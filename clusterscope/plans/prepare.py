@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,18 +63,17 @@ def materialize(spark: SparkSession, sf_dir: str, force: bool = False) -> Prepar
     """Write the prepared tables once per input (keyed by path and mtime) and
     return DataFrames reading them."""
     root = prepared_root(spark, sf_dir)
-    lazy = None
-    for name in _TABLES:
-        path = f"{root}/{name}"
-        if force or not _exists(spark, path):
-            if lazy is None:
-                lazy = prepare(read_pages(spark, sf_dir))
-                # the page fields feed the other three tables: write them first
-                # and derive the rest from the written copy
-                lazy.fields.write.mode("overwrite").parquet(f"{root}/fields")
-                fields = spark.read.parquet(f"{root}/fields")
-                lazy = Prepared(fields=fields, impacts=build_impacts(fields), vectors=page_vectors(fields),
-                                norms=page_norms(fields), passages=page_passages(fields))
-            if name != "fields":
-                getattr(lazy, name).write.mode("overwrite").parquet(path)
+    todo = [n for n in _TABLES if force or not _exists(spark, f"{root}/{n}")]
+    if todo:
+        # the page fields feed every other table: write them first and derive
+        # the rest from the written copy, as independent concurrent jobs
+        prepare(read_pages(spark, sf_dir)).fields.write.mode("overwrite").parquet(f"{root}/fields")
+        fields = spark.read.parquet(f"{root}/fields")
+        derived = Prepared(fields=fields, impacts=build_impacts(fields), vectors=page_vectors(fields),
+                           norms=page_norms(fields), passages=page_passages(fields))
+        names = [n for n in _TABLES if n != "fields"]
+        with ThreadPoolExecutor(max_workers=len(names)) as pool:
+            for f in [pool.submit(lambda n=n: getattr(derived, n).write.mode("overwrite").parquet(f"{root}/{n}"))
+                      for n in names]:
+                f.result()
     return Prepared(*[spark.read.parquet(f"{root}/{n}") for n in _TABLES])
