@@ -73,7 +73,8 @@ def bm25(tf, df, dl, n_docs, avgdl, k1: float = BM25_K1, b: float = BM25_B):
     return idf * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * dl / avgdl))
 
 
-def build_impacts(fields: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+def build_impacts(fields: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
+                  columns: tuple = SEARCH_FIELDS) -> DataFrame:
     """Q3: ``impacts(domain, term, page_id, s_title, s_plaintext, s_fulltext)``.
 
     One aggregation on ``(domain, term, page_id)`` (combined map-side) yields
@@ -83,19 +84,19 @@ def build_impacts(fields: DataFrame, k1: float = BM25_K1, b: float = BM25_B) ->
     join (AQE), never one giant window partition.  Field statistics are one
     row per site (broadcast once AQE has measured them).
     """
-    t = field_tokens(fields)
+    t = field_tokens(fields, columns)
     tf = t.groupBy("domain", "term", "page_id").agg(*[
-        a for f in SEARCH_FIELDS for a in (
+        a for f in columns for a in (
             F.count(F.when(F.col("field") == f, 1)).alias(f"tf_{f}"),
             F.max(F.when(F.col("field") == f, F.col("dl"))).alias(f"dl_{f}"),
             # the row holding a page-field's first token carries its length once
             F.max(F.when((F.col("field") == f) & (F.col("pos") == 0), F.col("dl"))).alias(f"first_{f}"))
     ])
     df = tf.groupBy("domain", "term").agg(*[
-        F.count(F.when(F.col(f"tf_{f}") > 0, 1)).alias(f"df_{f}") for f in SEARCH_FIELDS])
+        F.count(F.when(F.col(f"tf_{f}") > 0, 1)).alias(f"df_{f}") for f in columns])
     # per-site field statistics from the same aggregate (no second tokenisation)
     fs = tf.groupBy("domain").agg(*[
-        a for f in SEARCH_FIELDS for a in (
+        a for f in columns for a in (
             F.count(F.col(f"first_{f}")).alias(f"n_{f}"),
             (F.sum(F.col(f"first_{f}")) / F.count(F.col(f"first_{f}"))).alias(f"avgdl_{f}"))
     ])
@@ -104,4 +105,4 @@ def build_impacts(fields: DataFrame, k1: float = BM25_K1, b: float = BM25_B) ->
         F.when(F.col(f"tf_{f}") > 0,
                bm25(F.col(f"tf_{f}"), F.col(f"df_{f}"), F.col(f"dl_{f}"), F.col(f"n_{f}"),
                     F.col(f"avgdl_{f}"), k1, b)).otherwise(F.lit(0.0)).alias(f"s_{f}")
-        for f in SEARCH_FIELDS])
+        for f in columns])

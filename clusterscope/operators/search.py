@@ -50,7 +50,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def dismax_score(boosts: dict | None = None, tie: float = 0.0):
     """Q1/Q2: per term, the max over fields of boost x field score (+ tie x rest)."""
     boosts = boosts or FIELD_BOOSTS
-    parts = [F.lit(float(boosts[f])) * F.col(f"s_{f}") for f in SEARCH_FIELDS if f in boosts]
+    parts = [F.lit(float(b)) * F.col(f"s_{f}") for f, b in boosts.items()]
     best = F.greatest(*parts)
     if tie:
         best = best + F.lit(tie) * (sum(parts[1:], parts[0]) - best)
