@@ -87,7 +87,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def cut(df):
-    """Materialise a reused intermediate and cut its lineage: a reliable
-    ``checkpoint`` into the shared ``spark.checkpoint.dir`` (never a local one)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise a reused intermediate and cut its lineage: written once as
+    Parquet into the shared ``spark.checkpoint.dir`` (never a local folder)
+    and read back.  Unlike ``checkpoint()`` on an unpersisted plan, this
+    computes the plan a single time, and later reads prune columns."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clusterscope-cut/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
