@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ENGLISH_STOPWORDS, PUNCTUATION, RAKE_MAX_CHARS, RAKE_MAX_PHRASES
-from ..functions.text import clean_label, clip_label, rake_tokens
+from ..functions.text import clean_label, clip_label
 from ..session import cut
 
 WORD_TOKEN_PATTERN = r"^[\p{L}\p{N}_]+$"

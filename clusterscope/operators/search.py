@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import FIELD_BOOSTS, SEARCH_FIELDS, TOP_K
+from ..config import FIELD_BOOSTS, TOP_K
 from ..functions.text import normalise_whitespace_controls, search_tokens
 
 # runs of letters/digits or of anything else: splitting a passage this way and

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..config import SIM_FIELDS, SIM_WEIGHTS
 from ..functions.text import sim_tokens
+from ..session import spread
 
 C_UNSHARED = 1.0 + math.log(1.5)
 C2 = C_UNSHARED * C_UNSHARED
@@ -56,6 +57,14 @@ def page_vectors(fields: DataFrame) -> DataFrame:
     return t.groupBy("domain", "page_id", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def shared_vectors(vectors: DataFrame) -> DataFrame:
+    """Drop the terms that occur in a single page of a site (per field): no
+    pair can share them, and the per-page norms already count them.  Saves
+    their rows in every later pair join; exact for both pair modes."""
+    df = vectors.groupBy("domain", "field", "term").agg(F.count(F.lit(1)).alias("_df"))
+    return vectors.join(df.where("_df >= 2").drop("_df"), ["domain", "field", "term"], "left_semi")
+
+
 def page_norms(fields: DataFrame) -> DataFrame:
     """``(domain, page_id, n_url, n_title, n_fulltext, n_plaintext, title_ok)``:
     sum tf^2 per field (0 = no token) and whether the title is usable.
@@ -88,8 +97,8 @@ def hit_pair_similarity(hits: DataFrame, vectors: DataFrame, norms: DataFrame) -
     ``(query_id, field, term)`` gives the shared terms of the hit pairs (at most
     C(k,2) per term and query); absent pairs are those J2 drops.
     """
-    hv = (hits.select("query_id", "domain", "page_id", "rank").join(vectors, ["domain", "page_id"])
-          .select("query_id", "field", "term", "rank", "tf"))
+    hv = (spread(hits.select("query_id", "domain", "page_id", "rank"), "query_id")
+          .join(vectors, ["domain", "page_id"]).select("query_id", "field", "term", "rank", "tf"))
     # one DataFrame joined with itself: both sides are the same plan, so its
     # shuffle on (query_id, field, term) runs once and is reused
     x, y = hv.alias("x"), hv.alias("y")

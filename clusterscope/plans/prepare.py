@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.index import build_impacts
 from ..operators.pages import page_fields
 from ..operators.search import page_passages
-from ..operators.similarity import page_norms, page_vectors
-from ..session import ensure_checkpoint_dir
+from ..operators.similarity import page_norms, page_vectors, shared_vectors
+from ..session import ensure_checkpoint_dir, parallelism, spread
 from ..sources.tables import read_pages
 
 
@@ -28,14 +28,14 @@ from ..sources.tables import read_pages
 class Prepared:
     fields: DataFrame    # (domain, page_id, url, url_hash, url_text, title, plaintext, fulltext)
     impacts: DataFrame   # (domain, term, page_id, s_title, s_plaintext, s_fulltext)
-    vectors: DataFrame   # (domain, page_id, field, term, tf)
+    vectors: DataFrame   # (domain, page_id, field, term, tf) — terms shared by >= 2 pages of a site
     norms: DataFrame     # (domain, page_id, n_url, n_title, n_fulltext, n_plaintext, title_ok)
     passages: DataFrame  # (domain, page_id, src, i, s, toks) — highlight sentences
 
 
 def prepare(pages: DataFrame) -> Prepared:
     fields = page_fields(pages)
-    return Prepared(fields=fields, impacts=build_impacts(fields), vectors=page_vectors(fields),
+    return Prepared(fields=fields, impacts=build_impacts(fields), vectors=shared_vectors(page_vectors(fields)),
                     norms=page_norms(fields), passages=page_passages(fields))
 
 
@@ -67,13 +67,19 @@ def materialize(spark: SparkSession, sf_dir: str, force: bool = False) -> Prepar
     if todo:
         # the page fields feed every other table: write them first and derive
         # the rest from the written copy, as independent concurrent jobs
-        prepare(read_pages(spark, sf_dir)).fields.write.mode("overwrite").parquet(f"{root}/fields")
+        n = parallelism(spark)
+        pages = spread(read_pages(spark, sf_dir), "page_id")
+        prepare(pages).fields.repartition(n, "domain", "page_id").write.mode("overwrite").parquet(f"{root}/fields")
         fields = spark.read.parquet(f"{root}/fields")
-        derived = Prepared(fields=fields, impacts=build_impacts(fields), vectors=page_vectors(fields),
-                           norms=page_norms(fields), passages=page_passages(fields))
-        names = [n for n in _TABLES if n != "fields"]
-        with ThreadPoolExecutor(max_workers=len(names)) as pool:
-            for f in [pool.submit(lambda n=n: getattr(derived, n).write.mode("overwrite").parquet(f"{root}/{n}"))
-                      for n in names]:
+        derived = Prepared(fields=fields, impacts=build_impacts(fields),
+                           vectors=shared_vectors(page_vectors(fields)), norms=page_norms(fields),
+                           passages=page_passages(fields))
+        # written as n files each (keyed like their later joins), so later scans
+        # are parallel even when the tables are small
+        keys = {"impacts": ("domain", "term"), "vectors": ("domain", "page_id"),
+                "norms": ("domain", "page_id"), "passages": ("domain", "page_id")}
+        with ThreadPoolExecutor(max_workers=len(keys)) as pool:
+            for f in [pool.submit(lambda t=t, k=k: getattr(derived, t).repartition(n, *k).write.mode("overwrite")
+                                  .parquet(f"{root}/{t}")) for t, k in keys.items()]:
                 f.result()
     return Prepared(*[spark.read.parquet(f"{root}/{n}") for n in _TABLES])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import CLUSTER_ALGORITHMS, SIM_FIELDS
 from ..operators.cluster_small import dbscan_labels
-from ..operators.groups import assemble_clusters, rank_clusters, relabel_noise
+from ..operators.groups import relabel_noise
 from ..operators.index import build_impacts, build_postings, field_stats
 from ..operators.labels import rake_summaries
 from ..session import ensure_checkpoint_dir

@@ -97,3 +97,18 @@ def cut(df):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clusterscope-cut/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def parallelism(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, 1)
+
+
+def spread(df, *keys):
+    """Give a small input enough partitions for the cluster's cores before
+    heavy narrow work (HTML extraction, fan-out joins).  Inputs that already
+    have that many partitions (the large-data case) are left as they are, so
+    this never adds a shuffle at scale."""
+    n = parallelism(df.sparkSession)
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, *keys) if keys else df.repartition(n)
