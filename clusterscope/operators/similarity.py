@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..config import SIM_FIELDS, SIM_WEIGHTS
 from ..functions.text import sim_tokens
-from ..session import spread
+from ..session import parallelism
 
 C_UNSHARED = 1.0 + math.log(1.5)
 C2 = C_UNSHARED * C_UNSHARED
@@ -97,8 +97,11 @@ def hit_pair_similarity(hits: DataFrame, vectors: DataFrame, norms: DataFrame) -
     ``(query_id, field, term)`` gives the shared terms of the hit pairs (at most
     C(k,2) per term and query); absent pairs are those J2 drops.
     """
-    hv = (spread(hits.select("query_id", "domain", "page_id", "rank"), "query_id")
-          .join(vectors, ["domain", "page_id"]).select("query_id", "field", "term", "rank", "tf"))
+    # hits (four narrow columns, k rows per query) are spread over the cores
+    # by query before each fans out into its page's vector rows
+    h = hits.select("query_id", "domain", "page_id", "rank").repartition(
+        parallelism(hits.sparkSession), "query_id")
+    hv = h.join(vectors, ["domain", "page_id"]).select("query_id", "field", "term", "rank", "tf")
     # one DataFrame joined with itself: both sides are the same plan, so its
     # shuffle on (query_id, field, term) runs once and is reused
     x, y = hv.alias("x"), hv.alias("y")

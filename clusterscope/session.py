@@ -104,10 +104,11 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df, *keys):
-    """Give a small input enough partitions for the cluster's cores before
-    heavy narrow work (HTML extraction, fan-out joins).  Inputs that already
-    have that many partitions (the large-data case) are left as they are, so
-    this never adds a shuffle at scale."""
+    """Give a small *scanned* input enough partitions for the cluster's cores
+    before heavy narrow work (HTML extraction).  Inputs that already have that
+    many partitions (the large-data case) are left as they are, so this never
+    adds a shuffle at scale.  Only for scan/project/filter plans: asking an
+    adaptive plan with shuffles for its partitions would run those stages."""
     n = parallelism(df.sparkSession)
     if df.rdd.getNumPartitions() >= n:
         return df
