@@ -423,6 +423,7 @@ SELECT query_id, rank_a, rank_b, round(d, 6) AS d FROM dist"""
 SELECT domain, page_id, CAST(cluster AS BIGINT) AS cluster FROM cdb"""
     out["page_fields"] = _with(F) + """
 SELECT domain, page_id, url, url_hash, url_text, title, plaintext, fulltext FROM fields"""
+    out["incremental_prepare"] = out["page_fields"]
     out["postings"] = _with(F, I) + """
 SELECT domain, field, term, page_id, count(*) AS tf, max(dl) AS dl,
        string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions

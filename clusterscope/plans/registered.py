@@ -96,6 +96,19 @@ def q_similarity_scan(spark, sf_dir):
     return d.select("query_id", "rank_a", "rank_b", _r("d"))
 
 
+def q_incremental_prepare(spark, sf_dir):
+    """The streaming path: the pages table read as a file stream
+    (availableNow), prepared micro-batch by micro-batch; returns the prepared
+    page fields, which must equal the batch preparation."""
+    from ..streaming.incremental import prepared_tables, start_incremental_prepare
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clusterscope-stream/{uuid.uuid4().hex}"
+    q = start_incremental_prepare(spark, f"{sf_dir.rstrip('/')}/pages*.parquet", f"{root}/out", f"{root}/ckpt")
+    q.awaitTermination()
+    f = prepared_tables(spark, f"{root}/out")["fields"]
+    return f.select("domain", "page_id", "url", "url_hash", "url_text", "title", "plaintext", "fulltext")
+
+
 # -- index --------------------------------------------------------------------
 def q_postings(spark, sf_dir):
     p = build_postings(_prep(spark, sf_dir).fields, with_positions=True)
@@ -261,6 +274,7 @@ def q_search_semantic(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {
         "page_fields": q_page_fields,
+        "incremental_prepare": q_incremental_prepare,
         "page_keys": q_page_keys,
         "page_links": q_page_links,
         "reachable_pages": q_reachable_pages,
