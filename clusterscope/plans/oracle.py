@@ -407,6 +407,9 @@ SELECT domain, page_id, url, page_key FROM pk"""
     out["urlmap"] = _with(F, keyq) + """
 SELECT domain, url, page_key AS path FROM (
   SELECT *, row_number() OVER (PARTITION BY url ORDER BY domain, page_id) AS r FROM pk) WHERE r = 1"""
+    out["urlmap_recrawl"] = _with(F, keyq) + """
+SELECT domain, url, 'v2/' || page_key AS path FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY domain DESC, page_id DESC) AS r FROM pk) WHERE r = 1"""
     store = """
 store AS (
   SELECT least(md5(url_a), md5(url_b)) AS url1_hash, greatest(md5(url_a), md5(url_b)) AS url2_hash,

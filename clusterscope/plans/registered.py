@@ -83,6 +83,18 @@ def q_urlmap(spark, sf_dir):
     return m.select(F.regexp_extract("file", r"domain=([^/]+)/", 1).alias("domain"), "url", "path")
 
 
+def q_urlmap_recrawl(spark, sf_dir):
+    """S2 on an appended manifest: the site crawled twice (second crawl's files
+    under ``v2/``); the indexer's reader keeps the last occurrence of a URL."""
+    pages = read_pages(spark, sf_dir)
+    keys = page_keys(pages).select("domain", "page_id", "url", F.col("page_key").alias("path"))
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clusterscope-urlmap/{uuid.uuid4().hex}"
+    write_urlmap(keys, root, run="0001")
+    write_urlmap(keys.withColumn("path", F.concat(F.lit("v2/"), "path")), root, run="0002")
+    m = read_urlmap(spark, root, mode="last")
+    return m.select(F.regexp_extract("file", r"domain=([^/]+)/", 1).alias("domain"), "url", "path")
+
+
 def q_similarity_store(spark, sf_dir):
     prep, _, h = _hits(spark, sf_dir, materialize=True)
     st = canonical_rows(hit_pair_similarity(h, prep.vectors, prep.norms))
@@ -279,6 +291,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_links": q_page_links,
         "reachable_pages": q_reachable_pages,
         "urlmap": q_urlmap,
+        "urlmap_recrawl": q_urlmap_recrawl,
         "similarity_store": q_similarity_store,
         "similarity_scan": q_similarity_scan,
         "postings": q_postings,

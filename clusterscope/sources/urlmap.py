@@ -42,10 +42,15 @@ def read_urlmap(spark: SparkSession, path: str, mode: str = "first") -> DataFram
     return out.select("file", F.col("k").alias("pos"), "url", "path")
 
 
-def write_urlmap(pages: DataFrame, path: str, partitions: int | None = None) -> None:
+def write_urlmap(pages: DataFrame, path: str, partitions: int | None = None, run: str | None = None) -> None:
     """Write the manifest of ``pages(domain, page_id, url, path)``, one
     folder per domain; range partitioning on ``(domain, page_id)`` splits a
-    big domain over several ordered chunk files instead of one task."""
+    big domain over several ordered chunk files instead of one task.
+
+    ``run`` appends a crawl to an existing manifest: each run is its own
+    ``run=<label>`` folder, so readers order runs by label, then chunks."""
+    if run is not None:
+        path = f"{path.rstrip('/')}/run={run}"
     lines = pages.select("domain", "page_id", F.explode(F.array(
         F.struct(F.lit(0).alias("j"), F.col("url").alias("line")),
         F.struct(F.lit(1).alias("j"), F.col("path").alias("line")))).alias("x"))
