@@ -19,7 +19,7 @@ HEADLINE = [
     "search_hits",
     "search_highlights",
     "hit_similarity",
-    "clustered_search",
+    "grouped_search",
     "rank_median_score",
     "cluster_linkage_ward",
     "cluster_hdbscan",

@@ -40,8 +40,8 @@ def in_domain(url, domain) -> Column:
 def strip_domain(url, domain, fixed: bool = False) -> Column:
     """The URL from one character past the first occurrence of the domain.
 
-    Skips a single character, not the domain (``https://makehaven.org/x`` ->
-    ``akehaven.org/x``); domain absent -> whole URL; empty result -> one space.
+    Skips a single character, not the domain (``https://toolshed.org/x`` ->
+    ``oolshed.org/x``); domain absent -> whole URL; empty result -> one space.
     ``fixed=True`` cuts the whole domain instead.
     """
     u = _c(url)

@@ -480,7 +480,7 @@ SELECT query_id, domain,
        cluster_id, size, first_rank, members, round(score_max, 6) AS score_max,
        round(score_median, 6) AS score_median, round(score_sum, 6) AS score_sum{extra}
 FROM clus{join}"""
-    out["clustered_search"] = _with(F, I, H, S, D, C, K) + ranked.format(
+    out["grouped_search"] = _with(F, I, H, S, D, C, K) + ranked.format(
         m="score_max", extra=", coalesce(summ.summary, '') AS summary",
         join=" LEFT JOIN summ USING (query_id, cluster_id)")
     out["rank_median_score"] = _with(F, I, H, S, D, C) + ranked.format(m="score_median", extra="", join="")

@@ -32,7 +32,7 @@ from ..operators.search import search
 from ..operators.similarity import hit_distances, hit_pair_similarity
 from ..sources.tables import benchmark_queries, conversation_queries, load_queries, read_pages
 from ..session import cut
-from .clustered_search import clustered_search, flat_search
+from .grouped_search import grouped_search, flat_search
 from .prepare import materialize
 
 R = 6
@@ -177,7 +177,7 @@ def q_dbscan_labels(spark, sf_dir):
 
 def _clusters(spark, sf_dir, **kw):
     prep = _prep(spark, sf_dir)
-    c = clustered_search(benchmark_queries(spark, sf_dir), prep, **kw)
+    c = grouped_search(benchmark_queries(spark, sf_dir), prep, **kw)
     cols = ["query_id", "domain", "cluster_rank", "cluster_id", "size", "first_rank", "members",
             _r("score_max"), _r("score_median"), _r("score_sum")]
     if "summary" in c.columns:
@@ -185,7 +185,7 @@ def _clusters(spark, sf_dir, **kw):
     return c.select(*cols)
 
 
-def q_clustered_search(spark, sf_dir):
+def q_grouped_search(spark, sf_dir):
     """A5 flagship: dbscan / rake / max_score for every benchmark query on every site."""
     return _clusters(spark, sf_dir)
 
@@ -221,7 +221,7 @@ def q_cluster_dispatch(spark, sf_dir):
                  "summary_alg", "rank_alg")
     q = q.select(F.concat("qid", F.lit("/"), F.lower("cluster_alg")).alias("query_id"), "domain", "query",
                  "cluster_alg", "summary_alg", "rank_alg")
-    c = clustered_search(q, _prep(spark, sf_dir), with_summary=False)
+    c = grouped_search(q, _prep(spark, sf_dir), with_summary=False)
     return c.select("query_id", "domain", "cluster_rank", "cluster_id", "size", "first_rank", "members",
                     _r("score_max"))
 
@@ -303,7 +303,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hit_similarity": q_hit_similarity,
         "hit_distances": q_hit_distances,
         "dbscan_labels": q_dbscan_labels,
-        "clustered_search": q_clustered_search,
+        "grouped_search": q_grouped_search,
         "rank_median_score": q_rank_median_score,
         "rank_sum_score": q_rank_sum_score,
         "rake_labels": q_rake_labels,

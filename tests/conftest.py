@@ -28,12 +28,12 @@ def spark():
 
 
 MINI_SITE = [
-    (0, "https://makehaven.org/tools/laser", "Laser cutter", "laser cutter training for members",
+    (0, "https://toolshed.org/tools/laser", "Laser cutter", "laser cutter training for members",
      "laser cutter training"),
-    (1, "https://makehaven.org/tools/saw", "Table saw", "table saw training for members", "table saw training"),
-    (2, "https://makehaven.org/tools/laser2", "Laser cutter", "laser cutter guide for members",
+    (1, "https://toolshed.org/tools/saw", "Table saw", "table saw training for members", "table saw training"),
+    (2, "https://toolshed.org/tools/laser2", "Laser cutter", "laser cutter guide for members",
      "laser cutter training guide"),
-    (3, "https://makehaven.org/about", "About", "our history and staff", "our history"),
+    (3, "https://toolshed.org/about", "About", "our history and staff", "our history"),
 ]
 
 
@@ -45,7 +45,7 @@ def mini_fields(spark):
     from clusterscope.functions.urls import strip_domain, url_hash
 
     df = spark.createDataFrame(
-        [("makehaven.org", pid, url, title, full, plain) for pid, url, title, full, plain in MINI_SITE],
+        [("toolshed.org", pid, url, title, full, plain) for pid, url, title, full, plain in MINI_SITE],
         "domain string, page_id long, url string, title string, fulltext string, plaintext string")
     return df.select("domain", "page_id", "url", url_hash("url").alias("url_hash"),
                      strip_domain(F.col("url"), F.col("domain")).alias("url_text"),
