@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import FIELD_BOOSTS, TOP_K
 from ..functions.text import normalise_whitespace_controls, search_tokens
+from ..session import cut
 
 # runs of letters/digits or of anything else: splitting a passage this way and
 # joining the runs back restores it exactly
@@ -104,11 +105,17 @@ def search(queries: DataFrame, impacts: DataFrame, fields: DataFrame, k: int = T
     original query id.
     """
     top = top_k(match_scores(queries, impacts, boosts), k)
-    cols = ["domain", "page_id", "url", "title"] + (["plaintext", "fulltext"] if with_highlight else [])
-    pages = fields.select(*cols).where(F.col("url").isNotNull())
+    pages = fields.select("domain", "page_id", "url", "title").where(F.col("url").isNotNull())
     hits = top.join(pages, ["domain", "page_id"])
     if not with_highlight:
         return hits.select(*HIT_COLUMNS)
+    # the highlight plan reads the hits three times: materialise them once
+    # (k rows per query) instead of re-running the search per read
+    hits = cut(hits.select(*HIT_COLUMNS))
+    if passages is None:
+        # no prepared passages: build them for the hit pages only
+        passages = page_passages(fields.join(hits.select("domain", "page_id").distinct(),
+                                             ["domain", "page_id"], "left_semi"))
     qterms = queries.select(F.col("query_id").alias("base_id"),
                             F.array_distinct(search_tokens(F.col("query"))).alias("_terms"))
     return _add_highlight_rows(hits, qterms, passages).select(*HIT_COLUMNS, "highlight", "highlight_str")
@@ -156,14 +163,12 @@ def page_passages(fields: DataFrame) -> DataFrame:
     return x.select("domain", "page_id", "src", "i", "s", F.array_distinct(search_tokens(F.col("s"))).alias("toks"))
 
 
-def _add_highlight_rows(hits: DataFrame, qterms: DataFrame, passages: DataFrame | None = None) -> DataFrame:
+def _add_highlight_rows(hits: DataFrame, qterms: DataFrame, passages: DataFrame) -> DataFrame:
     """Q7/Q8 with sentences as rows: every sentence of the plaintext (source 1)
     and of the full text (source 2) is scored with built-in array functions;
     the best per hit is ``min(struct(source, -matches, position))`` over the
     matching ones, combined map-side; the winner is marked inside its row."""
     h = hits.join(qterms, "base_id")
-    if passages is None:
-        passages = page_passages(hits.select("domain", "page_id", "plaintext", "fulltext").distinct())
     x = h.select("query_id", "rank", "domain", "page_id", "_terms").join(passages, ["domain", "page_id"])
     x = x.select("query_id", "rank", "src", "i", "s",
                  F.size(F.array_intersect(F.col("toks"), F.col("_terms"))).alias("n")).where("n > 0")
