@@ -72,3 +72,43 @@ def test_in_row_dbscan_matches_textbook(spark, seed):
         got.setdefault(int(r.query_id[1:]), {})[r["rank"]] = r.label
     for q, lab in want.items():
         assert [got[q][i + 1] for i in range(len(lab))] == lab
+
+
+@pytest.mark.parametrize("seed", [4, 5, 6, 7])
+def test_single_linkage_cut_equals_components(seed):
+    from clusterscope.operators.cluster_groups import fcluster_distance, linkage
+
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(2, 11))
+    m = np.triu(rng.uniform(0, 1, (n, n)), 1)
+    m = m + m.T
+    z = linkage(m, "single")
+    for t in sorted(set(np.round(m[np.triu_indices(n, 1)], 12))) + [0.0, 1.0]:
+        lab = fcluster_distance(z, t)
+        # components of the graph d <= t
+        comp = list(range(n))
+        for i in range(n):
+            for j in range(n):
+                if i != j and m[i, j] <= t:
+                    a, b = comp[i], comp[j]
+                    comp = [a if c == b else c for c in comp]
+        same_l = {(i, j) for i in range(n) for j in range(n) if lab[i] == lab[j]}
+        same_c = {(i, j) for i in range(n) for j in range(n) if comp[i] == comp[j]}
+        assert same_l == same_c
+
+
+@pytest.mark.parametrize("method,agg", [("complete", np.max), ("average", np.mean), ("single", np.min)])
+def test_linkage_heights_match_definition(method, agg):
+    from clusterscope.operators.cluster_groups import linkage
+
+    rng = np.random.default_rng(11)
+    n = 9
+    m = np.triu(rng.uniform(0, 1, (n, n)), 1)
+    m = m + m.T
+    z = linkage(m, method)
+    members = {i: [i] for i in range(n)}
+    for step, (a, b, h, size) in enumerate(z):
+        pa, pb = members[int(a)], members[int(b)]
+        assert h == pytest.approx(agg(m[np.ix_(pa, pb)]), abs=1e-12)
+        members[n + step] = pa + pb
+        assert size == len(pa) + len(pb)
