@@ -9,8 +9,9 @@ phrases (score desc, phrase desc) joined by ", " form the label.  Words that
 appear in the labels of at least ``max(2, clusters / 2)`` clusters of a query
 are blanked, then the label is cleaned (R7) and clipped (R8).
 
-Token order is ``(rank, pos)``, so phrases may run on from one member's text
-into the next, as they do in the newline-joined text.
+The member texts are newline-joined in hit order before tokenising, so a
+phrase may run on from one member's text into the next, exactly as when
+the joined text is labelled.
 """
 
 from __future__ import annotations
