@@ -44,7 +44,7 @@ def strip_invisible(html) -> Column:
     return _re(h, STYLE_PATTERN)
 
 
-def extract_plaintext(html) -> Column:
+def extract_plaintext(html, cleaned: bool = False) -> Column:
     """Text of ``title``, ``h1``..``h6`` and ``p`` elements, newline-joined.
 
     A marker goes before every block tag (open or close); segments that start
@@ -52,7 +52,7 @@ def extract_plaintext(html) -> Column:
     next block tag.  Inner tags become line breaks, entities are decoded and
     blank runs around line breaks collapse to one newline.
     """
-    clean = strip_invisible(html)
+    clean = _c(html) if cleaned else strip_invisible(html)
     marked = _re(clean, BLOCK_PATTERN, MARK + "<$1$2")
     segs = F.split(marked, MARK)
     keep = F.filter(segs, lambda s: s.rlike(TEXT_SEGMENT_PATTERN))
@@ -62,27 +62,27 @@ def extract_plaintext(html) -> Column:
     return _re(text, r"^\n+|\n+$", "")
 
 
-def extract_fulltext(html) -> Column:
+def extract_fulltext(html, cleaned: bool = False) -> Column:
     """Visible body text plus link targets and image alt text.
 
     Head, scripts, styles and comments are dropped; each ``<a href=X>`` adds X
     to the text (a markdown rendering keeps link targets inline); other tags
     become spaces; entities decoded; whitespace collapsed.
     """
-    clean = _re(strip_invisible(html), HEAD_PATTERN)
+    clean = _re(_c(html) if cleaned else strip_invisible(html), HEAD_PATTERN)
     clean = _re(clean, HREF_TAG_PATTERN, " $1 ")
     clean = _re(clean, IMG_ALT_PATTERN, " $1 ")
     text = unescape_html(_re(clean, TAG_PATTERN, " "))
     return F.trim(_re(text, r"[ \t\r\n\f]+", " "))
 
 
-def extract_title(html, url) -> Column:
+def extract_title(html, url, cleaned: bool = False) -> Column:
     """The ``<title>`` string.
 
     No title tag -> the URL; a title tag that is empty or holds markup -> NULL
     (such a page then has no similarity rows, see J2).
     """
-    clean = strip_invisible(html)
+    clean = _c(html) if cleaned else strip_invisible(html)
     raw = F.regexp_extract(clean, TITLE_PATTERN, 1)
     return (
         F.when(~clean.rlike(TITLE_OPEN_PATTERN), _c(url))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.html import extract_fulltext, extract_plaintext, extract_title
+from ..functions.html import extract_fulltext, extract_plaintext, extract_title, strip_invisible
 from ..functions.urls import in_domain, page_key, strip_domain, url_hash
 
 
@@ -36,13 +36,15 @@ def page_fields(pages: DataFrame, fixed_strip: bool = False, dedupe: bool = True
     the HTML is dropped, on ``(domain, url)``.
     """
     p = keep_in_domain(html_only(pages))
+    # comments, scripts and styles removed once; the three extractors share it
+    p = p.select("domain", "page_id", "url", strip_invisible(F.col("html")).alias("_clean"))
     out = p.select(
         "domain", "page_id", "url",
         url_hash("url").alias("url_hash"),
         strip_domain(F.col("url"), F.col("domain"), fixed=fixed_strip).alias("url_text"),
-        extract_title(F.col("html"), F.col("url")).alias("title"),
-        extract_plaintext(F.col("html")).alias("plaintext"),
-        extract_fulltext(F.col("html")).alias("fulltext"),
+        extract_title(F.col("_clean"), F.col("url"), cleaned=True).alias("title"),
+        extract_plaintext(F.col("_clean"), cleaned=True).alias("plaintext"),
+        extract_fulltext(F.col("_clean"), cleaned=True).alias("fulltext"),
     )
     return dedupe_urls(out) if dedupe else out
 
