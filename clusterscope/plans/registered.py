@@ -237,8 +237,8 @@ _LSA: dict = {}
 
 
 def _lsa(spark, sf_dir):
-    """The semantic job's model (L1-L4) over the pages' full text, fitted once
-    per session and input; its factor tables are checkpointed."""
+    """The semantic job's models (L1-L4), one per site, over the pages' full
+    text, fitted once per session and input; factor tables are materialised."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LSA:
         prep = _prep(spark, sf_dir)
@@ -260,13 +260,13 @@ def q_lsa_blurred_field(spark, sf_dir):
 
 
 def q_lsa_topic_terms(spark, sf_dir):
-    return topic_terms(_lsa(spark, sf_dir)).select("topic", "term", _r("weight"))
+    return topic_terms(_lsa(spark, sf_dir)).select("domain", "topic", "term", _r("weight"))
 
 
 def q_lsa_related_terms(spark, sf_dir):
     """30 related terms for every distinct term of the benchmark queries."""
     toks = benchmark_queries(spark, sf_dir).select(F.explode(search_tokens(F.col("query"))).alias("token"))
-    return related_terms(_lsa(spark, sf_dir), toks, 30).select("token", "rank", "term", _r("score"))
+    return related_terms(_lsa(spark, sf_dir), toks, 30).select("domain", "token", "rank", "term", _r("score"))
 
 
 def q_search_semantic(spark, sf_dir):
