@@ -428,7 +428,7 @@ SELECT domain, page_id, CAST(cluster AS BIGINT) AS cluster FROM cdb"""
 SELECT domain, page_id, url, url_hash, url_text, title, plaintext, fulltext FROM fields"""
     out["incremental_prepare"] = out["page_fields"]
     out["postings"] = _with(F, I) + """
-SELECT domain, field, term, page_id, count(*) AS tf, max(dl) AS dl,
+SELECT domain, field, term, page_id, count(*) AS tf, CAST(max(dl) AS INTEGER) AS dl,
        string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
 FROM toks GROUP BY domain, field, term, page_id"""
     out["field_stats"] = _with(F, I) + """
@@ -476,7 +476,8 @@ SELECT query_id, rank_a, rank_b, round(d, 6) AS d FROM dist"""
 SELECT query_id, rank, cluster_id FROM cids"""
     ranked = """
 SELECT query_id, domain,
-       row_number() OVER (PARTITION BY query_id ORDER BY round({m}, 9) DESC, first_rank) AS cluster_rank,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY round({m}, 9) DESC, first_rank) AS INTEGER)
+         AS cluster_rank,
        cluster_id, size, first_rank, members, round(score_max, 6) AS score_max,
        round(score_median, 6) AS score_median, round(score_sum, 6) AS score_sum{extra}
 FROM clus{join}"""

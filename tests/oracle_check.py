@@ -56,18 +56,24 @@ def main():
         if name not in sql:
             print(f"{name:32s} spark rows={len(rows):7d} ({t1 - t0:5.1f}s)  [no oracle]")
             continue
+        types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql[name]}").fetchall()}
+        sp = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+        tdiff = {f.name: (f.dataType.simpleString(), types.get(f.name)) for f in df.schema.fields
+                 if sp.get(f.dataType.simpleString(), f.dataType.simpleString()) != types.get(f.name)}
         res = con.execute(sql[name])
         ocols = [d[0] for d in res.description]
         orows = res.fetchall()
         t2 = time.time()
         ok_cols = sorted(df.columns) == sorted(ocols)
         hs, ho = digest(df.columns, rows), digest(ocols, orows)
-        ok = ok_cols and len(rows) == len(orows) and hs == ho
+        ok = ok_cols and not tdiff and len(rows) == len(orows) and hs == ho
         bad += not ok
         print(f"{name:32s} spark rows={len(rows):7d} ({t1 - t0:5.1f}s) oracle rows={len(orows):7d} "
               f"({t2 - t1:5.1f}s) cols={'ok' if ok_cols else 'DIFF'} hash={'MATCH' if hs == ho else 'DIFF'}")
         if not ok_cols:
             print("   spark:", sorted(df.columns), "\n   oracle:", sorted(ocols))
+        if tdiff:
+            print("   types differ:", tdiff)
     print("mismatches:", bad)
 
 
