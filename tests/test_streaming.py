@@ -3,8 +3,6 @@
 import os
 import tempfile
 
-
-
 from clusterscope.operators.index import build_impacts
 from clusterscope.operators.pages import page_fields
 from clusterscope.sources.tables import read_pages
