@@ -61,7 +61,7 @@ def _windows_on(diagonal: Column, item: Column, doc: Column, span: Column) -> Co
                        lambda j: diagonal + j)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Words of each document that stand in an occurrence of a benchmark window.
 
     A window is ``span`` consecutive words of an item, or a shorter item as a
@@ -69,8 +69,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     doc_id, n_words, n_hit, n_items, item_ids (as strings, sorted), hits (places of
     the hit words) and contaminated.  A null or wordless text or item has no
     words and hits nothing; item rows with one item_id are one item, and
-    those without an item_id count as one item named by the empty string.
+    those without an item_id count as one item named by the empty string.  Options: span and
+    gram (words).
     """
+    return _checked(docs, benchmark, **options).drop("row")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with its columns, that hold no benchmark window."""
+    return _checked(docs, benchmark, **options).where(~F.col("contaminated")).select("row.*")
+
+
+def _checked(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     texts = with_text_key(docs)
     items = cut(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
                                  words(F.col("text").cast("string")).alias("words")).where(F.size("words") > 0).distinct())
@@ -93,18 +103,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     per_text = cut(per_item.groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("item_id", "item_words", "diagonals")).alias("candidates")))
 
-    t, c = texts.alias("t"), per_text.alias("c")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    t, c = rows.alias("t"), per_text.alias("c")
     joined = t.join(c, F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.text_key") == F.col("c.text_key")), "left")
-    joined = joined.select("t.doc_id", words(F.col("t.text")).alias("words"), "c.candidates")
+    joined = joined.select("t.row", "t.doc_id", words(F.col("t.row.text").cast("string")).alias("words"), "c.candidates")
 
     def occurrences(x):
         n = F.least(F.size(x.item_words), F.lit(span))
         starts = F.flatten(F.transform(x.diagonals, lambda d: _windows_on(d, x.item_words, F.col("words"), n)))
         return F.struct(x.item_id.alias("item_id"), F.flatten(F.transform(starts, lambda s: F.sequence(s, s + n - 1))).alias("places"))
-    checked = joined.select("doc_id", F.size("words").cast("long").alias("n_words"),
+    checked = joined.select("row", "doc_id", F.size("words").cast("long").alias("n_words"),
                             F.filter(F.transform(F.coalesce("candidates", F.array().cast("array<struct<item_id:string,item_words:array<string>,diagonals:array<int>>>")),
                                                  occurrences), lambda o: F.size(o.places) > 0).alias("found"))
-    found = checked.select("doc_id", "n_words", F.array_sort(F.array_distinct(F.col("found.item_id"))).alias("item_ids"),
+    found = checked.select("row", "doc_id", "n_words", F.array_sort(F.array_distinct(F.col("found.item_id"))).alias("item_ids"),
                            F.array_distinct(F.flatten("found.places")).alias("hits"))
-    return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+    return found.select("row", "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
                         "item_ids", "hits", (F.size("hits") > 0).alias("contaminated"))

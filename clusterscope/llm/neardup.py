@@ -207,3 +207,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, first_leaders: int
             .join(of_class, ["set1", "set2"], "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with its columns, whose doc_id stands for its component; of rows that
+    agree in doc_id and text one stays, and rows without a doc_id all stay."""
+    ids = cut(near_duplicates(docs, **options).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    kept = rows.join(ids, "id")
+    single, several = kept.where("n = 1").select("row"), kept.where("n > 1")
+    if not ids.where("n > 1").isEmpty():
+        first = F.row_number().over(Window.partitionBy("id", "row.text").orderBy(F.xxhash64("row")))
+        single = single.unionByName(several.withColumn("nth", first).where("nth = 1").select("row"))
+    return single.unionByName(rows.where("id is null").select("row")).select("row.*")

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -258,9 +259,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, order: list
     ship_package(docs.sparkSession)
     _make_folder(folder)
     order = order or ["doc_id"]
-    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    files = cut(rows.mapInArrow(_write_part(folder, tokenizer, _id_type(tokenizer), end_id, frame_bytes),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in order if c != "doc_id"])
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    files = cut(rows.select("doc_id", "text").mapInArrow(_write_part(folder, tokenizer, _id_type(tokenizer), end_id, frame_bytes),
                                 "part int, path string, documents long, ids long"))
     # A row per file; files hold many thousand documents, so this list stays short.
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -302,3 +303,15 @@ def fresh_folder(spark: SparkSession) -> str:
 def token_output(docs: DataFrame, tokenizer: str, order: list | None = None) -> DataFrame:
     """Write ``docs`` to a fresh folder under the session's shared folder and read the files back."""
     return read_token_files(write_token_files(docs, fresh_folder(docs.sparkSession), tokenizer, order))
+
+
+def in_file_order(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with columns that say where its rows stand in the files it is read from, and their
+    names for ``order``; by doc_id if it isn't read from files."""
+    try:
+        rows = docs.select("doc_id", "text", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).alias("at_part"),
+                           F.col("_metadata.file_name").alias("at_file"), F.col("_metadata.row_index").alias("at_row"))
+    except AnalysisException:
+        return docs, ["doc_id"]
+    number = F.when(F.col("at_part") == "", F.lit(0)).otherwise(F.col("at_part")).cast("decimal(38,0)")
+    return rows.withColumn("at_part", number), ["at_part", "at_file", "at_row"]
