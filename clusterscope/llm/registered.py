@@ -107,11 +107,11 @@ parts AS (SELECT i, source, s, q, (w * (q - s)) // total AS share, (w * (q - s))
 shares AS (SELECT i, source, q, 1 + share + CASE WHEN row_number() OVER (ORDER BY rest DESC, source) <= q - s - sum(share) OVER () THEN 1 ELSE 0 END AS a FROM parts),
 listed AS (SELECT max(q) AS q, list(a ORDER BY i) AS a FROM shares),
 edf AS (
-    SELECT -1 AS t, CAST(NULL AS BIGINT) AS pick, list_transform(a, x -> CAST(0 AS BIGINT)) AS had FROM listed
+    SELECT -1 AS t, CAST(NULL AS BIGINT) AS pick, list_transform(a, lambda x: CAST(0 AS BIGINT)) AS had FROM listed
     UNION ALL
-    SELECT t, pick, list_transform(had, (h, i) -> CASE WHEN i = pick THEN h + 1 ELSE h END) FROM (
-        SELECT e.t + 1 AS t, e.had, CAST(list_min(list_filter(list_transform(e.had, (h, i) -> CASE WHEN h < l.a[i] AND (h * l.q) // l.a[i] <= e.t + 1
-                 THEN ((h + 1) * l.q + l.a[i] - 1) // l.a[i] * 1000000 + i END), x -> x IS NOT NULL)) % 1000000 AS BIGINT) AS pick
+    SELECT t, pick, list_transform(had, lambda h, i: CASE WHEN i = pick THEN h + 1 ELSE h END) FROM (
+        SELECT e.t + 1 AS t, e.had, CAST(list_min(list_filter(list_transform(e.had, lambda h, i: CASE WHEN h < l.a[i] AND (h * l.q) // l.a[i] <= e.t + 1
+                 THEN ((h + 1) * l.q + l.a[i] - 1) // l.a[i] * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS BIGINT) AS pick
         FROM edf e, listed l WHERE e.t + 1 < l.q)),
 slots AS (SELECT t, pick AS i, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM edf WHERE t >= 0)
 SELECT p.doc_id, p.source, CAST(p.mix_block AS BIGINT) AS mix_block, p.mix_place, CAST((p.mix_block // s.a) * s.q + slots.t AS BIGINT) AS mix_slot

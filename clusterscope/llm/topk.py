@@ -196,7 +196,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K, scale: int = SCALE) -
                                  .mapInArrow(_blocks(width, size), "part int, number int, longest double, block binary"))
     blocks = cut(packed(whole, BLOCK))
     queries = packed(whole.where(F.col("vec_id") % every == 0), QUERY_BLOCK).select("part", "number", F.col("block").alias("queries"))
-    parts = blocks.agg(F.min("part").alias("first"), F.max("part").alias("last")).first()
+    parts = blocks.agg(F.coalesce(F.min("part"), F.lit(0)).alias("first"), F.coalesce(F.max("part"), F.lit(0)).alias("last")).first()
     # The first block of the first part holds the longest vectors; its size is bounded by BLOCK.
     longest = blocks.where((F.col("part") == F.lit(parts["first"])) & (F.col("number") == 0)).select(
         F.col("part").alias("block_part"), "block")
