@@ -25,10 +25,10 @@ def sigmoid(z):
     return 0.5 * (1 + np.tanh(0.5 * np.asarray(z, float)))
 
 
-def fit(x: Sparse, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, pairs: Sparse | None = None, pull: float = 0.0,
+def fit(x: Sparse, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, ridge_b: float = 0.0, pairs: Sparse | None = None, pull: float = 0.0,
         rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise the mean log loss + ridge * |w|^2 / 2 +
-    pull * mean (pairs . w)^2, by accelerated gradient steps with back-tracking.
+    ridge_b * intercept^2 / 2 + pull * mean (pairs . w)^2, by accelerated gradient steps with back-tracking.
 
     A row of ``pairs`` is the difference of two rows whose scores should be equal."""
     weight = np.ones(len(y)) if weight is None else weight
@@ -37,14 +37,14 @@ def fit(x: Sparse, y: np.ndarray, weight: np.ndarray | None = None, ridge: float
 
     def loss(w, b):
         z = x.dot(w) + b
-        value = (weight * (np.logaddexp(0, z) - y * z)).sum() / total + ridge * (w @ w) / 2
+        value = (weight * (np.logaddexp(0, z) - y * z)).sum() / total + ridge * (w @ w) / 2 + ridge_b * b * b / 2
         residual = weight * (sigmoid(z) - y) / total
         slope = x.back(residual) + ridge * w
         if use_pairs:
             d = pairs.dot(w)
             value += pull * (d @ d) / pairs.n
             slope = slope + 2 * pull * pairs.back(d) / pairs.n
-        return value, slope, residual.sum()
+        return value, slope, residual.sum() + ridge_b * b
 
     w, b = np.zeros(x.columns), 0.0
     v, c, step, t = w, b, 1.0, 1.0

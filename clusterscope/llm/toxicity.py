@@ -11,7 +11,9 @@ that happens to occur in toxic texts gets no weight of its own.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,10 @@ from clusterscope.session import cut, ship_package
 
 SAMPLE_ROWS = 16_000         # labelled rows that the model is fitted on, at most (about)
 FEATURES = 4096              # features of the model, at most
-LEAST_TOXIC = 5              # toxic sample texts in which a feature must occur
-PULL, RIDGE = 4.0, 2e-5
+LEAST_TOXIC = 4              # toxic sample texts in which a feature must occur
+LEAST_RATIO = 8.0            # of its rates in toxic and in clean sample texts
+PULL, RIDGE = 4.0, 5e-6
+RIDGE_B = 4e-3               # on the intercept: one sure word must be able to outweigh it
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -44,6 +48,16 @@ def word_features(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in PREFIXES if len(word) > n)]
 
 
+def feature_counts(words: set[str]) -> Counter:
+    """How many different words of a text have each feature."""
+    return Counter(f for w in words for f in word_features(w))
+
+
+def _values(counts: dict[str, int]) -> dict[str, float]:
+    """A feature's value: 1 for one word, and less for every further one."""
+    return {f: math.log2(1 + n) for f, n in counts.items()}
+
+
 def text_words(text: str) -> set[str]:
     """Distinct lower-case words; long texts in stretches, so that no list of all words is made."""
     found: set[str] = set()
@@ -64,13 +78,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, features, identity terms) of every sample text; a feature is its name."""
+    """(label, features with their counts, identity terms) of every sample text; a feature is its name."""
     names = set(IDENTITY_TERMS)
+    kind = pa.list_(pa.struct([("feature", pa.string()), ("n", pa.int32())]))
     for batch in batches:
         words = [text_words(t or "") for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("toxic"), pa.array([sorted({f for w in ws for f in word_features(w)}) for ws in words], pa.list_(pa.string())),
-             pa.array([sorted(ws & names) for ws in words], pa.list_(pa.string()))], names=["toxic", "features", "groups"])
+        counted = [[{"feature": f, "n": n} for f, n in sorted(feature_counts(ws).items())] for ws in words]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(counted, kind), pa.array([sorted(ws & names) for ws in words], pa.list_(pa.string()))],
+                                         names=["toxic", "features", "groups"])
 
 
 class Model:
@@ -81,16 +96,16 @@ class Model:
         self.known: dict[str, tuple[str, ...]] = {}
 
     def score(self, text: str) -> float:
-        hit: set[str] = set()
+        counts: dict[str, int] = {}
         for word in text_words(text):
             features = self.known.get(word)
             if features is None:
                 if len(self.known) > 500_000:
                     self.known.clear()
                 features = self.known[word] = tuple(f for f in word_features(word) if f in self.weights)
-            if features:
-                hit.update(features)
-        return float(sigmoid(self.intercept + sum(self.weights[f] for f in sorted(hit))))
+            for f in features:
+                counts[f] = counts.get(f, 0) + 1
+        return float(sigmoid(self.intercept + math.fsum(self.weights[f] * v for f, v in _values(counts).items())))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, pull: float = PULL) -> Model:
@@ -104,16 +119,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
     # Copies of a text would count its chance words many times: one row for each text.
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
              .groupBy("text").agg(F.max("toxic").alias("toxic")))
-    sample = cut(texts.mapInArrow(_sample_features, "toxic int, features array<string>, groups array<string>"))
+    sample = cut(texts.mapInArrow(_sample_features, "toxic int, features array<struct<feature:string,n:int>>, groups array<string>"))
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         rate = toxic / max(toxic + clean, 1)
         return Model({}, float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
-    counts = (sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature")
+    counts = (sample.select("toxic", F.explode("features.feature").alias("feature")).groupBy("feature")
               .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where(f"t >= {LEAST_TOXIC}"))
     odds = F.log(((F.col("t") + 0.5) / toxic) / ((F.col("c") + 0.5) / clean))
-    chosen = [r["feature"] for r in counts.withColumn("gain", odds * F.sqrt("t")).where("gain > 0")
+    chosen = [r["feature"] for r in counts.withColumn("gain", odds * F.sqrt("t")).where(odds >= math.log(LEAST_RATIO))
               .orderBy(F.desc("gain"), "feature").limit(features).collect()]
     names = {f: i for i, f in enumerate(chosen)}
     for term in IDENTITY_TERMS:
@@ -122,30 +137,32 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
     listed = sample.sparkSession.createDataFrame([(f,) for f in names], "feature string")
     numbered = sample.withColumn("row", F.monotonically_increasing_id())
     hits = (cut(numbered.select("row", "toxic", "groups", "features")))
-    found = (hits.select("row", F.explode("features").alias("feature")).join(F.broadcast(listed), "feature")
-             .groupBy("row").agg(F.collect_list("feature").alias("hit")))
+    found = (hits.select("row", F.inline("features")).join(F.broadcast(listed), "feature")
+             .groupBy("row").agg(F.collect_list(F.struct("feature", "n")).alias("hit")))
     rows = hits.select("row", "toxic", "groups").join(found, "row", "left").select("toxic", "groups", "hit").collect()
     x, differences = [], []
     for r in rows:
-        here = {f for f in r["hit"] or ()}
-        x.append([(names[f], 1.0) for f in sorted(here)])
+        here = {h["feature"]: h["n"] for h in r["hit"] or ()}
+        x.append(sorted((names[f], v) for f, v in _values(here).items()))
         differences += _counterfactuals(here, r["groups"], names)
     y = np.array([r["toxic"] for r in rows], float)
-    w, b = fit(Sparse(x, len(names)), y, ridge=RIDGE, pairs=Sparse(differences, len(names)), pull=pull)
+    w, b = fit(Sparse(x, len(names)), y, ridge=RIDGE, ridge_b=RIDGE_B, pairs=Sparse(differences, len(names)), pull=pull, rounds=1000)
     return Model({f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-9}, float(b))
 
 
-def _counterfactuals(here: set[str], groups: list[str], names: dict[str, int]) -> list[list[tuple[int, float]]]:
+def _counterfactuals(here: dict[str, int], groups: list[str], names: dict[str, int]) -> list[list[tuple[int, float]]]:
     """Feature differences between a text and its copies with a group's name exchanged (for the
     next three on the list) or left out."""
     out = []
     for term in groups:
-        others = [w for w in groups if w != term]
-        without = here - (set(word_features(term)) - {f for w in others for f in word_features(w)})
         at = IDENTITY_TERMS.index(term)
         for other in (None, *(IDENTITY_TERMS[(at + k) % len(IDENTITY_TERMS)] for k in (1, 2, 3))):
-            there = without | (set(word_features(other)) if other else set())
-            out.append([(names[f], 1.0) for f in sorted(here - there)] + [(names[f], -1.0) for f in sorted(there - here)])
+            there = Counter(here)
+            there.subtract(word_features(term))
+            if other and other not in groups:
+                there.update(word_features(other))
+            a, b = _values(here), _values({f: n for f, n in there.items() if n > 0})
+            out.append([(names[f], d) for f in sorted({*a, *b} & names.keys()) if (d := a.get(f, 0.0) - b.get(f, 0.0))])
     return out
 
 
