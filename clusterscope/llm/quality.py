@@ -189,7 +189,7 @@ def quality(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, **
     ``docs`` has doc_id and text, and source, lang and n_chars if known (missing or null ones have a
     bucket of their own); other columns are ignored.  ``labels`` has doc_id and quality (1 or 0; other
     values are passed over, a doc_id with both is bad).  A null text counts as empty.  Without
-    labels of both kinds every row gets the labelled rate (0.5 without labels).  Repeated rows are scored each.
+    labels of both kinds every row gets the rate of good labelled rows (0.5 without labels).  Repeated rows are scored each.
     """
     model = co_train(docs, labels, **options)
     rows = _documents(docs).withColumn("label", F.lit(-1))

@@ -30,6 +30,7 @@ LEAST_TOXIC = 4              # toxic sample texts in which a feature must occur
 LEAST_RATIO = 8.0            # of its rates in toxic and in clean sample texts
 PULL, RIDGE = 4.0, 5e-6
 RIDGE_B = 4e-3               # on the intercept: one sure word must be able to outweigh it
+TOXIC_WEIGHT = 2.0           # of a toxic sample text against a clean one, as there are fewer
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -146,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
         x.append(sorted((names[f], v) for f, v in _values(here).items()))
         differences += _counterfactuals(here, r["groups"], names)
     y = np.array([r["toxic"] for r in rows], float)
-    w, b = fit(Sparse(x, len(names)), y, ridge=RIDGE, ridge_b=RIDGE_B, pairs=Sparse(differences, len(names)), pull=pull, rounds=1000)
+    w, b = fit(Sparse(x, len(names)), y, np.where(y == 1, TOXIC_WEIGHT, 1.0), ridge=RIDGE, ridge_b=RIDGE_B, pairs=Sparse(differences, len(names)), pull=pull, rounds=1000)
     return Model({f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-9}, float(b))
 
 
