@@ -105,7 +105,8 @@ def _checked(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int
 
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
     t, c = rows.alias("t"), per_text.alias("c")
-    joined = t.join(c, F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.text_key") == F.col("c.text_key")), "left")
+    # The candidates grow with the corpus: joined by shuffle at every size, never by broadcast.
+    joined = t.hint("merge").join(c, F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.text_key") == F.col("c.text_key")), "left")
     joined = joined.select("t.row", "t.doc_id", words(F.col("t.row.text").cast("string")).alias("words"), "c.candidates")
 
     def occurrences(x):
