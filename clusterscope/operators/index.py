@@ -73,6 +73,11 @@ def bm25(tf, df, dl, n_docs, avgdl, k1: float = BM25_K1, b: float = BM25_B):
     return idf * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * dl / avgdl))
 
 
+def bm25_tf(tf, dl, avgdl, k1: float = BM25_K1, b: float = BM25_B):
+    """The part of BM25 that depends on the page (without idf)."""
+    return (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * dl / avgdl))
+
+
 def build_impacts(fields: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
                   columns: tuple = SEARCH_FIELDS) -> DataFrame:
     """Q3: ``impacts(domain, term, page_id, s_title, s_plaintext, s_fulltext)``.

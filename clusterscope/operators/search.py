@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import FIELD_BOOSTS, TOP_K
+from ..config import FIELD_BOOSTS, SEARCH_FIELDS, TOP_K
 from ..functions.text import normalise_whitespace_controls, search_tokens
 from ..session import cut
+from .index import bm25_tf, term_stats
 
 # runs of letters/digits or of anything else: splitting a passage this way and
 # joining the runs back restores it exactly
@@ -25,13 +26,8 @@ SENTENCE_PATTERN = r"[^.!?\n]+[.!?]*"
 CLAUSE_PATTERN = r'[+-]?"[^"]*"|[+-]?[^\s"]+'
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """Q4: ``(query_id, q_domain, term, qtf, req, proh, n_req)``.
-
-    The query string is split into clauses; ``+clause`` terms are required,
-    ``-clause`` terms prohibited, other terms (quoted phrases included, by
-    their terms) optional.  ``qtf`` counts scored occurrences (a repeated
-    term counts once per occurrence, as repeated clauses do)."""
+def _clauses(queries: DataFrame) -> DataFrame:
+    """``(query_id, q_domain, op, body, toks)``: the query string's clauses, operators split off."""
     c = queries.select("query_id", F.col("domain").alias("q_domain"),
                        F.explode(F.regexp_extract_all("query", F.lit(CLAUSE_PATTERN), 0)).alias("clause"))
     op = (F.when((F.length("clause") > 1) & F.col("clause").startswith("+"), F.lit("+"))
@@ -39,7 +35,29 @@ def query_terms(queries: DataFrame) -> DataFrame:
           .otherwise(F.lit("")))
     c = c.select("query_id", "q_domain", op.alias("op"),
                  F.when(op != "", F.substring("clause", 2, 1 << 30)).otherwise(F.col("clause")).alias("body"))
-    t = c.select("query_id", "q_domain", "op", F.explode(search_tokens(F.col("body"))).alias("term"))
+    return c.withColumn("toks", search_tokens(F.col("body")))
+
+
+def _phrase_term():
+    """A phrase clause's own term: its tokens in quotes (no token holds a quote)."""
+    return F.concat(F.lit('"'), F.array_join("toks", " "), F.lit('"'))
+
+
+def _is_phrase():
+    return F.col("body").startswith('"') & (F.size("toks") > 1)
+
+
+def query_terms(queries: DataFrame, phrases: bool = False) -> DataFrame:
+    """Q4: ``(query_id, q_domain, term, qtf, req, proh, n_req)``.
+
+    The query string is split into clauses; ``+clause`` terms are required,
+    ``-clause`` terms prohibited, other terms optional.  A quoted phrase of
+    several tokens is one term of its own with ``phrases`` (see
+    ``phrase_impacts``), and stands for its tokens without.  ``qtf`` counts
+    scored occurrences (a repeated term counts once per occurrence, as
+    repeated clauses do)."""
+    toks = F.when(_is_phrase(), F.array(_phrase_term())).otherwise(F.col("toks")) if phrases else F.col("toks")
+    t = _clauses(queries).select("query_id", "q_domain", "op", F.explode(toks).alias("term"))
     g = t.groupBy("query_id", "q_domain", "term").agg(
         F.count(F.when(F.col("op") != "-", 1)).alias("qtf"),
         F.max(F.col("op") == "+").alias("req"),
@@ -48,6 +66,32 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return g.join(nreq, "query_id")
 
 
+def phrase_impacts(queries: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """Q4: impacts ``(domain, term, page_id, s_<field>...)`` of the queries' quoted phrases.
+
+    A phrase occurs where all its tokens stand at consecutive positions of a
+    field: every occurrence of a token votes for the position at which the
+    phrase would start (one equi-join on the token, one aggregation combined
+    map-side), and starts with all votes count.  Its score is BM25 with that
+    count as tf and the sum of its tokens' idfs.
+    """
+    ph = _clauses(queries).where(_is_phrase()).select(_phrase_term().alias("term"), "toks").distinct()
+    part = ph.select("term", F.size("toks").alias("n"), F.posexplode("toks").alias("i", "tok"))
+    post = postings.withColumnRenamed("term", "tok")
+    votes = part.join(post, "tok").select("term", "n", "domain", "field", "page_id", "dl", "i",
+                                          F.explode("positions").alias("pos"))
+    starts = votes.groupBy("term", "n", "domain", "field", "page_id", "dl", (F.col("pos") - F.col("i")).alias("start")).agg(
+        F.count(F.lit(1)).alias("c")).where("c = n")
+    tf = starts.groupBy("term", "domain", "field", "page_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    df = term_stats(postings).withColumnRenamed("term", "tok")
+    idf = (part.join(df, "tok").join(stats, ["domain", "field"]).groupBy("term", "domain", "field")
+           .agg(F.sum(F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf")))
+    s = (tf.join(idf, ["term", "domain", "field"]).join(stats, ["domain", "field"])
+         .withColumn("s", F.col("idf") * bm25_tf(F.col("tf"), F.col("dl"), F.col("avgdl"))))
+    return s.groupBy("domain", "term", "page_id").agg(*[
+        F.coalesce(F.max(F.when(F.col("field") == f, F.col("s"))), F.lit(0.0)).alias(f"s_{f}") for f in SEARCH_FIELDS])
+
+
 def dismax_score(boosts: dict | None = None, tie: float = 0.0):
     """Q1/Q2: per term, the max over fields of boost x field score (+ tie x rest)."""
     boosts = boosts or FIELD_BOOSTS
@@ -58,13 +102,19 @@ def dismax_score(boosts: dict | None = None, tie: float = 0.0):
     return best
 
 
-def match_scores(queries: DataFrame, impacts: DataFrame, boosts: dict | None = None) -> DataFrame:
+def match_scores(queries: DataFrame, impacts: DataFrame, boosts: dict | None = None,
+                 phrases: DataFrame | None = None) -> DataFrame:
     """Q1: ``(query_id, domain, page_id, score)`` for every page matching any term.
 
+    With ``phrases`` (``phrase_impacts`` of the same queries) quoted phrases match
+    by adjacency, otherwise by their tokens.
+
     One equi-join on ``term`` (AQE splits a hot term's partition) and one
     aggregation, combined map-side, on ``(query_id, domain, page_id)``.
     """
-    qt = query_terms(queries)
+    qt = query_terms(queries, phrases is not None)
+    if phrases is not None:
+        impacts = impacts.unionByName(phrases, allowMissingColumns=True).na.fill(0.0)
     m = qt.join(impacts, "term").where(F.col("q_domain").isNull() | (F.col("q_domain") == F.col("domain")))
     m = m.select(
         F.when(F.col("q_domain").isNull(), F.concat(F.col("query_id"), F.lit("@"), F.col("domain")))
@@ -96,7 +146,7 @@ HIT_COLUMNS = ["query_id", "base_id", "domain", "rank", "page_id", "url", "title
 
 def search(queries: DataFrame, impacts: DataFrame, fields: DataFrame, k: int = TOP_K,
            boosts: dict | None = None, with_highlight: bool = False,
-           passages: DataFrame | None = None) -> DataFrame:
+           passages: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
     """Q1-Q6 (+Q7/Q8): ``hits(query_id, base_id, domain, rank, page_id, url, title,
     score[, highlight, highlight_str])``; ``base_id`` is the query's own id.
 
@@ -104,7 +154,7 @@ def search(queries: DataFrame, impacts: DataFrame, fields: DataFrame, k: int = T
     ``(domain, page_id)``; highlights need the query terms, joined back on the
     original query id.
     """
-    top = top_k(match_scores(queries, impacts, boosts), k)
+    top = top_k(match_scores(queries, impacts, boosts, phrases), k)
     pages = fields.select("domain", "page_id", "url", "title").where(F.col("url").isNotNull())
     hits = top.join(pages, ["domain", "page_id"])
     if not with_highlight:

@@ -438,6 +438,36 @@ SELECT domain, term, page_id, round(s_title, 6) AS s_title, round(s_plaintext, 6
        round(s_fulltext, 6) AS s_fulltext FROM impacts"""
     out["search_hits"] = _with(F, I, H) + """
 SELECT query_id, domain, rank, page_id, url, title, round(score, 6) AS score FROM hits"""
+    best = ", ".join(f"{float(FIELD_BOOSTS[f])} * coalesce(max(CASE WHEN field = '{f}' THEN s END), 0.0)" for f in SEARCH_FIELDS)
+    best1 = ", ".join(f"{float(FIELD_BOOSTS[f])} * i.s_{f}" for f in SEARCH_FIELDS)
+    out["search_phrases"] = _with(F, I) + f"""
+,
+qs AS (SELECT 'b' || CAST(item_id AS VARCHAR) AS base_id, regexp_extract_all(lower(text), {_q(SEARCH_TOK)}, 0) AS w FROM benchmark),
+pairs AS (SELECT base_id, w[1] AS t1, w[2] AS t2 FROM qs WHERE len(w) > 1),
+one AS (SELECT base_id, term, count(*) AS qtf FROM (
+    SELECT base_id, unnest(w) AS term FROM qs UNION ALL SELECT base_id, w[1] FROM qs WHERE len(w) = 1) GROUP BY base_id, term),
+adj AS (
+  SELECT p.base_id, a.domain, a.field, a.page_id, a.dl, count(*) AS tf, any_value(p.t1) AS t1, any_value(p.t2) AS t2
+  FROM pairs p JOIN toks a ON a.term = p.t1
+  JOIN toks b ON b.term = p.t2 AND b.domain = a.domain AND b.field = a.field AND b.page_id = a.page_id AND b.pos = a.pos + 1
+  GROUP BY p.base_id, a.domain, a.field, a.page_id, a.dl),
+ps AS (
+  SELECT j.base_id, j.domain, j.page_id, j.field,
+         (ln(1 + (s.n_docs - d1.df + 0.5) / (d1.df + 0.5)) + ln(1 + (s.n_docs - d2.df + 0.5) / (d2.df + 0.5)))
+         * (j.tf * 2.2) / (j.tf + 1.2 * (0.25 + 0.75 * j.dl / s.avgdl)) AS s
+  FROM adj j JOIN fstats s USING (domain, field)
+  JOIN dfs d1 ON d1.domain = j.domain AND d1.field = j.field AND d1.term = j.t1
+  JOIN dfs d2 ON d2.domain = j.domain AND d2.field = j.field AND d2.term = j.t2),
+sc AS (
+  SELECT base_id, domain, page_id, sum(s) AS score FROM (
+    SELECT o.base_id, i.domain, i.page_id, o.qtf * greatest({best1}) AS s FROM one o JOIN impacts i USING (term)
+    UNION ALL
+    SELECT base_id, domain, page_id, greatest({best}) AS s FROM ps GROUP BY base_id, domain, page_id)
+  GROUP BY base_id, domain, page_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY base_id, domain ORDER BY round(score, 9) DESC, page_id) AS rank FROM sc)
+SELECT r.base_id || '@' || r.domain AS query_id, r.domain, CAST(r.rank AS INTEGER) AS rank, r.page_id, f.url, round(r.score, 6) AS score
+FROM ranked r JOIN fields f USING (domain, page_id) WHERE r.rank <= 10"""
     sent = r"[^.!?\n]+[.!?]*"
     run = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
     out["search_highlights"] = _with(F, I, H) + f"""

@@ -28,7 +28,7 @@ from ..operators.lsa import (blurred_field, blurred_terms, fit_lsa, related_term
 from ..operators.corpus import corpus_dbscan
 from ..operators.links import page_links, reachable_pages
 from ..operators.pages import page_keys
-from ..operators.search import search
+from ..operators.search import phrase_impacts, search
 from ..operators.similarity import hit_distances, hit_pair_similarity
 from ..sources.tables import benchmark_queries, conversation_queries, load_queries, read_pages
 from ..session import cut
@@ -143,6 +143,19 @@ def q_search_hits(spark, sf_dir):
     return h.select("query_id", "domain", "rank", "page_id", "url", "title", _r("score"))
 
 
+def q_search_phrases(spark, sf_dir):
+    """Q4: every benchmark text, with its first two words asked for as a phrase too."""
+    prep = _prep(spark, sf_dir)
+    valid, _ = load_queries(benchmark_queries(spark, sf_dir))
+    text = F.translate("query", '"', " ")
+    two = F.array_join(F.slice(search_tokens(text), 1, 2), " ")
+    valid = valid.withColumn("query", F.concat(F.lit('"'), two, F.lit('" '), text))
+    post = cut(build_postings(prep.fields, with_positions=True))
+    ph = phrase_impacts(valid, post, field_stats(prep.fields))
+    h = search(valid, prep.impacts, prep.fields, phrases=ph)
+    return h.select("query_id", "domain", "rank", "page_id", "url", _r("score"))
+
+
 def q_search_highlights(spark, sf_dir):
     _, _, h = _hits(spark, sf_dir, with_highlight=True)
     return h.select("query_id", "rank", "page_id", "highlight", "highlight_str")
@@ -298,6 +311,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "field_stats": q_field_stats,
         "bm25_impacts": q_bm25_impacts,
         "search_hits": q_search_hits,
+        "search_phrases": q_search_phrases,
         "search_highlights": q_search_highlights,
         "flat_search": q_flat_search,
         "hit_similarity": q_hit_similarity,

@@ -1,5 +1,7 @@
 """Golden values (FIXTURES.md §3/§4): hand-checkable numbers per operator."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +126,26 @@ def test_lsa_golden(spark):
     assert {t for d, t in got if d == 0} == {"t0", "t1", "t2"}
 
 
+def test_phrases_match_by_adjacency(spark, mini_fields):
+    from clusterscope.operators.index import build_impacts as bi
+    from clusterscope.operators.index import build_postings, field_stats
+    from clusterscope.operators.search import phrase_impacts
+
+    q = spark.createDataFrame([("a", "toolshed.org", '"cutter training"'), ("b", "toolshed.org", '+"table saw" training'),
+                               ("c", "toolshed.org", 'training -"laser cutter"'), ("d", "toolshed.org", '"training cutter"'),
+                               ("e", "toolshed.org", '"laser" guide')], "query_id string, domain string, query string")
+    ph = phrase_impacts(q, build_postings(mini_fields), field_stats(mini_fields))
+    got = {}
+    for r in match_scores(q, bi(mini_fields), phrases=ph).collect():
+        got.setdefault(r.query_id, set()).add(r.page_id)
+    assert got == {"a": {0, 2}, "b": {1}, "c": {1}, "e": {0, 2}}
+    # two tokens at one place of the plaintext: tf 1, the sum of both idfs
+    row = ph.where("term = '\"table saw\"' and page_id = 1").collect()[0]
+    stats = {r.field: r for r in field_stats(mini_fields).collect()}["plaintext"]
+    idf = sum(math.log(1 + (stats.n_docs - df + 0.5) / (df + 0.5)) for df in (1, 1))
+    assert row.s_plaintext == pytest.approx(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / stats.avgdl)))
+
+
 def test_query_syntax(spark, mini_fields):
     from clusterscope.operators.index import build_impacts as bi
 
