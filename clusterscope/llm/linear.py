@@ -21,11 +21,25 @@ class Sparse:
         return np.bincount(self.column, self.value * z[self.row], self.columns)
 
 
+class Dense:
+    """Rows of an array."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows
+        self.n, self.columns = rows.shape
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return self.rows @ w
+
+    def back(self, z: np.ndarray) -> np.ndarray:
+        return z @ self.rows
+
+
 def sigmoid(z):
     return 0.5 * (1 + np.tanh(0.5 * np.asarray(z, float)))
 
 
-def fit(x: Sparse, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, ridge_b: float = 0.0, pairs: Sparse | None = None, pull: float = 0.0,
+def fit(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, ridge_b: float = 0.0, pairs: Sparse | None = None, pull: float = 0.0,
         rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise the mean log loss + ridge * |w|^2 / 2 +
     ridge_b * intercept^2 / 2 + pull * mean (pairs . w)^2, by accelerated gradient steps with back-tracking.

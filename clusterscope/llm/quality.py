@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterscope.llm.linear import Sparse, fit, sigmoid
+from clusterscope.llm.linear import Dense, fit, sigmoid
 from clusterscope.session import cut, ship_package
 
 LABELLED_ROWS, UNLABELLED_ROWS = 9_000, 6_000     # sample bounds (about)
@@ -83,11 +83,7 @@ class View:
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = self._features(x)
-        rows, columns = z.shape
-        dense = Sparse([], columns)
-        dense.n, dense.row = rows, np.repeat(np.arange(rows), columns)
-        dense.column, dense.value = np.tile(np.arange(columns), rows), z.ravel()
-        self.w, self.b = fit(dense, y, weight, ridge=1e-3, rounds=200)
+        self.w, self.b = fit(Dense(z), y, weight, ridge=1e-3, rounds=200)
 
     def _features(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -4, 4)
@@ -98,8 +94,7 @@ class View:
 
 
 def _stack(logits: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    rows = [[(0, a), (1, b)] for a, b in logits.tolist()]
-    return fit(Sparse(rows, 2), y, ridge=1e-3, rounds=300)
+    return fit(Dense(logits), y, ridge=1e-3, rounds=300)
 
 
 class CoTrained:

