@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterscope.llm.linear import Sparse, fit, sigmoid
+from clusterscope.llm.texts import row_runs, text_bytes
 from clusterscope.session import cut, ship_package
 
 SAMPLE_ROWS = 16_000         # labelled rows that the model is fitted on, at most (about)
@@ -32,6 +33,7 @@ PULL, RIDGE = 4.0, 5e-6
 RIDGE_B = 4e-3               # on the intercept: one sure word must be able to outweigh it
 TOXIC_WEIGHT = 2.0           # of a toxic sample text against a clean one, as there are fewer
 THRESHOLD = 0.7
+RUN_BYTES = 1 << 18          # of sample texts whose features are held at once
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 #: Names of groups of people that are exchanged for each other.
@@ -81,12 +83,21 @@ def held_out(doc_id: Column) -> Column:
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, features with their counts, identity terms) of every sample text; a feature is its name."""
     names = set(IDENTITY_TERMS)
-    kind = pa.list_(pa.struct([("feature", pa.string()), ("n", pa.int32())]))
     for batch in batches:
-        words = [text_words(t or "") for t in batch.column("text").to_pylist()]
-        counted = [[{"feature": f, "n": n} for f, n in sorted(feature_counts(ws).items())] for ws in words]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(counted, kind), pa.array([sorted(ws & names) for ws in words], pa.list_(pa.string()))],
-                                         names=["toxic", "features", "groups"])
+        _, offsets = text_bytes(batch.column("text"))
+        for first, last in row_runs(offsets, RUN_BYTES):
+            part = batch.slice(first, last - first)
+            features, counts, ends, groups = [], [], [0], []
+            for text in part.column("text"):
+                words = text_words(text.as_py() or "")
+                counted = feature_counts(words)
+                features += counted.keys()
+                counts += counted.values()
+                ends.append(len(features))
+                groups.append(sorted(words & names))
+            pairs = pa.StructArray.from_arrays([pa.array(features, pa.string()), pa.array(counts, pa.int32())], names=["feature", "n"])
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+                                              pa.array(groups, pa.list_(pa.string()))], names=["toxic", "features", "groups"])
 
 
 class Model:
