@@ -21,7 +21,6 @@ def components(edges: DataFrame) -> DataFrame:
                  .agg(F.min("component").alias("heard")))
         least = labels.join(heard, "node").select("node", F.col("component").alias("was"),
                                                   F.least("component", "heard").alias("component"))
-        least = cut(least)
         to = least.select(F.col("node").alias("via"), F.col("component").alias("further"))
         jumped = cut(least.join(to, least.component == to.via, "left")
                      .select("node", "was", F.coalesce("further", "component").alias("component")))

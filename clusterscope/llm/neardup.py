@@ -7,23 +7,26 @@ band are candidates; the number of equal low-bit fields, corrected for fields
 that agree by chance, estimates their similarity; candidates far below the
 threshold go, and the others are confirmed on their full shingle sets.
 
-Bands: two sets of similarity 0.85 miss each other in all 32 bands of 6 with
-probability 3e-7.  The estimate's standard error is 0.032 there, so ``SLACK`` is
-more than five of them.
+Bands: two sets of similarity 0.85 miss each other in all 48 bands of 8 with
+probability 2e-7.  The estimate's standard error is 0.0215 there, so ``SLACK`` is
+five of them.
 
 A bucket of m classes does not become m * m pairs.  Members are compared
 with the bucket's leaders: first with one, then, where a bucket still holds
-more than one component, with the next 7, 56, ... until it holds one component
+more than one component, with the next 15, 240, ... until it holds one component
 or everything in it has been compared.  So large groups of copies cost
-a few comparisons each, and no link between components is left out.
+a few comparisons each, and no link between components is left out.  A member meets
+its leaders in one row, what it looks like is gathered per member, not per pair, and
+the full sets are compared block by block, so that only links become rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +34,12 @@ from clusterscope.llm.graph import components
 from clusterscope.llm.texts import ASCII_LOWER, Rolling, mix, row_runs, text_bytes
 from clusterscope.session import cut, ship_package
 
-BANDS, ROWS, BITS = 32, 6, 2
+BANDS, ROWS, BITS = 48, 8, 2
+STEP, LEADERS = 16, 256      # growth of the number of leaders; leaders in a row
+BLOCK = 32                   # classes whose sets are read together
 SHINGLE = 5
 PERCENT = 85
-SLACK = 0.18
+SLACK = 0.11
 PIECE_BYTES = 1 << 20
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _WORDS = BANDS * ROWS * BITS // 64
@@ -115,23 +120,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "shingles"])
 
 
-def estimated_similarity(a: str, b: str) -> Column:
-    """Collision-corrected similarity of the packed signatures ``a.low*`` and ``b.low*``."""
+def estimated_similarity(mine: Callable[[str], Column], other: Callable[[str], Column]) -> Column:
+    """Collision-corrected similarity of two packed signatures, given their columns by name."""
     differ = None
-    for w in range(_WORDS):
-        x = F.col(f"{a}.low{w}").bitwiseXOR(F.col(f"{b}.low{w}"))
+    for name in (f"low{w}" for w in range(_WORDS)):
+        x = mine(name).bitwiseXOR(other(name))
         n = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
         differ = n if differ is None else differ + n
     chance = 1 / (1 << BITS)
     return (1 - differ / F.lit(BANDS * ROWS) - chance) / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    a, b = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return (pairs.select("a", "b").join(a, "a").join(b, "b")
-            .select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b") - shared).alias("union"))
-            .where(F.col("shared") * 100 >= F.col("union") * percent).select("a", "b").distinct())
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block number for every ``BLOCK`` neighbouring rows of a partition."""
+    base, seen = TaskContext.get().partitionId() << 40, 0
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(base + (seen + np.arange(len(batch))) // BLOCK)], names=["node", "block"])
+        seen += len(batch)
+
+
+def _confirmed(candidates: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among ``candidates(node, block, others)``, by the full sets."""
+    mine = sets.select("node", F.col("shingles").alias("own"))
+
+    def linked(x):
+        shared = F.size(F.array_intersect("own", x["shingles"]))
+        return F.array_contains("others", x["node"]) & (shared * 100 >= (F.size("own") + F.size(x["shingles"]) - shared) * percent)
+    found = F.transform(F.filter("held", linked), lambda x: x["node"])
+    return candidates.join(mine, "node").join(blocks, "block").select(F.col("node").alias("a"), F.explode(found).alias("b"))
 
 
 def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
@@ -142,7 +158,7 @@ def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
     return cut(component.join(new, "component", "left").select("node", F.coalesce("new", "component").alias("component")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, first_leaders: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Components of documents whose 5-word shingle sets overlap by ``percent`` of their union.
 
     One row per row of ``docs`` (doc_id, text; other columns are ignored):
@@ -162,43 +178,49 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, first_leaders: int
                                                    F.min("doc_id").alias("node"))
     classes = cut(classes.select("set1", "set2", "node", "s.*"))
     banded = classes.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    # Aggregates are written before they are joined, so that AQE can split the join's frequent keys.
+    shared = cut(banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "lo"))
     members = cut(banded.join(shared, "key"))
-    component = cut(members.select("node").distinct().withColumn("component", F.col("node")))
-    lows = classes.join(component.select("node"), "node", "left_semi").select("node", *low)
-    lows = cut(lows)
-    candidates = component.select(F.col("node").alias("doc_id"))
-    sets = cut(texts.join(candidates, "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles array<long>"))
-
-    compared, leaders = 0, first_leaders
+    # Classes that meet the same smallest class lie next to each other: their sets are read in blocks.
+    hubs = members.groupBy("node").agg(F.min("lo").alias("hub"))
+    component = cut(hubs.select("node", F.col("node").alias("component"), "hub"))
+    order = ["hub", "node"]
+    placed_in = component.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, "node long, block long")
+    placed_in = cut(placed_in)
+    component, members = component.select("node", "component"), members.select("key", "node")
+    lows = cut(classes.select("node", *low).join(placed_in, "node"))
+    sets = cut(texts.join(component.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+               .mapInArrow(_sets, "node long, shingles array<long>"))
+    blocks = cut(sets.join(placed_in, "node").groupBy("block").agg(F.collect_list(F.struct("node", "shingles")).alias("held")))
+
+    compared, leaders = 0, 1
     while True:
-        placed = members.join(component, "node")
-        open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                          F.count("*").alias("size")).where(f"lo <> hi and size > {compared}").select("key")
-        placed = cut(placed.join(open_, "key"))
-        if placed.isEmpty():
+        placed = cut(members.join(component, "node").join(lows, "node"))
+        open_ = cut(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                              F.count("*").alias("size")).where(f"lo <> hi and size > {compared}").select("key"))
+        if open_.isEmpty():
             break
-        order = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+        placed = placed.join(open_, "key")
+        packed = F.struct("node", "component", "block", *low)
         if leaders == 1:
-            lead = placed.groupBy("key").agg(F.min(F.struct("node", "component")).alias("l")).select("key", "l.*")
+            lead = placed.groupBy("key").agg(F.min(packed).alias("l")).select("key", F.array("l").alias("leaders"))
         else:
-            lead = placed.withColumn("rank", order).where(f"rank <= {leaders}").where(f"rank > {compared}").drop("rank")
-        m, l = placed.alias("m"), lead.alias("l")
-        met = (m.join(l, F.col("m.key") == F.col("l.key")).where("m.component <> l.component")
-               .select(F.least("m.node", "l.node").alias("a"), F.greatest("m.node", "l.node").alias("b")).distinct())
-        x, y = lows.alias("x"), lows.alias("y")
-        pairs = cut(met.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-                    .select("a", "b", estimated_similarity("x", "y").alias("estimate"))
-                    .where(F.col("estimate") >= percent / 100 - SLACK))
-        # The likeliest pair of each class first: most of the others then lie within one component.
-        best = (pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b"))
-        component = _merged(component, _confirmed(cut(best), sets, percent))
-        at = lambda end, c=component: c.toDF(end, f"{end}_c")
-        rest = cut(pairs.join(at("a"), "a").join(at("b"), "b").where("a_c <> b_c").select("a", "b"))
-        if not rest.isEmpty():
-            component = _merged(component, _confirmed(rest, sets, percent))
-        compared, leaders = leaders, leaders * 8
-        members = placed.select("key", "node")
+            rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+            lead = (placed.withColumn("rank", rank).where(f"rank <= {leaders}").where(f"rank > {compared}")
+                    .groupBy("key", F.expr(f"rank div {LEADERS}").alias("part")).agg(F.collect_list(packed).alias("leaders")).drop("part"))
+        # A row per member and LEADERS leaders, not per pair; then a row per member with those that look alike.
+        alike = F.filter("leaders", lambda l: (l["component"] != F.col("component")) & (
+            estimated_similarity(F.col, lambda name: l[name]) >= percent / 100 - SLACK))
+        met = (placed.join(cut(lead), "key").select("node", F.transform(alike, lambda l: F.struct(l["block"].alias("block"), l["node"].alias("other"))).alias("alike"))
+               .where(F.size("alike") > 0).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("alike"))).alias("alike")))
+        in_blocks = F.transform(F.array_distinct(F.col("alike.block")), lambda b: F.struct(
+            b.alias("block"), F.transform(F.filter("alike", lambda e: e["block"] == b), lambda e: e["other"]).alias("others")))
+        candidates = cut(met.select("node", F.inline(in_blocks)))
+        links = cut(_confirmed(candidates, sets, blocks, percent))
+        if not links.isEmpty():
+            component = _merged(component, links)
+        members = members.join(open_, "key", "left_semi")
+        compared, leaders = leaders, leaders * STEP
 
     of_class = (classes.select("set1", "set2", "node").join(component, "node", "left")
                 .select("set1", "set2", F.coalesce("component", "node").alias("component")))
