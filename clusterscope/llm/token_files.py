@@ -34,13 +34,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clusterscope.llm.texts import row_runs, text_bytes
 from clusterscope.session import cut, ensure_checkpoint_dir, ship_package
 
 FRAME_BYTES = 256 << 10
 INDEX_MAGIC, TABLE_MAGIC, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 NO_ID = -(1 << 63)
 END_ID = 0
-CACHE_PIECES, CACHE_CHARS = 400_000, 64
+RUN_BYTES = 1 << 20          # of text encoded at once
+CACHE_WORDS, CACHE_CHARS = 1_200_000, 64
 
 
 # --- files ---------------------------------------------------------------------
@@ -164,12 +166,28 @@ class Reader:
 
 # --- encoding --------------------------------------------------------------------
 
+#: White space other than the blank and the line feed.
+ODD_SPACE = re.compile(r"[^\S \n]")
+
+
+class _Words(dict):
+    """Packed ids by word; words that are asked for and not there are noted in ``new``."""
+
+    def __init__(self):
+        self.new: set[str] = set()
+
+    def __missing__(self, word: str) -> None:
+        self.new.add(word)
+
+
 class Encoder:
     """Ids of a text by a byte-level BPE file of the tokenizers library, as packed numbers.
 
     Its pre-tokenizer starts a new token at every single blank between two visible
-    characters, so the text is cut there; the pieces repeat much and are encoded
-    once.  Texts with other neighbours of a blank get those pieces joined again.
+    characters, so the text is cut there; the words repeat much and are encoded
+    once.  New words are encoded together, and as only a word's first token begins
+    with the blank, the ids tell where each word starts.  Texts with other neighbours of a
+    blank, or with a special token's string, are encoded whole.
     """
 
     def __init__(self, path: str, id_type: str):
@@ -177,46 +195,49 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer, self.type = Tokenizer.from_file(path), np.dtype(id_type).newbyteorder("<")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.specials):
-            return self._packed([text])[0]
-        pieces = text.split(" ")
-        pieces[1:] = [" " + p for p in pieces[1:]]
-        if SPACES.search(text):
-            pieces = _joined(pieces)
+        vocabulary = self.tokenizer.get_vocab()
+        self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.blank_first[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True     # the blank's byte in such files
+        self.known = _Words()                            # each with a blank before it
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if w and not w[-1].isspace()]
+        found = {w: self._ids(" " + w).tobytes() for w in words if not w or w[-1].isspace()}
+        if plain:
+            ids = self._ids(" " + " ".join(plain))
+            starts = np.flatnonzero(self.blank_first[ids])
+            if len(starts) != len(plain):                # not a file of this kind
+                return found | {w: self._ids(" " + w).tobytes() for w in plain}
+            raw, at = ids.tobytes(), (np.append(starts, len(ids)) * ids.itemsize).tolist()
+            found.update((w, raw[a:b]) for w, a, b in zip(plain, at, at[1:]))
+        return found
+
+    def _cut(self, text: str) -> bool:
+        """Whether all blanks are single ones between visible characters."""
+        return not ("  " in text or "\n " in text or " \n" in text or ODD_SPACE.search(text) or any(s in text for s in self.specials))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = [p for p in set(pieces) if p not in known]
-        ids = dict(zip(new, self._packed(new)))
-        out = b"".join([ids[p] if p in ids else known[p] for p in pieces])
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        known.update((p, x) for p, x in ids.items() if len(p) <= CACHE_CHARS)
+        words = [t.split(" ") if self._cut(t) else None for t in texts]
+        parts = [None if w is None else list(map(known.__getitem__, w[1:])) for w in words]
+        learnt = self._learn(list(known.new))
+        out = []
+        for text, whole, ids in zip(texts, words, parts):
+            if ids is None:
+                out.append(self._ids(text).tobytes())
+                continue
+            if None in ids:
+                ids = [learnt[w] if x is None else x for w, x in zip(whole[1:], ids)]
+            out.append(self._ids(whole[0]).tobytes() + b"".join(ids))        # no blank before the first word
+        if len(known) < CACHE_WORDS:                     # the frequent words come early
+            known.update((w, x) for w, x in learnt.items() if len(w) <= CACHE_CHARS)
+        known.new.clear()
         return out
 
 
-SPACES = re.compile(r"\s | \s")
-
-
-def _joined(pieces: list[str]) -> list[str]:
-    """Put pieces together again where the blank between them is next to more white space."""
-    out = pieces[:1]
-    for p in pieces[1:]:
-        if len(p) == 1 or p[1].isspace() or out[-1][-1:].isspace() or not out[-1]:
-            out[-1] += p
-        else:
-            out.append(p)
-    return out
-
-
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str, id_type: str) -> Encoder:
     return Encoder(path, id_type)
@@ -235,10 +256,13 @@ def _write_part(folder: str, tokenizer: str, id_type: str, end_id: int, frame_by
         part = f"{folder}/.{uuid.uuid4().hex}.tmp"
         writer = None
         for batch in batches:
-            texts = batch.column("text")
-            for r, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+            ids = batch.column("doc_id").to_pylist()
+            _, offsets = text_bytes(batch.column("text"))
+            for first, last in row_runs(offsets, RUN_BYTES):
+                texts = [t or "" for t in batch.column("text").slice(first, last - first).to_pylist()]
                 writer = writer or Writer(_open(part, "wb"), id_type, frame_bytes)
-                writer.add(doc_id, encoder.encode(texts[r].as_py() or "") + end)
+                for doc_id, packed in zip(ids[first:last], encoder.encode(texts)):
+                    writer.add(doc_id, packed + end)
         if writer:
             writer.close()
             _publish(part, final)

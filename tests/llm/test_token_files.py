@@ -30,11 +30,13 @@ def direct():
 
 def test_pieces_encode_like_whole_texts(direct, monkeypatch):
     e = token_files.Encoder(TOKENIZER, "u2")
-    for text in corpus() * 2:
-        assert np.frombuffer(e.encode(text or ""), "<u2").tolist() == direct(text)
-    monkeypatch.setattr(token_files, "CACHE_PIECES", 10)
+    texts = corpus() * 2
+    for text, ids in zip(texts, e.encode([t or "" for t in texts])):
+        assert np.frombuffer(ids, "<u2").tolist() == direct(text)
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 10)
+    e = token_files.Encoder(TOKENIZER, "u2")
     for text in corpus():
-        assert np.frombuffer(e.encode(text or ""), "<u2").tolist() == direct(text)
+        assert np.frombuffer(e.encode([text or ""])[0], "<u2").tolist() == direct(text)
 
 
 def test_round_trip_of_a_file():
