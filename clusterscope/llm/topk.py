@@ -201,7 +201,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K, scale: int = SCALE) -
     longest = blocks.where((F.col("part") == F.lit(parts["first"])) & (F.col("number") == 0)).select(
         F.col("part").alias("block_part"), "block")
     pair_schema = "part int, number int, queries binary, floor array<double>"
-    seeded = (queries.withColumn("block_part", F.lit(parts["first"])).join(F.broadcast(longest), "block_part")
+    seeded = (queries.withColumn("block_part", F.col("part") * 0 + F.lit(parts["first"])).join(F.broadcast(longest), "block_part")
               .withColumn("floor", F.lit(None).cast("array<double>")).mapInArrow(_search(rotation, k, True), pair_schema))
     seeded = cut(seeded.mapInArrow(_with_need, f"{pair_schema}, need double"))
 
