@@ -42,7 +42,7 @@ INDEX_MAGIC, TABLE_MAGIC, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 NO_ID = -(1 << 63)
 END_ID = 0
 RUN_BYTES = 1 << 20          # of text encoded at once
-CACHE_WORDS, CACHE_CHARS = 1_200_000, 64
+CACHE_WORDS, CACHE_CHARS = 150_000, 64
 
 
 # --- files ---------------------------------------------------------------------

@@ -112,7 +112,7 @@ class Model:
         for word in text_words(text):
             features = self.known.get(word)
             if features is None:
-                if len(self.known) > 500_000:
+                if len(self.known) > 50_000:
                     self.known.clear()
                 features = self.known[word] = tuple(f for f in word_features(word) if f in self.weights)
             for f in features:
@@ -211,7 +211,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
 def _clean(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t.as_py() or "") < threshold for t in batch.column("text")], pa.bool_()))
+            _, offsets = text_bytes(batch.column("text"))
+            for first, last in row_runs(offsets, 4 * RUN_BYTES):
+                part = batch.slice(first, last - first)
+                yield part.filter(pa.array([model.score(t.as_py() or "") < threshold for t in part.column("text")], pa.bool_()))
     return run
 
 
