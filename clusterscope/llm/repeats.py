@@ -159,7 +159,10 @@ def maximal_repeats(texts: list[bytes], min_len: int) -> list[tuple[int, int, in
     positions = np.flatnonzero(remaining >= min_len)
     if len(positions) < 2:
         return []
-    suffixes = positions[np.argsort(levels[-1][1][positions], kind="stable")]
+    # Ordered by twice the last level's length, so by all that a text holds.
+    length, rank = levels[-1]
+    later = np.where(positions + length < len(symbols), rank[np.minimum(positions + length, len(symbols) - 1)] + 1, 0)
+    suffixes = positions[np.argsort(rank[positions] * (len(symbols) + 1) + later, kind="stable")]
     common = np.zeros(len(suffixes) + 1, np.int64)       # common[i]: of suffixes i-1 and i
     common[1:-1] = _common(levels, symbols, suffixes[:-1], suffixes[1:],
                            np.minimum(remaining[suffixes[:-1]], remaining[suffixes[1:]]))
@@ -343,7 +346,7 @@ def repeat_spans(docs: DataFrame, min_len: int = MIN_LEN, many_texts: int = MANY
 
     compared = (contents.join(crowded, "anchor", "left_anti").drop("windows")
                 .unionByName(thin_classes.select("anchor", "n", "place.doc_id", "place.text_key", "place.lo", "place.content")))
-    found = (compared.repartition("anchor").sortWithinPartitions("anchor")
+    found = (compared.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "text_key", "lo")
              .mapInArrow(_suffix_groups(min_len), "anchor long, node long, doc_id long, text_key long, start long, length int"))
     return (copies.unionByName(thin_copies)
             .unionByName(found.select("doc_id", "text_key", "start", (F.col("start") + F.col("length")).alias("end"),

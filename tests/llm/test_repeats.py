@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 
 import pytest
@@ -88,3 +89,15 @@ def test_groups_hold_all_occurrences():
     found = repeats.maximal_repeats([a[:230], b[:230]], 200)
     tops = {(g, n) for g, _, _, n in found}
     assert (2, 229) in {(len([1 for g2, *_ in found if g2 == g]), n) for g, n in tops}
+
+
+def test_suffixes_that_part_after_the_last_rank_in_all_orders():
+    rng = random.Random(5)
+    base = bytes(rng.randrange(97, 123) for _ in range(368))
+    texts = [base[:300] + b"#" + base[301:], base[:235] + b"#" + base[236:], base]
+    for order in itertools.permutations(texts):
+        gone = [set() for _ in order]
+        for _, t, start, length in repeats.maximal_repeats(list(order), 200):
+            gone[t].update(range(start, start + length))
+        want = {texts[0]: 300, texts[1]: 235, texts[2]: 300}
+        assert [(len(g), max(g)) for g in gone] == [(want[t], want[t] - 1) for t in order]
