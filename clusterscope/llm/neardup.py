@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
 Documents with equal shingle sets are one class from the start.  A class has
-``BANDS * ROWS`` minima; a band hashes ``ROWS`` of them in full, and then only the
+``BANDS * ROWS`` minima; a band hashes some of them in full, and then only the
 low ``BITS`` bits of each minimum are kept, packed into longs.  Classes that share a
 band are candidates; the number of equal low-bit fields, corrected for fields
 that agree by chance, estimates their similarity; candidates far below the
@@ -9,7 +9,7 @@ threshold go, and the others are confirmed on their full shingle sets.
 
 Bands: two sets of similarity 0.85 miss each other in all 48 bands of 8 with
 probability 2e-7.  The estimate's standard error is 0.0215 there, so ``SLACK`` is
-five of them.
+five of them.  ``banding`` and ``slack`` give the same chances at other thresholds.
 
 A bucket of m classes does not become m * m pairs.  Members are compared
 with the bucket's leaders: first with one, then, where a bucket still holds
@@ -22,6 +22,7 @@ the full sets are compared block by block, so that only links become rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +41,7 @@ BLOCK = 32                   # classes whose sets are read together
 SHINGLE = 5
 PERCENT = 85
 SLACK = 0.11
+MISS = 2.4e-7                # chance that two sets at the threshold share no band
 PIECE_BYTES = 1 << 20
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _WORDS = BANDS * ROWS * BITS // 64
@@ -49,6 +51,23 @@ _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _ODD = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows for which bands from the ``BANDS * ROWS`` minima keep to ``MISS``."""
+    similar = percent / 100
+    for rows in range(14, 0, -1):
+        missed = math.log1p(-similar ** rows) if similar < 1 else -math.inf
+        bands = max(1, math.ceil(math.log(MISS) / missed)) if missed else math.inf
+        if bands * rows <= BANDS * ROWS:
+            return bands, rows
+    raise ValueError(f"{BANDS * ROWS} minima are too few for {percent} percent")
+
+
+def slack(percent: int) -> float:
+    """What an estimate may fall short of the threshold: five standard errors, ``SLACK`` at least."""
+    agree = percent / 100 + (1 - percent / 100) / (1 << BITS)
+    return max(SLACK, 5 * math.sqrt(agree * (1 - agree) / (BANDS * ROWS)) / (1 - 1 / (1 << BITS)))
+
+
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The distinct shingle hashes of every row, ascending."""
     data = ASCII_LOWER[data]
@@ -83,21 +102,21 @@ def _minima(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], n_bands: int = BANDS, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         for first, last in row_runs(offsets, PIECE_BYTES):
             sets = shingle_hashes(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
             minima = np.stack([_minima(s) for s in sets])
-            bands = np.zeros((len(sets), BANDS), np.uint64)
-            for t in range(ROWS):
-                bands += minima[:, t::ROWS].astype(np.uint64) * _ODD[16 + t]
-            bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * _ODD[30])
+            bands = np.zeros((len(sets), n_bands), np.uint64)
+            for t in range(rows):
+                bands += minima[:, t:n_bands * rows:rows].astype(np.uint64) * _ODD[16 + t]
+            bands = mix(bands + np.arange(n_bands, dtype=np.uint64) * _ODD[30])
             fields = (minima & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(sets), _WORDS, -1)
             packed = (fields << (np.arange(fields.shape[2], dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
             set1 = np.array([s.sum(dtype=np.uint64) for s in sets])
             set2 = np.array([mix(s ^ _ODD[40]).sum(dtype=np.uint64) for s in sets])
-            lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(bands.view(np.int64).ravel()))
+            lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * n_bands, pa.array(bands.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(set1.view(np.int64)), pa.array(set2.view(np.int64)), lists,
@@ -171,7 +190,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(texts.mapInArrow(_signatures, SIGNATURE_SCHEMA))
+    n_bands, rows = banding(percent)
+    signed = cut(texts.mapInArrow(lambda batches: _signatures(batches, n_bands, rows), SIGNATURE_SCHEMA))
     low = [f"low{w}" for w in range(_WORDS)]
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = linkable.groupBy("set1", "set2").agg(F.min_by(F.struct("bands", *low), "doc_id").alias("s"),
@@ -210,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     .groupBy("key", F.expr(f"rank div {LEADERS}").alias("part")).agg(F.collect_list(packed).alias("leaders")).drop("part"))
         # A row per member and LEADERS leaders, not per pair; then a row per member with those that look alike.
         alike = F.filter("leaders", lambda l: (l["component"] != F.col("component")) & (
-            estimated_similarity(F.col, lambda name: l[name]) >= percent / 100 - SLACK))
+            estimated_similarity(F.col, lambda name: l[name]) >= percent / 100 - slack(percent)))
         met = (placed.join(cut(lead), "key").select("node", F.transform(alike, lambda l: F.struct(l["block"].alias("block"), l["node"].alias("other"))).alias("alike"))
                .where(F.size("alike") > 0).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("alike"))).alias("alike")))
         in_blocks = F.transform(F.array_distinct(F.col("alike.block")), lambda b: F.struct(

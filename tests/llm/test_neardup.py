@@ -86,3 +86,19 @@ def test_estimate_follows_similarity(spark):
         differ = sum(int(v).bit_count() for v in (x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
         estimate = (1 - differ / (neardup.BANDS * neardup.ROWS) - 0.25) / 0.75
         assert abs(estimate - len(a & b) / len(a | b)) < 0.13
+
+
+@pytest.mark.parametrize("percent, shared", [(80, 173), (60, 145), (50, 128)])
+def test_bands_follow_the_threshold(spark, percent, shared):
+    assert neardup.banding(85) == (48, 8)
+    bands, rows = neardup.banding(percent)
+    assert bands * rows <= neardup.BANDS * neardup.ROWS and (1 - (percent / 100) ** rows) ** bands < 3e-7
+    # 300 pairs of 192 shingles, of which ``shared`` agree: just above the threshold
+    docs = []
+    for p in range(300):
+        words = [f"p{p}w{i}" for i in range(196)]
+        docs += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(words[:shared + 4] + [f"p{p}v{i}" for i in range(192 - shared)]))]
+    a, b = shingles(docs[0][1]), shingles(docs[1][1])
+    assert percent <= 100 * len(a & b) / len(a | b) < percent + 2
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i, _ in docs}
