@@ -8,7 +8,8 @@ first.  The weights sum to one, so no block is late, and at every slot t a
 source has had between t * a_s / Q - 1 and t * a_s / Q + 1 blocks.  A cycle ends with
 exactly a_s blocks of each, so one cycle's table, whose size depends on the
 number of sources alone, gives every block's slot: block b of source s takes
-slot (b div a_s) * Q + table[s, b mod a_s].
+slot (b div a_s) * Q + table[s, b mod a_s].  The bound is against the rounded shares a_s / Q: what
+rounding adds to or takes from a target weight comes again in every cycle.
 
 A source that has run out leaves its slots empty: at slot t it has had
 min(N_s, t * a_s / Q) blocks, and the others go on in their proportions.
