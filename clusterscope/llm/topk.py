@@ -173,7 +173,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K, scale: int = SCALE) -
     floor(scale * x).  Returns query_id, rank (from 1), vec_id, score; ties go to the smaller
     vec_id, and a query with fewer candidates gets all of them.  Vectors that are null or
     hold a null or non-finite component take no part, nor do rows without a vec_id; a
-    shorter vector counts as filled up with zeros.  Rows with one vec_id are candidates of
+    shorter vector counts as filled up with zeros.  A vector with a component beyond 1e307 / scale
+    (about 3.9e304) is left out too, as its scaled value would not be finite.  Rows with one vec_id are candidates of
     their own, but none of its queries; their queries are answered together.  Scores beyond
     a long are clipped to it.
     """
