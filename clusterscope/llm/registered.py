@@ -125,11 +125,42 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clusterscope.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("digest")
+
+
+OP12_SQL = r"""
+WITH own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id),
+crc AS (SELECT conv_id, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * CAST(3988292384 AS BIGINT)) END), CAST(4294967295 AS BIGINT)) % 4 AS h FROM sizes),
+heads AS (SELECT c.conv_id, c.n, c.h, c.conv_id - c.conv_id % 20 AS base, least(c.h, coalesce(b.n, 0)) AS got FROM crc c LEFT JOIN sizes b ON b.conv_id = c.conv_id - c.conv_id % 20),
+turns AS (SELECT h.conv_id, o.i, o.role, o.text FROM heads h JOIN own o ON o.conv_id = h.base AND o.i < h.h
+    UNION ALL SELECT h.conv_id, o.i - h.h + h.got, o.role, o.text FROM heads h JOIN own o ON o.conv_id = h.conv_id AND o.i >= h.h),
+whole AS (SELECT conv_id, coalesce(list({'r': role, 't': text} ORDER BY i) FILTER (i IS NOT NULL), []) AS s FROM heads LEFT JOIN turns USING (conv_id) GROUP BY conv_id),
+prefixes AS (SELECT conv_id, d, s[1:d] AS p, len(s) = d AS ended FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM whole)),
+placed AS (SELECT *, min(conv_id) OVER (PARTITION BY d, p) AS node FROM prefixes),
+nodes AS (SELECT node, d, count(*) AS n_convs, len(regexp_extract_all(coalesce(any_value(p[-1].t), ''), '[^\x20\x09-\x0D]+')) AS words,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '') AS ends FROM placed GROUP BY node, d),
+ups AS (SELECT n.*, a.node AS parent FROM nodes n LEFT JOIN placed a ON a.conv_id = n.node AND a.d = n.d - 1),
+kids AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM ups WHERE d > 0 GROUP BY ALL),
+sums AS (SELECT a.node, a.d, count(*) FILTER (k.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+    FROM nodes n JOIN placed a ON a.conv_id = n.node AND a.d <= n.d LEFT JOIN kids k ON k.node = n.node AND k.d = n.d GROUP BY a.node, a.d)
+SELECT u.node AS conv_id, CAST(u.d AS BIGINT) AS depth, u.parent AS parent_conv_id, u.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves,
+    CAST(s.saved_tokens AS BIGINT) AS saved_tokens, CAST(CASE WHEN u.ends = '' THEN 0 ELSE len(string_split(u.ends, ',')) END AS BIGINT) AS n_ends, sha256(u.ends) AS ends_sha256
+FROM ups u JOIN sums s ON s.node = u.node AND s.d = u.d LEFT JOIN kids k ON k.node = u.node AND k.d = u.d
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_cotraining, op2_bbit_minhash, op3_norm_sorted_topk, op4_winnowing, op5_counterfactual, op6_template_compiler,
-        op7_seekable_zstd, op8_wrappers, op9_pfair_mix, op10_suffix_dedup)}
+        op7_seekable_zstd, op8_wrappers, op9_pfair_mix, op10_suffix_dedup, op12_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_winnowing": OP4_SQL, "op9_pfair_mix": OP9_SQL}
+    return {"op4_winnowing": OP4_SQL, "op9_pfair_mix": OP9_SQL, "op12_prefix_trie": OP12_SQL}
