@@ -125,6 +125,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clusterscope.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clusterscope.llm.trie import prefix_trie
 
@@ -159,7 +165,7 @@ FROM ups u JOIN sums s ON s.node = u.node AND s.d = u.d LEFT JOIN kids k ON k.no
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_cotraining, op2_bbit_minhash, op3_norm_sorted_topk, op4_winnowing, op5_counterfactual, op6_template_compiler,
-        op7_seekable_zstd, op8_wrappers, op9_pfair_mix, op10_suffix_dedup, op12_prefix_trie)}
+        op7_seekable_zstd, op8_wrappers, op9_pfair_mix, op10_suffix_dedup, op11_jacobi_davidson, op12_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
