@@ -68,8 +68,8 @@ def slack(percent: int) -> float:
     return max(SLACK, 5 * math.sqrt(agree * (1 - agree) / (BANDS * ROWS)) / (1 - 1 / (1 << BITS)))
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The distinct shingle hashes of every row, ascending."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct hashes of every row's shingles of ``width`` words, ascending."""
     data = ASCII_LOWER[data]
     inside = ~SPACE[data]
     row_start = np.zeros(len(data) + 1, bool)
@@ -79,14 +79,14 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     words = Rolling(data).ranges(first, last)
     bounds = np.searchsorted(first, offsets)
     counts = np.diff(bounds)
-    grams = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
-    for t in range(SHINGLE if len(grams) else 0):
+    grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for t in range(width if len(grams) else 0):
         grams += words[t:t + len(grams)] * _ODD[t]
     grams = mix(grams)
     out = []
     for i, n in zip(bounds.tolist(), counts.tolist()):
-        if n >= SHINGLE:
-            out.append(np.unique(grams[i:i + n - SHINGLE + 1]))
+        if n >= width:
+            out.append(np.unique(grams[i:i + n - width + 1]))
         elif n:
             out.append(mix((words[i:i + n] * _ODD[:n]).sum(keepdims=True) + _ODD[8 + n]))
         else:

@@ -162,11 +162,40 @@ FROM ups u JOIN sums s ON s.node = u.node AND s.d = u.d LEFT JOIN kids k ON k.no
 """
 
 
+def op13_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clusterscope.llm.sigtree import similarity_components
+
+    return similarity_components(table(spark, sf_dir, "documents"))
+
+
+def _component_sql(width: int, columns: str) -> str:
+    """DuckDB SQL of the components of shingle sets of ``width`` words that overlap by 85 percent of their union."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^ 	-]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {width - 1}], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+    JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n
+    HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id{columns}
+FROM d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id
+"""
+
+
+OP2_SQL = _component_sql(5, ", d.doc_id = least(d.doc_id, coalesce(l.b, d.doc_id)) AS kept")
+OP13_SQL = _component_sql(4, "")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_cotraining, op2_bbit_minhash, op3_norm_sorted_topk, op4_winnowing, op5_counterfactual, op6_template_compiler,
-        op7_seekable_zstd, op8_wrappers, op9_pfair_mix, op10_suffix_dedup, op11_jacobi_davidson, op12_prefix_trie)}
+        op7_seekable_zstd, op8_wrappers, op9_pfair_mix, op10_suffix_dedup, op11_jacobi_davidson, op12_prefix_trie, op13_signature_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_winnowing": OP4_SQL, "op9_pfair_mix": OP9_SQL, "op12_prefix_trie": OP12_SQL}
+    return {"op2_bbit_minhash": OP2_SQL, "op4_winnowing": OP4_SQL, "op9_pfair_mix": OP9_SQL, "op12_prefix_trie": OP12_SQL,
+            "op13_signature_tree": OP13_SQL}

@@ -195,8 +195,8 @@ SUM_COLUMNS = ["digest", "parent", "depth", "n_convs", "words", "add_children",
 SOLVED_SCHEMA = "digest binary, parent binary, top boolean, n_children long, n_leaves long, saved_tokens long"
 
 
-def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Subtree sums of rows sorted by their subtree's top (``unit``)."""
+def _solve(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Subtree sums of rows sorted by their subtree's top (``unit``), in shards of ``most`` nodes or one subtree."""
     held: list[list] = [[] for _ in range(1 + len(SUM_COLUMNS))]
 
     def solved(upto: int) -> pa.RecordBatch:
@@ -211,7 +211,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for have, name in zip(held, ["unit", *SUM_COLUMNS]):
             have.extend(batch.column(name).to_pylist())
-        if len(held[0]) >= SHARD_NODES:
+        if len(held[0]) >= most:
             last = held[0][-1]
             whole = next((i for i in range(len(held[0]) - 1, -1, -1) if held[0][i] != last), -1) + 1
             if whole:
@@ -222,8 +222,8 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- ends ------------------------------------------------------------------------
 
-def _id_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Decimal ids of rows sorted by digest and id, joined in runs: (digest, first id, ids)."""
+def _id_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Decimal ids of rows sorted by digest and id, joined in runs of ``most``: (digest, first id, ids)."""
     digest, ids = None, []
 
     def run() -> pa.RecordBatch:
@@ -231,7 +231,7 @@ def _id_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                            "ids": [",".join(map(str, ids))]})
     for batch in batches:
         for d, c in zip(batch.column("digest").to_pylist(), batch.column("conv_id").to_pylist()):
-            if ids and (d != digest or len(ids) == CHUNK_IDS):
+            if ids and (d != digest or len(ids) == most):
                 yield run()
                 ids = []
             digest = d
@@ -257,15 +257,16 @@ def _run_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"digest": pa.array([digest], pa.binary()), "ends_sha256": [state.hexdigest()]})
 
 
-def end_hashes(ends: DataFrame) -> DataFrame:
+def end_hashes(ends: DataFrame, chunk: int = CHUNK_IDS) -> DataFrame:
     """(digest, ends_sha256) of ``ends(digest, conv_id)``.  Ids are sorted and joined over all
     tasks, a crowded node's too; only its few runs then meet in one."""
     runs = (ends.repartitionByRange("digest", "conv_id").sortWithinPartitions("digest", "conv_id")
-            .mapInArrow(_id_runs, "digest binary, first long, ids string"))
+            .mapInArrow(lambda batches: _id_runs(batches, chunk), "digest binary, first long, ids string"))
     return runs.repartition("digest").sortWithinPartitions("digest", "first").mapInArrow(_run_hashes, "digest binary, ends_sha256 string")
 
 
-def prefix_trie(conversations: DataFrame, every: int = EVERY, heads: int = HEADS, unit: int = UNIT, fan: int = FAN) -> DataFrame:
+def prefix_trie(conversations: DataFrame, every: int = EVERY, heads: int = HEADS, unit: int = UNIT, fan: int = FAN,
+                shard: int = SHARD_NODES, chunk: int = CHUNK_IDS) -> DataFrame:
     """One row per node of the trie of rebuilt conversations (conv_id, turn, role, text; other columns are ignored).
 
     A conversation c takes over the first crc32(c) % ``heads`` turns of conversation c - c % ``every``
@@ -302,7 +303,8 @@ def prefix_trie(conversations: DataFrame, every: int = EVERY, heads: int = HEADS
             here = here.select("*", *(F.lit(0).cast("long").alias(f"add_{c}") for c in ("children", "leaves", "saved")))
         else:
             here = here.join(added, "digest", "left").na.fill(0, ["add_children", "add_leaves", "add_saved"])
-        done = cut(here.select("unit", *SUM_COLUMNS).repartition("unit").sortWithinPartitions("unit").mapInArrow(_solve, SOLVED_SCHEMA))
+        done = cut(here.select("unit", *SUM_COLUMNS).repartition("unit").sortWithinPartitions("unit").mapInArrow(
+            lambda batches: _solve(batches, shard), SOLVED_SCHEMA))
         solved = done if solved is None else solved.unionByName(done)
         passed = done.where("top and parent is not null").groupBy(F.col("parent").alias("digest")).agg(
             F.count("*").alias("add_children"), F.sum("n_leaves").alias("add_leaves"), F.sum("saved_tokens").alias("add_saved"))
@@ -311,7 +313,7 @@ def prefix_trie(conversations: DataFrame, every: int = EVERY, heads: int = HEADS
             *(F.sum(c).alias(c) for c in ("add_children", "add_leaves", "add_saved")))
         added = cut(added)
 
-    ends = cut(end_hashes(rows.where("ended").select("digest", "conv_id")))
+    ends = cut(end_hashes(rows.where("ended").select("digest", "conv_id"), chunk))
     parents = nodes.select(F.col("digest").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     sums = solved.select("digest", "n_children", "n_leaves", "saved_tokens")
     return (nodes.join(sums, "digest").join(ends, "digest", "left").join(parents, "parent", "left")

@@ -65,12 +65,10 @@ def test_matches_brute_force_over_any_number_of_bands(spark, unit, fan):
     assert got(df, unit=unit, fan=fan) == brute(rows)
 
 
-def test_shared_beginning_and_crowded_end(spark, monkeypatch):
+def test_shared_beginning_and_crowded_end(spark):
     """A first turn that most share, and an end whose ids come in several runs."""
-    monkeypatch.setattr(trie, "CHUNK_IDS", 7)
-    monkeypatch.setattr(trie, "SHARD_NODES", 20)
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", "same words here" if t < 2 or c % 3 else f"own {c % 11}") for c in range(300) for t in range(2 + c % 4)]
-    assert got(spark.createDataFrame(rows, SCHEMA).repartition(4), unit=16, fan=4) == brute(rows)
+    assert got(spark.createDataFrame(rows, SCHEMA).repartition(4), unit=16, fan=4, shard=20, chunk=7) == brute(rows)
 
 
 def test_long_conversation_and_empty_table(spark):
