@@ -37,9 +37,10 @@ from clusterscope.session import cut, ship_package
 SHINGLE = 4
 PERCENT = 85
 HOT_ROWS = 64                # prefixes from which a token goes last
+RUN_KEYS = 1 << 20           # prefix tokens that a task counts at once
 HOT_BITS = 22                # size of the table of such tokens, 2 ** 22 bits; a wrong one only moves a token
 LEAST_BITS = 1024            # of a bitmap, and of the bitmaps of the upper levels
-LEADERS, LEAD_ROUNDS = 8, 3
+LEADERS, LEAD_ROUNDS = 8, 2
 TILE, TILE_BYTES = 256, 1 << 18
 SUB = 16                     # leaves of a node within a tile
 FAN = 32                     # children of a node above the tiles
@@ -66,11 +67,29 @@ def _sets_of(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int, li
         yield first, last, shingle_hashes(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first], shingle)
 
 
-def _prefixed(shingle: int, percent: int, hot: np.ndarray | None):
+def _frequent(shingle: int, percent: int):
+    """Tokens that stand in several prefixes by hash of a task's run of rows, with their number."""
+    def counted(runs: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(runs), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, held = [np.zeros(0, np.uint64)], 0
+        for batch in batches:
+            for _, _, sets in _sets_of(batch, shingle):
+                for s in sets:
+                    runs.append(s[:prefix_size(len(s), percent)])
+                    held += len(runs[-1])
+                if held >= RUN_KEYS:
+                    yield counted(runs)
+                    runs, held = runs[:1], 0
+        yield counted(runs)
+    return run
+
+
+def _prefixed(shingle: int, percent: int, hot: np.ndarray):
     def keys_of(tokens: np.ndarray) -> np.ndarray:
         p = prefix_size(len(tokens), percent)
-        if hot is None:
-            return tokens[:p]
         late = hot[(tokens & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64)]
         return np.concatenate([tokens[~late], tokens[late]])[:p]
 
@@ -83,12 +102,12 @@ def _prefixed(shingle: int, percent: int, hot: np.ndarray | None):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, last - first), batch.column("text_key").slice(first, last - first),
                      pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()),
-                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))],
-                    names=["doc_id", "text_key", "n_shingles", "class", "keys"])
+                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64))), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "text_key", "n_shingles", "class", "keys", "bits"])
     return run
 
 
-PREFIX_SCHEMA = "doc_id long, text_key long, n_shingles long, class long, keys array<long>"
+PREFIX_SCHEMA = "doc_id long, text_key long, n_shingles long, class long, keys array<long>, bits binary"
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -103,15 +122,14 @@ def fold(words: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(words.reshape(-1, size), axis=0)
 
 
-def _signed(shingle: int):
+def _full_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, sets in _sets_of(batch, shingle):
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
-                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "n", "bits", "shingles"])
+                    [batch.column("node").slice(first, last - first),
+                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "shingles"])
     return run
 
 
@@ -295,9 +313,10 @@ def _traversed(tiles: DataFrame, percent: int) -> DataFrame:
 
 # --- the join ----------------------------------------------------------------------------------
 
-def _hot_table(prefixes: DataFrame) -> np.ndarray:
-    """Flags by a token's low bits: whether one with these bits is in many prefixes."""
-    many = prefixes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(f"n > {HOT_ROWS}")
+def _hot_table(counts: DataFrame) -> np.ndarray:
+    """Flags by a token's low bits: whether one with these bits is in many prefixes.  Tasks leave out what they meet
+    once, so a token may go unflagged; any table gives one order for all sets, so results don't hang on it."""
+    many = counts.groupBy("key").agg(F.sum("n").alias("n")).where(f"n > {HOT_ROWS}")
     # At most 2 ** HOT_BITS numbers, whatever the number of tokens.
     at = many.select(F.col("key").bitwiseAND(F.lit((1 << HOT_BITS) - 1)).alias("at")).distinct().toArrow().column("at").to_numpy()
     flags = np.zeros(1 << HOT_BITS, bool)
@@ -305,13 +324,18 @@ def _hot_table(prefixes: DataFrame) -> np.ndarray:
     return flags
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, node) of the keys that several classes hold, one key for each set of members."""
-    banded = classes.select("node", F.explode("keys").alias("key"))
-    members = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x1"),
-               F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("x2")]
-    told = banded.groupBy("key").agg(*members).where("lo <> hi").groupBy("lo", "hi", "n", "x1", "x2").agg(F.min("key").alias("key"))
-    return cut(banded.join(cut(told.select("key")), "key"))
+def _buckets(classes: DataFrame, percent: int) -> DataFrame:
+    """(key, node) of the keys that several classes hold, one key for each set of members.  A class
+    whose neighbours by size in the bucket are too small or too large for it is no member."""
+    alone, by_size = Window.partitionBy("key"), Window.partitionBy("key").orderBy("n", "node")
+    shared = cut(classes.select("node", F.explode("keys").alias("key")).withColumn("lo", F.min("node").over(alone))
+                 .withColumn("hi", F.max("node").over(alone)).where("lo <> hi").select("key", "node"))
+    fits = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(by_size) * percent)
+    members = cut(shared.join(classes.select("node", "n"), "node").withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits").select("key", "node"))
+    same = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x1"),
+            F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("x2")]
+    told = members.groupBy("key").agg(*same).groupBy("lo", "hi", "n", "x1", "x2").agg(F.min("key").alias("key"))
+    return cut(members.join(cut(told.select("key")), "key"))
 
 
 def _open(members: DataFrame, component: DataFrame) -> DataFrame:
@@ -333,26 +357,32 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, shingle: int
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    hot = _hot_table(texts.mapInArrow(_prefixed(shingle, percent, None), PREFIX_SCHEMA))
+    hot = _hot_table(texts.mapInArrow(_frequent(shingle, percent), "key long, n long"))
     signed = cut(texts.mapInArrow(_prefixed(shingle, percent, hot), PREFIX_SCHEMA))
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(linkable.groupBy(F.col("class").alias("node")).agg(F.min_by("keys", "doc_id").alias("keys"),
-                                                                     F.min(F.struct("doc_id", "text_key")).alias("at")))
-    members = _buckets(classes)
+    classes = cut(linkable.groupBy(F.col("class").alias("node")).agg(
+        F.min(F.struct("doc_id", "text_key")).alias("at"), F.min_by(F.struct(F.col("n_shingles").alias("n"), "keys", "bits"), "doc_id").alias("s"))
+        .select("node", "at", "s.*"))
+    members = _buckets(classes, percent)
     hubs = members.join(members.groupBy("key").agg(F.min("node").alias("lo")), "key").groupBy("node").agg(F.min("lo").alias("hub"))
     hubs = cut(hubs)
     # Classes that meet the same smallest class lie next to each other: their sets are read in blocks.
     placed_in = cut(hubs.repartitionByRange("hub", "node").sortWithinPartitions("hub", "node").mapInArrow(_numbered, "node long, block long"))
-    at = classes.join(hubs, "node").select("node", "at.*")
-    sets = cut(texts.join(at, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_signed(shingle), "node long, n long, bits binary, shingles array<long>"))
-    signatures = cut(sets.select("node", "n", "bits").join(placed_in, "node"))
-    full = sets.select("node", "shingles")
-    blocks = cut(full.join(placed_in, "node").groupBy("block").agg(F.collect_list(F.struct("node", "shingles")).alias("held")))
+    signatures = cut(classes.select("node", "n", "bits").join(placed_in, "node"))
     component = cut(hubs.select("node", F.col("node").alias("component")))
+    sets = None                                          # full ones, of classes that have been candidates
 
     def confirm(alike: DataFrame) -> DataFrame:
+        nonlocal sets
         candidates = cut(alike.groupBy("node", "block").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")))
-        links = cut(_confirmed(candidates, full, blocks, percent))
+        wanted = candidates.select("node").unionByName(candidates.select(F.explode("others").alias("node"))).distinct()
+        wanted = wanted if sets is None else wanted.join(sets, "node", "left_anti")
+        at = cut(classes.join(wanted, "node").select("node", "at.*"))
+        new = cut(texts.join(at, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_full_sets(shingle), "node long, shingles array<long>"))
+        sets = new if sets is None else sets.unionByName(new)
+        blocks = (sets.join(placed_in, "node").join(candidates.select("block").distinct(), "block", "left_semi")
+                  .groupBy("block").agg(F.collect_list(F.struct("node", "shingles")).alias("held")))
+        links = cut(_confirmed(candidates, sets, blocks, percent))
         return component if links.isEmpty() else _merged(component, links)
 
     lead = F.min("node").alias("other")

@@ -55,7 +55,7 @@ EDGES = [(None, "a b c d e"), (None, "a b c d e"), (9001, None), (9002, ""), (90
          (9013, "y1 y2 y3 y4 y5"), (9013, "y1 y2 y3 y4 y5"), (9020, " ".join(f"z{i % 977}" for i in range(60_000)))]
 
 
-@pytest.mark.parametrize("rounds,tile,fan", [(3, 256, 32), (0, 2, 2)])
+@pytest.mark.parametrize("rounds,tile,fan", [(2, 256, 32), (0, 2, 2)])
 def test_matches_all_pairs(spark, monkeypatch, rounds, tile, fan):
     """With leaders, and by the traversal of small tiles over several levels alone."""
     for name, value in (("LEAD_ROUNDS", rounds), ("TILE", tile), ("FAN", fan)):
