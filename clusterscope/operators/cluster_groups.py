@@ -18,6 +18,8 @@ from ..session import ship_package
 from ..config import (AP_CONVERGENCE_ITER, AP_DAMPING, AP_MAX_ITER, DBSCAN_EPS, DBSCAN_MIN_SAMPLES,
                       HDBSCAN_MIN_CLUSTER_SIZE, HDBSCAN_MIN_SAMPLES, LINKAGE_DEFAULT_METHOD,
                       LINKAGE_DEPTH, LINKAGE_T)
+from .linkage_tables import FLAT
+from .message_passing import TILT
 
 # ---------------------------------------------------------------------------
 # hierarchical linkage (Lance-Williams updates) and the flat cut
@@ -52,7 +54,7 @@ def linkage(dist: np.ndarray, method: str = "ward") -> np.ndarray:
 
     Returns the ``(n-1) x 4`` merge table ``[id_a, id_b, height, size]``
     (``id_a < id_b``; new clusters numbered n, n+1, ...).  Each step merges the
-    closest pair of active clusters; ties go to the pair with the smallest ids.
+    closest pair of active clusters; ties (at 9 places) go to the pair with the smallest ids.
     """
     n = dist.shape[0]
     d = {}
@@ -68,10 +70,11 @@ def linkage(dist: np.ndarray, method: str = "ward") -> np.ndarray:
             for bi in range(ai + 1, len(active)):
                 s, t = active[ai], active[bi]
                 key = (s, t) if s < t else (t, s)
-                cand = (d[key], key)
+                cand = (round(d[key], 9), key)
                 if best is None or cand < best:
                     best = cand
-        h, (s, t) = best
+        s, t = best[1]
+        h = d[best[1]]
         new = n + step
         for v in active:
             if v in (s, t):
@@ -104,7 +107,7 @@ def inconsistent(z: np.ndarray, depth: int = LINKAGE_DEPTH) -> np.ndarray:
         hs = np.array(heights)
         mean = hs.mean()
         std = hs.std(ddof=1) if len(hs) > 1 else 0.0
-        coef = (z[i, 2] - mean) / std if std > 0 else 0.0
+        coef = (z[i, 2] - mean) / std if std > FLAT else 0.0
         r[i] = [mean, std, len(hs), coef]
     return r
 
@@ -124,7 +127,7 @@ def fcluster_inconsistent(z: np.ndarray, t: float = LINKAGE_T, depth: int = LINK
             if c >= n:
                 m = max(m, mi[c - n])
         mi[i] = m
-    return _monocrit_labels(z, mi, t)
+    return _monocrit_labels(z, np.round(mi, 9), t)
 
 
 def fcluster_distance(z: np.ndarray, t: float) -> np.ndarray:
@@ -303,69 +306,46 @@ def hdbscan_labels(dist: np.ndarray, min_cluster_size: int = HDBSCAN_MIN_CLUSTER
 # ---------------------------------------------------------------------------
 def affinity_propagation_labels(dist: np.ndarray, damping: float = AP_DAMPING,
                                 max_iter: int = AP_MAX_ITER,
-                                convergence_iter: int = AP_CONVERGENCE_ITER,
-                                noise_seed: int | None = 0) -> np.ndarray:
-    """Similarity ``1 - d``; preference = median of the whole similarity matrix;
-    responsibility / availability message passing with damping.  A seeded
-    tiny noise (0 = the classic fixed seed) breaks ties; None disables it."""
-    s = 1.0 - dist.astype(float)
-    n = s.shape[0]
-    pref = np.median(s)
+                                convergence_iter: int = AP_CONVERGENCE_ITER) -> np.ndarray:
+    """One group by the two message equations (see ``message_passing``, whose labels these equal).
+
+    Similarity ``1 - d``, preference the median of the whole similarity matrix,
+    ties to the smaller rank.  Exemplars must stand for ``convergence_iter`` rounds;
+    a group that has none after ``max_iter`` rounds is -1 throughout, one whose
+    distances are all equal is all exemplars."""
+    n = len(dist)
     if n == 1:
-        return np.array([0])
-    s = s.copy()
-    s.flat[:: n + 1] = pref
-    off = s[~np.eye(n, dtype=bool)]
-    if np.all(off == off[0]):
-        # all similarities equal: every point its own exemplar, or one cluster
-        return np.arange(n) if pref >= s.flat[n - 1] else np.zeros(n, dtype=int)
-    if noise_seed is not None:
-        rs = np.random.RandomState(noise_seed)
-        s += (np.finfo(np.double).eps * s + np.finfo(np.double).tiny * 100) * rs.randn(n, n)
-    a = np.zeros((n, n))
-    r = np.zeros((n, n))
-    e = np.zeros((n, convergence_iter))
-    ind = np.arange(n)
-    it = 0
-    for it in range(max_iter):
-        tmp = a + s
-        i_max = np.argmax(tmp, axis=1)
-        y = tmp[ind, i_max]
-        tmp[ind, i_max] = -np.inf
-        y2 = np.max(tmp, axis=1)
-        tmp = s - y[:, None]
-        tmp[ind, i_max] = s[ind, i_max] - y2
-        r = damping * r + (1 - damping) * tmp
-        tmp = np.maximum(r, 0)
-        tmp.flat[:: n + 1] = r.flat[:: n + 1]
-        tmp -= np.sum(tmp, axis=0)
-        da = np.diag(tmp).copy()
-        tmp.clip(0, np.inf, tmp)
-        tmp.flat[:: n + 1] = da
-        a = damping * a - (1 - damping) * tmp
-        ex = (np.diag(a) + np.diag(r)) > 0
-        e[:, it % convergence_iter] = ex
-        k = np.sum(ex)
-        if it >= convergence_iter:
-            se = np.sum(e, axis=1)
-            unconverged = np.sum((se == convergence_iter) + (se == 0)) != n
-            if (not unconverged and k > 0) or it == max_iter:
-                break
-    ex_idx = np.flatnonzero(ex)
-    k = ex_idx.size
-    if k == 0:
-        return np.full(n, -1)
-    c = np.argmax(s[:, ex_idx], axis=1)
-    c[ex_idx] = np.arange(k)
-    for kk in range(k):
-        ii = np.where(c == kk)[0]
-        j = np.argmax(np.sum(s[ii[:, None], ii], axis=0))
-        ex_idx[kk] = ii[j]
-    c = np.argmax(s[:, ex_idx], axis=1)
-    c[ex_idx] = np.arange(k)
-    lab = ex_idx[c]
-    centers = np.unique(lab)
-    return np.searchsorted(centers, lab)
+        return np.zeros(1, dtype=int)
+    plain = 1.0 - dist.astype(float)
+    preference = np.median(plain)
+    apart = plain[~np.eye(n, dtype=bool)]
+    if apart.min() == apart.max():
+        return np.arange(n)
+    np.fill_diagonal(plain, preference)
+    similarity = plain - TILT * (np.arange(n) + 1)
+    responsibility, availability = np.zeros((n, n)), np.zeros((n, n))
+    exemplars, same = frozenset(), -1
+    for _ in range(max_iter):
+        offers = availability + similarity
+        # the best offer of the other candidates: every row's largest value with the candidate's own taken out
+        others = np.array([[np.delete(row, k).max() for k in range(n)] for row in offers])
+        responsibility = damping * responsibility + (1 - damping) * (similarity - others)
+        own = np.diag(responsibility)
+        support = np.maximum(responsibility, 0.0)
+        np.fill_diagonal(support, 0.0)
+        column = support.sum(axis=0)
+        told = np.minimum(0.0, own[None, :] + column[None, :] - support)
+        np.fill_diagonal(told, column)
+        availability = damping * availability + (1 - damping) * told
+        now = frozenset(np.flatnonzero(np.diag(responsibility) + np.diag(availability) > 0).tolist())
+        same = same + 1 if now == exemplars and same >= 0 else 0
+        exemplars = now
+        if exemplars and same >= convergence_iter:
+            chosen = sorted(exemplars)
+            nearest = np.argmax(plain[:, chosen], axis=1)
+            nearest[chosen] = np.arange(len(chosen))
+            return nearest
+    return np.full(n, -1)
 
 
 # ---------------------------------------------------------------------------
@@ -411,9 +391,8 @@ def cluster_matrix(name: str, dist: np.ndarray) -> np.ndarray:
 LABEL_SCHEMA = "query_id string, rank int, label int"
 
 
-def _group_fn(pdf: pd.DataFrame, plugins: dict | None = None) -> pd.DataFrame:
-    qid = pdf["query_id"].iloc[0]
-    alg = pdf["cluster_alg"].iloc[0]
+def distance_matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """One group's ranks, ascending, and the matrix of their distances (1.0 where no row says otherwise)."""
     ranks = np.sort(pd.unique(pd.concat([pdf["rank_a"], pdf["rank_b"]])))
     pos = {int(r): i for i, r in enumerate(ranks)}
     n = len(ranks)
@@ -422,6 +401,13 @@ def _group_fn(pdf: pd.DataFrame, plugins: dict | None = None) -> pd.DataFrame:
     for a, b, d in zip(pdf["rank_a"], pdf["rank_b"], pdf["d"]):
         if a != b:
             m[pos[int(a)], pos[int(b)]] = m[pos[int(b)], pos[int(a)]] = min(max(float(d), 0.0), 1.0)
+    return ranks, m
+
+
+def _group_fn(pdf: pd.DataFrame, plugins: dict | None = None) -> pd.DataFrame:
+    qid = pdf["query_id"].iloc[0]
+    alg = pdf["cluster_alg"].iloc[0]
+    ranks, m = distance_matrix(pdf)
     parts = str(alg).lower().split("-")
     if plugins is not None and parts[0] in plugins:
         labels = np.asarray(plugins[parts[0]](parts[1] if len(parts) > 1 else "", m))

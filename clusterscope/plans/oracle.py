@@ -14,6 +14,10 @@ from ..config import (BLOCK_TAGS, ENGLISH_STOPWORDS, FIELD_BOOSTS, HTML_ENTITIES
                       SEARCH_FIELDS, SIM_FIELDS, SIM_WEIGHTS, TEXT_TAGS)
 
 
+LINKAGE_METHODS = ("single", "complete", "average", "weighted", "centroid", "median", "ward")
+AFFINITY_ROUNDS = 4
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -207,6 +211,99 @@ cids AS (
   SELECT query_id, rank, CAST(CASE WHEN clustered THEN c ELSE -nr END AS VARCHAR) AS cluster_id FROM lab)"""
 
 
+def _lance_williams(method: str) -> str:
+    """Distance of a cluster z to the merge of s and t, from ``dsv``, ``dtv``, ``dst`` and sizes."""
+    s, t, st = "dsv", "dtv", "dst"
+    return {
+        "single": f"least({s}, {t})", "complete": f"greatest({s}, {t})", "weighted": f"({s} + {t}) / 2",
+        "average": f"(ns * {s} + nt * {t}) / (ns + nt)",
+        "centroid": f"sqrt(greatest((ns * {s} * {s} + nt * {t} * {t}) / (ns + nt) - ns * nt * {st} * {st} / ((ns + nt) * (ns + nt)), 0))",
+        "median": f"sqrt(greatest({s} * {s} / 2 + {t} * {t} / 2 - {st} * {st} / 4, 0))",
+        "ward": f"sqrt(greatest(((nv + ns) * {s} * {s} + (nv + nt) * {t} * {t} - nv * {st} * {st}) / (nv + ns + nt), 0))",
+    }[method]
+
+
+def linkage_ctes(method: str, t: float = 0.4, depth: int = 5) -> str:
+    """CTE ``cids``: agglomerative merges one per recursion step over lists of pairs and
+    sizes, then the inconsistency cut; labels number the clusters in walk order."""
+    lw = _lance_williams(method)
+    for name, value in (("dsv", "u.dsv"), ("dtv", "u.dtv"), ("dst", "dst"), ("nv", "u.nv")):
+        lw = lw.replace(name, value)
+    far = "list_filter(pairs, lambda p: p.a = least({e}, z.id) AND p.b = greatest({e}, z.id))[1].d"
+    return f"""
+lkin AS (
+  SELECT h.query_id, h.n, coalesce(p.pairs, []) AS pairs FROM (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id) h
+  LEFT JOIN (SELECT query_id, list({{'a': CAST(rank_a - 1 AS BIGINT), 'b': CAST(rank_b - 1 AS BIGINT), 'd': CAST(d AS DOUBLE)}}) AS pairs FROM dist GROUP BY query_id) p
+  USING (query_id)),
+lk AS (
+  SELECT query_id, n, CAST(0 AS BIGINT) AS step, pairs, list_transform(range(n), lambda i: {{'id': i, 'n': CAST(1 AS BIGINT)}}) AS sizes,
+         CAST(NULL AS BIGINT) AS l, CAST(NULL AS BIGINT) AS r, CAST(NULL AS DOUBLE) AS h FROM lkin
+  UNION ALL
+  SELECT query_id, n, step + 1,
+         list_concat(list_filter(pairs, lambda p: p.a <> s AND p.a <> t AND p.b <> s AND p.b <> t),
+                     list_transform(ups, lambda u: {{'a': u.id, 'b': n + step, 'd': CAST({lw} AS DOUBLE)}})),
+         list_concat(list_filter(sizes, lambda z: z.id <> s AND z.id <> t), [{{'id': n + step, 'n': ns + nt}}]), s, t, dst
+  FROM (
+    SELECT query_id, n, step, pairs, sizes, best.a AS s, best.b AS t, best.raw AS dst,
+           list_filter(sizes, lambda z: z.id = best.a)[1].n AS ns, list_filter(sizes, lambda z: z.id = best.b)[1].n AS nt,
+           list_transform(list_filter(sizes, lambda z: z.id <> best.a AND z.id <> best.b),
+             lambda z: {{'id': z.id, 'nv': z.n, 'dsv': {far.format(e='best.a')}, 'dtv': {far.format(e='best.b')}}}) AS ups
+    FROM (SELECT *, list_min(list_transform(pairs, lambda p: {{'k': round(p.d, 9), 'a': p.a, 'b': p.b, 'raw': p.d}})) AS best
+          FROM lk WHERE step < n - 1))),
+mg AS (SELECT query_id, n + step - 1 AS node, l, r, h FROM lk WHERE step > 0),
+dn AS (
+  SELECT query_id, node AS top, node, 1 AS lvl FROM mg
+  UNION ALL
+  SELECT d.query_id, d.top, c.node, d.lvl + 1 FROM dn d JOIN mg p ON p.query_id = d.query_id AND p.node = d.node
+  JOIN mg c ON c.query_id = p.query_id AND c.node IN (p.l, p.r) WHERE d.lvl < {depth}),
+cf AS (
+  SELECT m.query_id, m.node, CASE WHEN coalesce(max(s.sd), 0) > 1e-9 THEN (m.h - max(s.mean)) / max(s.sd) ELSE 0 END AS coef
+  FROM mg m JOIN (SELECT d.query_id, d.top, avg(x.h) AS mean, stddev_samp(x.h) AS sd FROM dn d
+                  JOIN mg x ON x.query_id = d.query_id AND x.node = d.node GROUP BY d.query_id, d.top) s
+  ON s.query_id = m.query_id AND s.top = m.node GROUP BY m.query_id, m.node, m.h),
+al AS (
+  SELECT query_id, node AS top, l AS child, '0' AS side, l AS at FROM mg UNION ALL SELECT query_id, node, r, '1', r FROM mg
+  UNION ALL
+  SELECT a.query_id, a.top, a.child, a.side, u.x FROM al a
+  JOIN (SELECT query_id, node, unnest([l, r]) AS x FROM mg) u ON u.query_id = a.query_id AND u.node = a.at),
+ok AS (
+  SELECT c.query_id, c.node FROM cf c LEFT JOIN al a ON a.query_id = c.query_id AND a.top = c.node
+  LEFT JOIN cf w ON w.query_id = a.query_id AND w.node = a.at
+  GROUP BY c.query_id, c.node, c.coef HAVING round(greatest(c.coef, max(coalesce(w.coef, 0))), 9) <= {t}),
+lf AS (
+  SELECT h.query_id, h.rank, coalesce(string_agg(a.side, '' ORDER BY a.top DESC), '') AS path,
+         coalesce(max(a.top) FILTER (o.node IS NOT NULL), -h.rank) AS owner
+  FROM hits h LEFT JOIN al a ON a.query_id = h.query_id AND a.at = h.rank - 1
+  LEFT JOIN ok o ON o.query_id = a.query_id AND o.node = a.top GROUP BY h.query_id, h.rank),
+cids AS (
+  SELECT query_id, rank, CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY first) AS VARCHAR) AS cluster_id
+  FROM (SELECT *, min(path) OVER (PARTITION BY query_id, owner) AS first FROM lf))"""
+
+
+def affinity_ctes(rounds: int) -> str:
+    """CTE ``aff{rounds}``: messages after so many damped rounds, every maximum and sum by a
+    self-join over the other candidates or points."""
+    out = ["""
+whole AS (
+  SELECT query_id, rank_a AS i, rank_b AS k, 1.0 - d AS s FROM dist UNION ALL SELECT query_id, rank_b, rank_a, 1.0 - d FROM dist
+  UNION ALL SELECT query_id, rank, rank, 1.0 FROM hits),
+aff0 AS (
+  SELECT w.query_id, w.i, w.k, CASE WHEN w.i = w.k THEN p.pref ELSE w.s END - 1e-9 * w.k AS s, 0.0 AS r, 0.0 AS a
+  FROM whole w JOIN (SELECT query_id, median(s) AS pref FROM whole GROUP BY query_id) p USING (query_id))"""]
+    for j in range(1, rounds + 1):
+        out.append(f"""
+resp{j} AS (
+  SELECT m.query_id, m.i, m.k, any_value(m.s) AS s, any_value(m.a) AS a,
+         CASE WHEN max(o.a + o.s) IS NULL THEN any_value(m.r) ELSE 0.5 * any_value(m.r) + 0.5 * (any_value(m.s) - max(o.a + o.s)) END AS r
+  FROM aff{j - 1} m LEFT JOIN aff{j - 1} o ON o.query_id = m.query_id AND o.i = m.i AND o.k <> m.k GROUP BY m.query_id, m.i, m.k),
+aff{j} AS (
+  SELECT m.query_id, m.i, m.k, any_value(m.s) AS s, any_value(m.r) AS r,
+         0.5 * any_value(m.a) + 0.5 * CASE WHEN m.i = m.k THEN sum(CASE WHEN o.i <> m.k THEN greatest(o.r, 0) ELSE 0 END)
+           ELSE least(0, max(CASE WHEN o.i = m.k THEN o.r END) + sum(CASE WHEN o.i <> m.k AND o.i <> m.i THEN greatest(o.r, 0) ELSE 0 END)) END AS a
+  FROM resp{j} m JOIN resp{j} o ON o.query_id = m.query_id AND o.k = m.k GROUP BY m.query_id, m.i, m.k)""")
+    return ",".join(out)
+
+
 def cluster_agg_ctes() -> str:
     return """
 clus AS (
@@ -516,6 +613,10 @@ FROM clus{join}"""
         join=" LEFT JOIN summ USING (query_id, cluster_id)")
     out["rank_median_score"] = _with(F, I, H, S, D, C) + ranked.format(m="score_median", extra="", join="")
     out["rank_sum_score"] = _with(F, I, H, S, D, C) + ranked.format(m="score_sum", extra="", join="")
+    for method in LINKAGE_METHODS:
+        out[f"cluster_linkage_{method}"] = _with(F, I, H, S, linkage_ctes(method), C) + ranked.format(m="score_max", extra="", join="")
+    out["affinity_messages"] = _with(F, I, H, S, affinity_ctes(AFFINITY_ROUNDS)) + f"""
+SELECT query_id, i AS rank, k AS candidate, round(r, 6) AS responsibility, round(a, 6) AS availability FROM aff{AFFINITY_ROUNDS}"""
     out["rake_labels"] = _with(F, I, H, S, D, K) + """
 SELECT query_id, cluster_id, summary FROM summ"""
     return out

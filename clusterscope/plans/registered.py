@@ -26,6 +26,7 @@ from ..functions.text import search_tokens
 from ..operators.lsa import (blurred_field, blurred_terms, fit_lsa, related_terms, singular_values,
                              term_vectors, topic_terms)
 from ..operators.corpus import corpus_dbscan
+from ..operators.message_passing import hit_similarities, message_round, start, tilted
 from ..operators.links import page_links, reachable_pages
 from ..operators.pages import page_keys
 from ..operators.search import phrase_impacts, search
@@ -225,6 +226,17 @@ def _algo_job(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return job
 
 
+def q_affinity_messages(spark, sf_dir):
+    """C11 as message passing: both messages of every hit pair after four damped rounds over the edge table."""
+    prep, _, h = _hits(spark, sf_dir, materialize=True)
+    d = cut(hit_distances(h, hit_pair_similarity(h, prep.vectors, prep.norms)))
+    state = start(tilted(hit_similarities(h, d)))
+    for _ in range(4):
+        state = cut(message_round(state))
+    return state.select(F.col("group").alias("query_id"), F.col("i").alias("rank"), F.col("k").alias("candidate"),
+                        F.round("r", R).alias("responsibility"), F.round("a", R).alias("availability"))
+
+
 def q_cluster_dispatch(spark, sf_dir):
     """Every benchmark query with each of the ten algorithm names (mixed
     case) in one batch; the dispatcher routes each query to its algorithm."""
@@ -321,6 +333,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rank_median_score": q_rank_median_score,
         "rank_sum_score": q_rank_sum_score,
         "rake_labels": q_rake_labels,
+        "affinity_messages": q_affinity_messages,
         "cluster_dispatch": q_cluster_dispatch,
         "corpus_dbscan": q_corpus_dbscan,
         "lsa_singular_values": q_lsa_singular_values,
