@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from clusterscope.llm.texts import table
 
 
 #: Vocabulary file of the output operator; a parameter of it.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +173,8 @@ def _component_sql(width: int, columns: str) -> str:
     """DuckDB SQL of the components of shingle sets of ``width`` words that overlap by 85 percent of their union."""
     return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                  '[^ 	-]+') AS w FROM documents),
+                  '[^ 	-
+]+') AS w FROM documents),
 shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {width - 1}], ' ') AS g
     FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),

@@ -5,7 +5,7 @@ keep: a set of n tokens needs n - ceil(t * n) + 1 of them (its *prefix*).  The o
 tokens that many prefixes hold put last, so that a passage quoted everywhere is no key.  A key's sets are
 a *bucket*; buckets of equal members are one.
 
-A set's signature is a bitmap of its tokens (at least twice as many bits as tokens).  In a bucket the
+A set's signature is a bitmap of its tokens (at least as many bits as tokens).  In a bucket the
 signatures, sorted by component and size, are the leaves of a tree: a node holds the OR of
 its leaves' bitmaps, the range of their sizes and of their components, and the most tokens that any of them has
 beyond its bits.  A dual traversal starts from the root with itself.  A pair of nodes is
@@ -14,7 +14,7 @@ tokens beyond the bits cannot make up the overlap that the smallest sizes need;
 paired.  Pairs of leaves that pass are confirmed on their full sets.
 
 Upper levels are rows that Spark joins level by level; the lowest (``TILE`` leaves) lies within a task.  Before that,
-members are paired with a few leaders of their bucket, so that a large group of copies becomes one
+members of large buckets are paired with a few leaders of theirs, so that a large group of copies becomes one
 component, which the traversal then passes over at its top.  What looks alike is gathered per member and
 compared in blocks, so no pair that isn't a link becomes a row.
 """
@@ -39,8 +39,9 @@ PERCENT = 85
 HOT_ROWS = 64                # prefixes from which a token goes last
 RUN_KEYS = 1 << 20           # prefix tokens that a task counts at once
 HOT_BITS = 22                # size of the table of such tokens, 2 ** 22 bits; a wrong one only moves a token
-LEAST_BITS = 1024            # of a bitmap, and of the bitmaps of the upper levels
-LEADERS, LEAD_ROUNDS = 8, 2
+LEAST_BITS = 512             # of a bitmap, and of the bitmaps of the upper levels
+LEADERS, LEAD_ROUNDS = 8, 2  # of a bucket of over LEAD_FROM members
+LEAD_FROM = 32
 TILE, TILE_BYTES = 256, 1 << 18
 SUB = 16                     # leaves of a node within a tile
 FAN = 32                     # children of a node above the tiles
@@ -94,11 +95,17 @@ def _prefixed(shingle: int, percent: int, hot: np.ndarray):
         return np.concatenate([tokens[~late], tokens[late]])[:p]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()                           # a class's keys come once from a task
         for batch in batches:
             for first, last, sets in _sets_of(batch, shingle):
-                keys = [keys_of(s) for s in sets]
+                names = [int(class_of(s).astype(np.int64)) if len(s) else None for s in sets]
+                keys = []
+                for s, name in zip(sets, names):
+                    keys.append(s[:0] if name in seen else keys_of(s))
+                    seen.add(name)
+                if len(seen) > RUN_KEYS:
+                    seen.clear()
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                names = [class_of(s).astype(np.int64) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, last - first), batch.column("text_key").slice(first, last - first),
                      pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()),
@@ -112,7 +119,7 @@ PREFIX_SCHEMA = "doc_id long, text_key long, n_shingles long, class long, keys a
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     """The tokens' bits, as 64-bit words; a shorter bitmap is the OR of a longer one's parts."""
-    bits = max(LEAST_BITS, 1 << int(2 * len(tokens) - 1).bit_length())
+    bits = max(LEAST_BITS, 1 << int(len(tokens) - 1).bit_length())
     flags = np.zeros(bits, bool)
     flags[((tokens >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").view("<u8")
@@ -324,24 +331,27 @@ def _hot_table(counts: DataFrame) -> np.ndarray:
     return flags
 
 
-def _buckets(classes: DataFrame, percent: int) -> DataFrame:
+def _buckets(linkable: DataFrame, percent: int) -> DataFrame:
     """(key, node) of the keys that several classes hold, one key for each set of members.  A class
     whose neighbours by size in the bucket are too small or too large for it is no member."""
     alone, by_size = Window.partitionBy("key"), Window.partitionBy("key").orderBy("n", "node")
-    shared = cut(classes.select("node", F.explode("keys").alias("key")).withColumn("lo", F.min("node").over(alone))
-                 .withColumn("hi", F.max("node").over(alone)).where("lo <> hi").select("key", "node"))
+    shared = (linkable.select(F.col("class").alias("node"), F.explode("keys").alias("key")).withColumn("lo", F.min("node").over(alone))
+              .withColumn("hi", F.max("node").over(alone)).where("lo <> hi").select("key", "node"))
+    shared = cut(shared.distinct())
+    sizes = linkable.groupBy(F.col("class").alias("node")).agg(F.max("n_shingles").alias("n"))
     fits = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(by_size) * percent)
-    members = cut(shared.join(classes.select("node", "n"), "node").withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits").select("key", "node"))
+    members = cut(shared.join(sizes, "node").withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits").select("key", "node"))
     same = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x1"),
             F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("x2")]
     told = members.groupBy("key").agg(*same).groupBy("lo", "hi", "n", "x1", "x2").agg(F.min("key").alias("key"))
     return cut(members.join(cut(told.select("key")), "key"))
 
 
-def _open(members: DataFrame, component: DataFrame) -> DataFrame:
-    """The members, with their components, of buckets that hold several."""
+def _open(members: DataFrame, component: DataFrame, over: int = 1) -> DataFrame:
+    """The members, with their components, of buckets that hold several and more than ``over`` members."""
     placed = cut(members.join(component, "node"))
-    several = cut(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
+    several = cut(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+                  .where(f"lo <> hi and size > {over}").select("key"))
     return placed.join(several, "key")
 
 
@@ -360,15 +370,15 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, shingle: int
     hot = _hot_table(texts.mapInArrow(_frequent(shingle, percent), "key long, n long"))
     signed = cut(texts.mapInArrow(_prefixed(shingle, percent, hot), PREFIX_SCHEMA))
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(linkable.groupBy(F.col("class").alias("node")).agg(
-        F.min(F.struct("doc_id", "text_key")).alias("at"), F.min_by(F.struct(F.col("n_shingles").alias("n"), "keys", "bits"), "doc_id").alias("s"))
-        .select("node", "at", "s.*"))
-    members = _buckets(classes, percent)
+    classes = cut(linkable.groupBy(F.col("class").alias("node")).agg(F.min(F.struct("doc_id", "text_key")).alias("at")))
+    members = _buckets(linkable, percent)
     hubs = members.join(members.groupBy("key").agg(F.min("node").alias("lo")), "key").groupBy("node").agg(F.min("lo").alias("hub"))
     hubs = cut(hubs)
     # Classes that meet the same smallest class lie next to each other: their sets are read in blocks.
     placed_in = cut(hubs.repartitionByRange("hub", "node").sortWithinPartitions("hub", "node").mapInArrow(_numbered, "node long, block long"))
-    signatures = cut(classes.select("node", "n", "bits").join(placed_in, "node"))
+    at = classes.join(placed_in, "node").select("node", "block", "at.*")
+    signatures = cut(linkable.select("doc_id", "text_key", F.col("class").alias("node"), F.col("n_shingles").alias("n"), "bits")
+                     .join(at, ["doc_id", "text_key", "node"]).select("node", "n", "bits", "block").dropDuplicates(["node"]))
     component = cut(hubs.select("node", F.col("node").alias("component")))
     sets = None                                          # full ones, of classes that have been candidates
 
@@ -387,8 +397,7 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, shingle: int
 
     lead = F.min("node").alias("other")
     for step in range(LEAD_ROUNDS):
-        here = cut(_open(members, component))
-        members = here.select("key", "node")
+        here = cut(_open(members, component, LEAD_FROM))
         if here.isEmpty():
             break
         if step:                                         # one of each of the first few components

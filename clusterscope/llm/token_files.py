@@ -43,6 +43,8 @@ NO_ID = -(1 << 63)
 END_ID = 0
 RUN_BYTES = 1 << 20          # of text encoded at once
 CACHE_WORDS, CACHE_CHARS = 150_000, 64
+TOGETHER = 200               # new words encoded as one text
+MARKS = ".,;:!?"             # that may end a word as tokens of their own
 
 
 # --- files ---------------------------------------------------------------------
@@ -171,13 +173,30 @@ ODD_SPACE = re.compile(r"[^\S \n]")
 
 
 class _Words(dict):
-    """Packed ids by word; words that are asked for and not there are noted in ``new``."""
+    """Packed ids by word; words that are asked for and not there are noted in ``new``.  A mark that ends a word
+    after a letter or digit is a token of its own, so such a word is that of its body and the mark's."""
 
-    def __init__(self):
+    def __init__(self, marks: dict[str, bytes]):
         self.new: set[str] = set()
-
-    def __missing__(self, word: str) -> None:
-        self.new.add(word)
+        self.marks = marks
+
+    def parted(self, word: str) -> tuple[str, bytes]:
+        """The word's body and the ids of its end."""
+        end = self.marks.get(word[-1:])
+        if end is not None and "0" <= word[-2:-1] < "\u0250" and word[-2].isalnum():
+            return word[:-1], end
+        return word, b""
+
+    def __missing__(self, word: str) -> bytes | None:
+        body, end = self.parted(word)
+        if not end:
+            self.new.add(word)
+            return None
+        ids = self.get(body)
+        if ids is None:
+            self.new.add(body)
+            return None
+        return ids + end
 
 
 class Encoder:
@@ -198,7 +217,9 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank_first[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True     # the blank's byte in such files
-        self.known = _Words()                            # each with a blank before it
+        ids = lambda text: self._ids(text).tobytes()
+        alone = {m: ids(m) for m in MARKS if all(ids(f" {w}{m} {w}") == ids(f" {w}") + ids(m) + ids(f" {w}") for w in ("a", "Z", "9", "\u00e9"))}
+        self.known = _Words(alone)                       # each with a blank before it
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
@@ -207,7 +228,8 @@ class Encoder:
         plain = [w for w in words if w and not w[-1].isspace()]
         found = {w: self._ids(" " + w).tobytes() for w in words if not w or w[-1].isspace()}
         if plain:
-            ids = self._ids(" " + " ".join(plain))
+            texts = [" " + " ".join(plain[i:i + TOGETHER]) for i in range(0, len(plain), TOGETHER)]
+            ids = np.concatenate([np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
             starts = np.flatnonzero(self.blank_first[ids])
             if len(starts) != len(plain):                # not a file of this kind
                 return found | {w: self._ids(" " + w).tobytes() for w in plain}
@@ -230,7 +252,7 @@ class Encoder:
                 out.append(self._ids(text).tobytes())
                 continue
             if None in ids:
-                ids = [learnt[w] if x is None else x for w, x in zip(whole[1:], ids)]
+                ids = [self._late(learnt, w) if x is None else x for w, x in zip(whole[1:], ids)]
             out.append(self._ids(whole[0]).tobytes() + b"".join(ids))        # no blank before the first word
         if len(known) < CACHE_WORDS:                     # the frequent words come early
             known.update((w, x) for w, x in learnt.items() if len(w) <= CACHE_CHARS)
@@ -238,6 +260,12 @@ class Encoder:
         return out
 
 
+    def _late(self, learnt: dict[str, bytes], word: str) -> bytes:
+        """Ids of a word that was new, or whose body was."""
+        body, end = self.known.parted(word)
+        return learnt[body] + end
+
+
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str, id_type: str) -> Encoder:
     return Encoder(path, id_type)

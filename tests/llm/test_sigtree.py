@@ -58,7 +58,7 @@ EDGES = [(None, "a b c d e"), (None, "a b c d e"), (9001, None), (9002, ""), (90
 @pytest.mark.parametrize("rounds,tile,fan", [(2, 256, 32), (0, 2, 2)])
 def test_matches_all_pairs(spark, monkeypatch, rounds, tile, fan):
     """With leaders, and by the traversal of small tiles over several levels alone."""
-    for name, value in (("LEAD_ROUNDS", rounds), ("TILE", tile), ("FAN", fan)):
+    for name, value in (("LEAD_ROUNDS", rounds), ("LEAD_FROM", 1), ("TILE", tile), ("FAN", fan)):
         monkeypatch.setattr(sigtree, name, value)
     rows = families(1, 60, 3) + EDGES
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit("x")).withColumn("node", F.lit(1)).repartition(5)
@@ -68,7 +68,7 @@ def test_matches_all_pairs(spark, monkeypatch, rounds, tile, fan):
 def test_one_large_group_of_near_copies_and_a_common_passage(spark, monkeypatch):
     """Copies that chain into one component, and many texts around one passage."""
     monkeypatch.setattr(sigtree, "HOT_ROWS", 8)
-    monkeypatch.setattr(sigtree, "LEAD_ROUNDS", 1)
+    monkeypatch.setattr(sigtree, "LEAD_FROM", 8)
     monkeypatch.setattr(sigtree, "TILE", 16)
     monkeypatch.setattr(sigtree, "FAN", 2)
     rng = random.Random(3)
