@@ -242,8 +242,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         members = members.join(open_, "key", "left_semi")
         compared, leaders = leaders, leaders * STEP
 
+    # Classes that hold one doc_id are one node.
+    held = linkable.select("doc_id", "set1", "set2").distinct()
+    shared_ids = held.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     of_class = (classes.select("set1", "set2", "node").join(component, "node", "left")
                 .select("set1", "set2", F.coalesce("component", "node").alias("component")))
+    both = held.join(shared_ids, "doc_id").join(of_class, ["set1", "set2"])
+    across = cut(both.groupBy("doc_id").agg(F.min("component").alias("a")).join(both.select("doc_id", F.col("component").alias("b")), "doc_id")
+                 .where("a <> b").select("a", "b"))
+    if not across.isEmpty():
+        joined = components(across).toDF("component", "smaller")
+        of_class = of_class.join(joined, "component", "left").select("set1", "set2", F.coalesce("smaller", "component").alias("component"))
     own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     return (signed.select("doc_id", "n_shingles", F.when(~own, F.col("set1")).alias("set1"), F.when(~own, F.col("set2")).alias("set2"))
             .join(of_class, ["set1", "set2"], "left")
@@ -253,7 +262,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with its columns, whose doc_id stands for its component; of rows that
-    agree in doc_id and text one stays, and rows without a doc_id all stay."""
+    agree in doc_id and text one stays, and rows without a doc_id all stay.  Rows of one doc_id with different texts are one
+    document: all of its texts stay or go."""
     ids = cut(near_duplicates(docs, **options).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     kept = rows.join(ids, "id")

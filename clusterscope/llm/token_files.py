@@ -24,6 +24,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ END_ID = 0
 RUN_BYTES = 1 << 20          # of text encoded at once
 CACHE_WORDS, CACHE_CHARS = 150_000, 64
 TOGETHER = 200               # new words encoded as one text
-MARKS = ".,;:!?"             # that may end a word as tokens of their own
+MARKS, CUT = ".,;:!?", "\x01"           # what may end a word as a token of its own; stands before it once cut off
 
 
 # --- files ---------------------------------------------------------------------
@@ -172,33 +173,6 @@ class Reader:
 ODD_SPACE = re.compile(r"[^\S \n]")
 
 
-class _Words(dict):
-    """Packed ids by word; words that are asked for and not there are noted in ``new``.  A mark that ends a word
-    after a letter or digit is a token of its own, so such a word is that of its body and the mark's."""
-
-    def __init__(self, marks: dict[str, bytes]):
-        self.new: set[str] = set()
-        self.marks = marks
-
-    def parted(self, word: str) -> tuple[str, bytes]:
-        """The word's body and the ids of its end."""
-        end = self.marks.get(word[-1:])
-        if end is not None and "0" <= word[-2:-1] < "\u0250" and word[-2].isalnum():
-            return word[:-1], end
-        return word, b""
-
-    def __missing__(self, word: str) -> bytes | None:
-        body, end = self.parted(word)
-        if not end:
-            self.new.add(word)
-            return None
-        ids = self.get(body)
-        if ids is None:
-            self.new.add(body)
-            return None
-        return ids + end
-
-
 class Encoder:
     """Ids of a text by a byte-level BPE file of the tokenizers library, as packed numbers.
 
@@ -206,7 +180,8 @@ class Encoder:
     characters, so the text is cut there; the words repeat much and are encoded
     once.  New words are encoded together, and as only a word's first token begins
     with the blank, the ids tell where each word starts.  Texts with other neighbours of a
-    blank, or with a special token's string, are encoded whole.
+    blank, or with a special token's string, are encoded whole.  A mark between a letter or digit and a blank is a token
+    of its own; it is cut off its word (``CUT`` before it), as words without it repeat more.
     """
 
     def __init__(self, path: str, id_type: str):
@@ -218,8 +193,9 @@ class Encoder:
         self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank_first[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True     # the blank's byte in such files
         ids = lambda text: self._ids(text).tobytes()
-        alone = {m: ids(m) for m in MARKS if all(ids(f" {w}{m} {w}") == ids(f" {w}") + ids(m) + ids(f" {w}") for w in ("a", "Z", "9", "\u00e9"))}
-        self.known = _Words(alone)                       # each with a blank before it
+        alone = [m for m in MARKS if all(ids(f" {w}{m} {w}") == ids(f" {w}") + ids(m) + ids(f" {w}") for w in ("a", "Z", "9", "\u00e9"))]
+        self.known = {CUT + m: ids(m) for m in alone}    # packed ids by word, each with a blank before it
+        self.marked = re.compile(f"([{re.escape(''.join(alone))}]) (?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]..)") if alone else None
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
@@ -239,33 +215,30 @@ class Encoder:
 
     def _cut(self, text: str) -> bool:
         """Whether all blanks are single ones between visible characters."""
-        return not ("  " in text or "\n " in text or " \n" in text or ODD_SPACE.search(text) or any(s in text for s in self.specials))
+        return not ("  " in text or "\n " in text or " \n" in text or ODD_SPACE.search(text) or CUT in text
+                    or any(s in text for s in self.specials))
+
+    def _words(self, text: str) -> list[str] | None:
+        if not self._cut(text):
+            return None
+        return (self.marked.sub(f" {CUT}\\1 ", text) if self.marked else text).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        words = [t.split(" ") if self._cut(t) else None for t in texts]
-        parts = [None if w is None else list(map(known.__getitem__, w[1:])) for w in words]
-        learnt = self._learn(list(known.new))
-        out = []
-        for text, whole, ids in zip(texts, words, parts):
-            if ids is None:
-                out.append(self._ids(text).tobytes())
-                continue
-            if None in ids:
-                ids = [self._late(learnt, w) if x is None else x for w, x in zip(whole[1:], ids)]
-            out.append(self._ids(whole[0]).tobytes() + b"".join(ids))        # no blank before the first word
-        if len(known) < CACHE_WORDS:                     # the frequent words come early
-            known.update((w, x) for w, x in learnt.items() if len(w) <= CACHE_CHARS)
-        known.new.clear()
+        known, room = self.known, CACHE_WORDS - len(self.known)
+        words = [self._words(t) for t in texts]
+        asked: set[str] = set()
+        for w in words:
+            asked.update(islice(w or (), 1, None))
+        learnt = self._learn(list(asked.difference(known)))
+        known.update(learnt)
+        out = [self._ids(text).tobytes() if w is None else                             # no blank before the first word
+               self._ids(w[0]).tobytes() + b"".join(map(known.__getitem__, islice(w, 1, None))) for text, w in zip(texts, words)]
+        for w in learnt:                                 # the frequent words come early
+            if room <= 0 or len(w) > CACHE_CHARS:
+                del known[w]
         return out
 
 
-    def _late(self, learnt: dict[str, bytes], word: str) -> bytes:
-        """Ids of a word that was new, or whose body was."""
-        body, end = self.known.parted(word)
-        return learnt[body] + end
-
-
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str, id_type: str) -> Encoder:
     return Encoder(path, id_type)

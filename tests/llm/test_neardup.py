@@ -71,6 +71,15 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_doc_id_with_two_texts_is_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, c), (11, c), (12, c + " more"), (20, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (11, 3, False), (12, 3, False), (20, 20, True)}
+    assert sorted(tuple(r) for r in neardup.without_near_duplicates(df).collect()) == [(3, a), (20, "x y z")]
+
+
 def test_estimate_follows_similarity(spark):
     import numpy as np
     import pyarrow as pa
