@@ -5,7 +5,7 @@ keep: a set of n tokens needs n - ceil(t * n) + 1 of them (its *prefix*).  The o
 tokens that many prefixes hold put last, so that a passage quoted everywhere is no key.  A key's sets are
 a *bucket*; buckets of equal members are one.
 
-A set's signature is a bitmap of its tokens (at least as many bits as tokens).  In a bucket the
+A set's signature is a bitmap of its tokens (at least twice as many bits as tokens).  In a bucket the
 signatures, sorted by component and size, are the leaves of a tree: a node holds the OR of
 its leaves' bitmaps, the range of their sizes and of their components, and the most tokens that any of them has
 beyond its bits.  A dual traversal starts from the root with itself.  A pair of nodes is
@@ -119,7 +119,7 @@ PREFIX_SCHEMA = "doc_id long, text_key long, n_shingles long, class long, keys a
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     """The tokens' bits, as 64-bit words; a shorter bitmap is the OR of a longer one's parts."""
-    bits = max(LEAST_BITS, 1 << int(len(tokens) - 1).bit_length())
+    bits = max(LEAST_BITS, 1 << int(2 * len(tokens) - 1).bit_length())
     flags = np.zeros(bits, bool)
     flags[((tokens >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").view("<u8")
@@ -395,18 +395,19 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, shingle: int
         links = cut(_confirmed(candidates, sets, blocks, percent))
         return component if links.isEmpty() else _merged(component, links)
 
-    lead = F.min("node").alias("other")
     for step in range(LEAD_ROUNDS):
-        here = cut(_open(members, component, LEAD_FROM))
+        here = cut(_open(members, component, LEAD_FROM).join(signatures.select("node", "n"), "node"))
         if here.isEmpty():
             break
+        lead = F.min(F.struct("node", "n", "component"))
         if step:                                         # one of each of the first few components
             rank = F.row_number().over(Window.partitionBy("key").orderBy("component"))
-            leaders = here.groupBy("key", "component").agg(lead).withColumn("rank", rank).where(f"rank <= {LEADERS}")
+            leaders = here.groupBy("key", "component").agg(lead.alias("l")).withColumn("rank", rank).where(f"rank <= {LEADERS}")
         else:
-            leaders = here.groupBy("key").agg(F.min(F.struct("node", "component")).alias("l")).select("key", F.col("l.component").alias("component"), F.col("l.node").alias("other"))
-        leaders = cut(leaders.select("key", "other", F.col("component").alias("other_component")))
-        pairs = here.join(leaders, "key").where("component <> other_component").select("node", "other").distinct()
+            leaders = here.groupBy("key").agg(lead.alias("l"))
+        leaders = cut(leaders.select("key", F.col("l.node").alias("other"), F.col("l.n").alias("other_n"), F.col("l.component").alias("other_component")))
+        fits = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
+        pairs = here.join(leaders, "key").where("component <> other_component").where(fits).select("node", "other").distinct()
         theirs = signatures.select(F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"), "block")
         alike = pairs.join(signatures.drop("block"), "node").join(theirs, "other").mapInArrow(_alike(percent), "node long, block long, other long")
         component = confirm(alike.select("node", "block", F.array("other").alias("others")))
