@@ -19,9 +19,11 @@ repeat.  The work is cut into pieces that Spark can shuffle:
    are found by length, as their texts are prefixes of its own.
 
 An anchor with very many distinct texts (a passage that much of the corpus
-quotes, each time among other words) is thinned first: hashes of its windows
-are counted by Spark, windows met once are cut off, and what is left of the
-texts collapses into few classes.  No step gathers the copies of a text.
+quotes, each time among other words) is thinned first: every task marks the windows of such texts in a
+table of fixed size, the tables are added, and runs of windows whose cells were met
+once are cut off; what is left of the texts collapses into few classes.  A window that stays by a
+chance hit does no harm, as the suffix arrays decide.  Anchors that are still crowded have their
+windows counted exactly by Spark.  No step gathers the copies of a text.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ MIN_LEN = 200
 GRAM = 32
 PIECE_BYTES = 2 << 20        # bytes handled at once by numpy
 MANY_TEXTS = 2000            # distinct texts of an anchor from which its windows are counted first
+TABLE_BITS = 24              # of each of the two tables of windows met
+TABLE_PART = 1 << 16         # bytes of a table that are added together
 POSITION_BITS = np.uint64(24)
 
 
@@ -269,17 +273,93 @@ def _content_batch(out: dict[str, list]) -> pa.RecordBatch:
 CONTENT_SCHEMA = "anchor long, doc_id long, text_key long, lo long, windows int, n long, content binary"
 
 
+def _windows_of(batch: pa.RecordBatch, min_len: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, place within it, hash) of all windows of the contents, piece by piece."""
+    data, offsets = text_bytes(batch.column("content"))
+    for first, last in row_runs(offsets, PIECE_BYTES):
+        windows = np.diff(offsets[first:last + 1]) - min_len + 1
+        row = np.repeat(np.arange(first, last), windows)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+        at = offsets[row] - offsets[first] + within
+        yield row, within, Rolling(data[offsets[first]:offsets[last]]).ranges(at, at + min_len)
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    """A window's cell in each of the two tables, which lie one after the other."""
+    low = np.uint64((1 << TABLE_BITS) - 1)
+    return np.stack([hashes & low, ((hashes >> np.uint64(TABLE_BITS)) & low) + np.uint64(1 << TABLE_BITS)]).astype(np.int64)
+
+
+def _met_tables(min_len: int):
+    """Parts of a task's tables, as bits: cells met by a window, and by more than one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(2 << TABLE_BITS, np.uint8)
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            for row, _, hashes in _windows_of(batch, min_len):
+                for cells in _cells(hashes):
+                    at, times = np.unique(np.concatenate([cells, cells[n[row] > 1]]), return_counts=True)
+                    met[at] = np.minimum(met[at] + times, 2)
+        if not met.any():
+            return
+        once, twice = np.packbits(met > 0), np.packbits(met > 1)
+        for part in range(len(once) // TABLE_PART):
+            here = slice(part * TABLE_PART, (part + 1) * TABLE_PART)
+            if once[here].any():
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "once": [once[here].tobytes()], "twice": [twice[here].tobytes()]})
+    return run
+
+
+def _added_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for part, *bits in zip(*(batch.column(c).to_pylist() for c in ("part", "once", "twice"))):
+            once, twice = (np.frombuffer(b, np.uint8) for b in bits)
+            have = held.get(part)
+            held[part] = [once, twice] if have is None else [have[0] | once, have[1] | twice | (have[0] & once)]
+    for part, (_, twice) in held.items():
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "twice": [twice.tobytes()]})
+
+
+def _met_twice(contents: DataFrame, min_len: int) -> np.ndarray:
+    """Flags of the cells of both tables that several windows met.  2 ** (TABLE_BITS + 1) bits, whatever the input."""
+    parts = (contents.mapInArrow(_met_tables(min_len), "part int, once binary, twice binary").repartition("part")
+             .mapInArrow(_added_parts, "part int, twice binary").toArrow())
+    bits = np.zeros(2 << TABLE_BITS >> 3, np.uint8)
+    for part, twice in zip(parts.column("part").to_pylist(), parts.column("twice").to_pylist()):
+        bits[part * TABLE_PART:(part + 1) * TABLE_PART] = np.frombuffer(twice, np.uint8)
+    return bits
+
+
+def _met_runs(min_len: int, bits: np.ndarray):
+    """The contents' runs of windows that are marked in both tables, as contents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(bits).view(bool)
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("anchor", "doc_id", "text_key", "lo", "windows", "n", "content")}
+            rows = {c: batch.column(c).to_pylist() for c in ("anchor", "doc_id", "text_key", "lo", "n", "content")}
+            for row, within, hashes in _windows_of(batch, min_len):
+                first, second = _cells(hashes)
+                met = np.flatnonzero(flags[first] & flags[second])
+                if not len(met):
+                    continue
+                head = np.flatnonzero(np.concatenate([[True], (np.diff(row[met]) != 0) | (np.diff(within[met]) != 1)]))
+                for i, length in zip(met[head].tolist(), np.diff(np.append(head, len(met))).tolist()):
+                    r, skip = int(row[i]), int(within[i])
+                    for c in ("anchor", "doc_id", "text_key", "n"):
+                        out[c].append(rows[c][r])
+                    out["lo"].append(rows["lo"][r] + skip)
+                    out["windows"].append(length)
+                    out["content"].append(rows["content"][r][skip:skip + length - 1 + min_len])
+            yield _content_batch(out)
+    return run
+
+
 def _window_hashes(min_len: int):
     """All windows of these contents with their hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column("content"))
-            for first, last in row_runs(offsets, PIECE_BYTES):
-                windows = np.diff(offsets[first:last + 1]) - min_len + 1
-                row = np.repeat(np.arange(first, last), windows)
-                within = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-                at = offsets[row] - offsets[first] + within
-                hashes = Rolling(data[offsets[first]:offsets[last]]).ranges(at, at + min_len)
+            for row, within, hashes in _windows_of(batch, min_len):
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).take(take) for c in ("anchor", "doc_id", "text_key", "lo", "n")),
@@ -337,7 +417,12 @@ def repeat_spans(docs: DataFrame, min_len: int = MIN_LEN, many_texts: int = MANY
                    .mapInArrow(_contents(min_len), CONTENT_SCHEMA))
 
     crowded = several.where(F.col("texts") > many_texts).select("anchor")
-    thin = cut(_thinned(contents.join(crowded, "anchor"), min_len).withColumn("segment", F.xxhash64("content")))
+    many = cut(contents.join(crowded, "anchor").select(contents.columns))
+    if not many.isEmpty():
+        many = cut(many.mapInArrow(_met_runs(min_len, _met_twice(many, min_len)), CONTENT_SCHEMA))
+    still = cut(many.groupBy("anchor").agg(F.count_distinct(F.xxhash64("content")).alias("texts")).where(F.col("texts") > many_texts).select("anchor"))
+    exact = _thinned(many.join(still, "anchor").select(many.columns), min_len)
+    thin = cut(many.join(still, "anchor", "left_anti").select(exact.columns).unionByName(exact).withColumn("segment", F.xxhash64("content")))
     thin_classes = thin.groupBy("anchor", "segment").agg(
         F.sum("n").alias("n"), F.min(F.struct("doc_id", "text_key", "lo", "windows", "content")).alias("place"))
     thin_copies = thin.join(thin_classes.where("n > 1").select("anchor", "segment"), ["anchor", "segment"]).select(

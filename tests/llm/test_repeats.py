@@ -101,3 +101,20 @@ def test_suffixes_that_part_after_the_last_rank_in_all_orders():
             gone[t].update(range(start, start + length))
         want = {texts[0]: 300, texts[1]: 235, texts[2]: 300}
         assert [(len(g), max(g)) for g in gone] == [(want[t], want[t] - 1) for t in order]
+
+
+def test_crowded_anchor_with_many_groups_of_copies(spark):
+    """Many texts around one passage, most with a copy of their own, by the tables of windows met and by exact counts."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passage = " ".join(word() for _ in range(45))
+    texts = []
+    for i in range(120):
+        text = " ".join(word() for _ in range(25)) + passage[rng.randrange(20):len(passage) - rng.randrange(20)] + " ".join(word() for _ in range(25))
+        texts += [text] * (2 if i % 3 else 1)
+    rng.shuffle(texts)
+    want = brute(texts, repeats.MIN_LEN)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for many in (2000, 10, 0):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df, many_texts=many).collect()}
+        assert [got[i] for i in range(len(texts))] == want
