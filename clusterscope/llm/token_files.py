@@ -200,9 +200,9 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if w and not w[-1].isspace()]
-        found = {w: self._ids(" " + w).tobytes() for w in words if not w or w[-1].isspace()}
+    def _learn(self, plain: list[str], odd: set[str]) -> dict[str, bytes]:
+        """Ids of new words; ``odd`` ones, empty or with a line feed at their end, one by one."""
+        found = {w: self._ids(" " + w).tobytes() for w in odd}
         if plain:
             texts = [" " + " ".join(plain[i:i + TOGETHER]) for i in range(0, len(plain), TOGETHER)]
             ids = np.concatenate([np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
@@ -210,7 +210,7 @@ class Encoder:
             if len(starts) != len(plain):                # not a file of this kind
                 return found | {w: self._ids(" " + w).tobytes() for w in plain}
             raw, at = ids.tobytes(), (np.append(starts, len(ids)) * ids.itemsize).tolist()
-            found.update((w, raw[a:b]) for w, a, b in zip(plain, at, at[1:]))
+            found.update(zip(plain, [raw[a:b] for a, b in zip(at, at[1:])]))
         return found
 
     def _cut(self, text: str) -> bool:
@@ -224,18 +224,18 @@ class Encoder:
         return (self.marked.sub(f" {CUT}\\1 ", text) if self.marked else text).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, room = self.known, CACHE_WORDS - len(self.known)
         words = [self._words(t) for t in texts]
         asked: set[str] = set()
         for w in words:
             asked.update(islice(w or (), 1, None))
-        learnt = self._learn(list(asked.difference(known)))
-        known.update(learnt)
+        # Only a text's last word can be empty or end in a line feed.
+        odd = {w[-1] for w in words if w and len(w) > 1 and w[-1][-1:] in ("", "\n")}
+        learnt = self._learn(list(asked.difference(self.known, odd)), odd)
+        ids_of = (self.known | learnt).__getitem__
         out = [self._ids(text).tobytes() if w is None else                             # no blank before the first word
-               self._ids(w[0]).tobytes() + b"".join(map(known.__getitem__, islice(w, 1, None))) for text, w in zip(texts, words)]
-        for w in learnt:                                 # the frequent words come early
-            if room <= 0 or len(w) > CACHE_CHARS:
-                del known[w]
+               self._ids(w[0]).tobytes() + b"".join(map(ids_of, islice(w, 1, None))) for text, w in zip(texts, words)]
+        if len(self.known) < CACHE_WORDS:                # the frequent words come early
+            self.known.update((w, x) for w, x in learnt.items() if len(w) <= CACHE_CHARS)
         return out
 
 
