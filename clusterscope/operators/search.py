@@ -109,18 +109,25 @@ def match_scores(queries: DataFrame, impacts: DataFrame, boosts: dict | None = N
     With ``phrases`` (``phrase_impacts`` of the same queries) quoted phrases match
     by adjacency, otherwise by their tokens.
 
-    One equi-join on ``term`` (AQE splits a hot term's partition) and one
-    aggregation, combined map-side, on ``(query_id, domain, page_id)``.
+    Queries bound to a site meet the impacts on ``(domain, term)``, the others
+    on ``term`` (AQE splits a hot term's partition); one aggregation follows,
+    combined map-side, on ``(query_id, domain, page_id)``.
     """
     qt = query_terms(queries, phrases is not None)
     if phrases is not None:
         impacts = impacts.unionByName(phrases, allowMissingColumns=True).na.fill(0.0)
-    m = qt.join(impacts, "term").where(F.col("q_domain").isNull() | (F.col("q_domain") == F.col("domain")))
+    bound = qt.where("q_domain is not null").withColumn("domain", F.col("q_domain")).join(impacts, ["domain", "term"])
+    m = qt.where("q_domain is null").join(impacts, "term").unionByName(bound)
     m = m.select(
         F.when(F.col("q_domain").isNull(), F.concat(F.col("query_id"), F.lit("@"), F.col("domain")))
         .otherwise(F.col("query_id")).alias("query_id"),
         F.col("query_id").alias("base_id"), "domain", "page_id", "req", "proh", "n_req", "qtf",
         (F.col("qtf") * dismax_score(boosts)).alias("s"))
+    return combined_scores(m)
+
+
+def combined_scores(m: DataFrame) -> DataFrame:
+    """Scores of pages from the rows of their matched terms; clauses' conditions applied."""
     g = m.groupBy("query_id", "base_id", "domain", "page_id").agg(
         F.sum("s").alias("score"), F.count(F.when(F.col("req"), 1)).alias("_req"),
         F.max("proh").alias("_proh"), F.max("n_req").alias("_nreq"), F.max(F.col("qtf") > 0).alias("_pos"))
@@ -146,15 +153,23 @@ HIT_COLUMNS = ["query_id", "base_id", "domain", "rank", "page_id", "url", "title
 
 def search(queries: DataFrame, impacts: DataFrame, fields: DataFrame, k: int = TOP_K,
            boosts: dict | None = None, with_highlight: bool = False,
-           passages: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
+           passages: DataFrame | None = None, phrases: DataFrame | None = None,
+           blocks: DataFrame | None = None) -> DataFrame:
     """Q1-Q6 (+Q7/Q8): ``hits(query_id, base_id, domain, rank, page_id, url, title,
     score[, highlight, highlight_str])``; ``base_id`` is the query's own id.
 
     The hits (k per query) meet the page table in one join on
     ``(domain, page_id)``; highlights need the query terms, joined back on the
-    original query id.
+    original query id.  With ``blocks`` (``build_blocks``, which has the boosts
+    in it) only posting blocks that can reach the k-th score are read.
     """
-    top = top_k(match_scores(queries, impacts, boosts, phrases), k)
+    if blocks is not None:
+        from .block_index import block_scores
+
+        scores = block_scores(queries, blocks, impacts, boosts, k)
+    else:
+        scores = match_scores(queries, impacts, boosts, phrases)
+    top = top_k(scores, k)
     pages = fields.select("domain", "page_id", "url", "title").where(F.col("url").isNotNull())
     hits = top.join(pages, ["domain", "page_id"])
     if not with_highlight:

@@ -535,6 +535,25 @@ SELECT domain, term, page_id, round(s_title, 6) AS s_title, round(s_plaintext, 6
        round(s_fulltext, 6) AS s_fulltext FROM impacts"""
     out["search_hits"] = _with(F, I, H) + """
 SELECT query_id, domain, rank, page_id, url, title, round(score, 6) AS score FROM hits"""
+    out["search_top_k"] = out["search_hits"]
+    out["term_vectors"] = _with(F) + f"""
+,
+tv AS (SELECT domain, page_id, term, count(*) AS tf FROM (
+    SELECT domain, page_id, unnest(regexp_extract_all(lower(coalesce(fulltext, '')), {_q(SEARCH_TOK)}, 0)) AS term FROM fields) GROUP BY ALL)
+SELECT domain, page_id, term, CAST(tf AS DOUBLE) AS tf, round(CAST(tf AS DOUBLE) / count(*) OVER (PARTITION BY domain, term), 6) AS tf_idf FROM tv"""
+    clause = ", ".join(f"{float(FIELD_BOOSTS[f])} * i.s_{f}" for f in SEARCH_FIELDS)
+    out["search_clauses"] = _with(F, I) + f"""
+,
+qw AS (SELECT 'b' || CAST(item_id AS VARCHAR) AS base_id, regexp_extract_all(lower(text), {_q(SEARCH_TOK)}, 0) AS w FROM benchmark),
+qc AS (SELECT base_id, w[1] AS must, w[-1] AS never, unnest(list_concat([w[1]], w)) AS term FROM qw),
+qn AS (SELECT base_id, any_value(must) AS must, any_value(never) AS never, term, count(*) AS qtf FROM qc GROUP BY base_id, term),
+sc AS (
+  SELECT q.base_id, i.domain, i.page_id, sum(q.qtf * greatest({clause})) AS score, bool_or(q.term = q.must) AS has, bool_or(q.term = q.never) AS bad
+  FROM qn q JOIN impacts i USING (term) GROUP BY q.base_id, i.domain, i.page_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY base_id, domain ORDER BY round(score, 9) DESC, page_id) AS rank FROM sc WHERE has AND NOT bad)
+SELECT r.base_id || '@' || r.domain AS query_id, r.domain, CAST(r.rank AS INTEGER) AS rank, r.page_id, f.url, round(r.score, 6) AS score
+FROM ranked r JOIN fields f USING (domain, page_id) WHERE r.rank <= 10"""
     best = ", ".join(f"{float(FIELD_BOOSTS[f])} * coalesce(max(CASE WHEN field = '{f}' THEN s END), 0.0)" for f in SEARCH_FIELDS)
     best1 = ", ".join(f"{float(FIELD_BOOSTS[f])} * i.s_{f}" for f in SEARCH_FIELDS)
     out["search_phrases"] = _with(F, I) + f"""

@@ -10,7 +10,6 @@ lost it.
 from __future__ import annotations
 
 import hashlib
-import os
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -42,14 +41,18 @@ def prepare(pages: DataFrame) -> Prepared:
 _TABLES = ("fields", "impacts", "vectors", "norms", "passages")
 
 
-def _key(sf_dir: str) -> str:
-    src = os.path.join(sf_dir, "pages.parquet")
-    stamp = str(os.path.getmtime(src)) if os.path.exists(src) else ""
-    return hashlib.sha1(f"{os.path.abspath(sf_dir)}|{stamp}".encode()).hexdigest()[:16]
+def _key(spark: SparkSession, sf_dir: str) -> str:
+    """A name for the input as it is now: path, size and time of all files of the pages, by the
+    file system that holds them."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/pages.parquet")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listStatus(root) if fs.exists(root) else []
+    stamps = sorted(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}" for f in files)
+    return hashlib.sha1("\n".join([fs.makeQualified(root).toString(), *stamps]).encode()).hexdigest()[:16]
 
 
 def prepared_root(spark: SparkSession, sf_dir: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/clusterscope-prepared/{_key(sf_dir)}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/clusterscope-prepared/{_key(spark, sf_dir)}"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

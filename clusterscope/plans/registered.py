@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CLUSTER_ALGORITHMS, SIM_FIELDS
+from ..operators.block_index import build_blocks
 from ..operators.cluster_small import dbscan_labels
 from ..operators.groups import relabel_noise
 from ..operators.index import build_impacts, build_postings, field_stats
@@ -144,6 +145,33 @@ def q_search_hits(spark, sf_dir):
     return h.select("query_id", "domain", "rank", "page_id", "url", "title", _r("score"))
 
 
+def q_search_top_k(spark, sf_dir):
+    """Q1/Q5 over impact-ordered posting blocks: the hits of every benchmark query on every site, from the
+    blocks that can reach the k-th score."""
+    prep = _prep(spark, sf_dir)
+    valid, _ = load_queries(benchmark_queries(spark, sf_dir))
+    h = search(valid, prep.impacts, prep.fields, blocks=cut(build_blocks(prep.impacts)))
+    return h.select("query_id", "domain", "rank", "page_id", "url", "title", _r("score"))
+
+
+def q_query_clauses(spark, sf_dir):
+    """Q4: every benchmark text with its first word required and its last one prohibited."""
+    prep = _prep(spark, sf_dir)
+    valid, _ = load_queries(benchmark_queries(spark, sf_dir))
+    words = search_tokens(F.col("query"))
+    valid = valid.withColumn("query", F.concat(F.lit("+"), F.element_at(words, 1), F.lit(" "), F.array_join(words, " "), F.lit(" -"), F.element_at(words, -1)))
+    h = search(valid, prep.impacts, prep.fields)
+    return h.select("query_id", "domain", "rank", "page_id", "url", _r("score"))
+
+
+def q_term_vectors(spark, sf_dir):
+    """Tf and tf-idf (tf / df) of every term of every page's full text."""
+    f = _prep(spark, sf_dir).fields
+    tf, idf = term_vectors(f, "fulltext", "tf"), term_vectors(f, "fulltext", "tf-idf")
+    return tf.withColumnRenamed("value", "tf").join(idf.withColumnRenamed("value", "tf_idf"), ["domain", "page_id", "term"]).select(
+        "domain", "page_id", "term", _r("tf"), _r("tf_idf"))
+
+
 def q_search_phrases(spark, sf_dir):
     """Q4: every benchmark text, with its first two words asked for as a phrase too."""
     prep = _prep(spark, sf_dir)
@@ -323,6 +351,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "field_stats": q_field_stats,
         "bm25_impacts": q_bm25_impacts,
         "search_hits": q_search_hits,
+        "search_top_k": q_search_top_k,
+        "search_clauses": q_query_clauses,
+        "term_vectors": q_term_vectors,
         "search_phrases": q_search_phrases,
         "search_highlights": q_search_highlights,
         "flat_search": q_flat_search,

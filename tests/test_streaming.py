@@ -30,3 +30,38 @@ def test_incremental_prepare_matches_batch(spark):
     ib = sorted((r.domain, r.term, r.page_id, round(r.s_plaintext, 9)) for r in build_impacts(batch).collect())
     assert ia == ib
     assert got["vectors"].select("page_id").distinct().count() == batch.count()
+
+
+def test_a_batch_killed_at_any_write_is_replayed_whole(spark, monkeypatch):
+    """Failure before every write of the second batch, then the same batch again: the tables of one undisturbed run."""
+    from clusterscope.streaming import incremental
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    first, second = pages.where("page_id < 20"), pages.where("page_id >= 15")
+    whole = tempfile.mkdtemp(prefix="cs-replay-")
+    incremental.prepare_batch(first, whole, 0)
+    incremental.prepare_batch(second, whole, 1)
+
+    def counts(root):
+        return {n: (t.count(), t.select("page_id").distinct().count()) for n, t in prepared_tables(spark, root).items()}
+    want = counts(whole)
+    assert want["fields"][0] == page_fields(read_pages(spark, SF)).count()
+    write, commit = incremental._write, incremental._commit
+    for dies_at in (*incremental.TABLES, "commit"):
+        root = tempfile.mkdtemp(prefix="cs-replay-")
+        incremental.prepare_batch(first, root, 0)
+
+        def stop(*args):
+            raise RuntimeError("killed")
+        monkeypatch.setattr(incremental, "_write", lambda t, r, n, b: stop() if n == dies_at else write(t, r, n, b))
+        monkeypatch.setattr(incremental, "_commit", stop if dies_at == "commit" else commit)
+        try:
+            incremental.prepare_batch(second, root, 1)
+            raise AssertionError("not killed")
+        except RuntimeError:
+            pass
+        assert counts(root)["fields"][0] == 20                      # as before the batch
+        monkeypatch.setattr(incremental, "_write", write)
+        monkeypatch.setattr(incremental, "_commit", commit)
+        incremental.prepare_batch(second, root, 1)
+        assert counts(root) == want
