@@ -44,12 +44,23 @@ def rank_clusters(clusters: DataFrame, rank_alg: str | None = None) -> DataFrame
     the per-query ``rank_alg`` column (defaults to max_score)."""
     from .registry import get, names
 
+    tables = names("rank_table")
+    if rank_alg is not None and rank_alg.lower() in tables:
+        told = get("rank_table", rank_alg)(clusters).select("query_id", "cluster_id", F.col("metric").alias("_told"))
+        clusters = clusters.join(told, ["query_id", "cluster_id"], "left")
+        w = Window.partitionBy("query_id").orderBy(F.round("_told", 9).desc_nulls_last(), F.col("first_rank").asc())
+        return clusters.withColumn("cluster_rank", F.row_number().over(w)).drop("_told")
     if rank_alg is not None:
         metric = get("rank", rank_alg)(clusters)
     else:
         metric = F.col("score_max")
+        for name in tables:
+            own = F.lower(F.coalesce(F.col("rank_alg"), F.lit("max_score"))) == name
+            told = get("rank_table", name)(clusters.where(own)).select("query_id", "cluster_id", F.col("metric").alias(f"_told_{name}"))
+            clusters = clusters.join(told, ["query_id", "cluster_id"], "left")
+            metric = F.when(own, F.col(f"_told_{name}")).otherwise(metric)
         for name in names("rank"):
             metric = F.when(F.lower(F.coalesce(F.col("rank_alg"), F.lit("max_score"))) == name,
                             get("rank", name)(clusters)).otherwise(metric)
-    w = Window.partitionBy("query_id").orderBy(F.round(metric, 9).desc(), F.col("first_rank").asc())
-    return clusters.withColumn("cluster_rank", F.row_number().over(w))
+    w = Window.partitionBy("query_id").orderBy(F.round(metric, 9).desc_nulls_last(), F.col("first_rank").asc())
+    return clusters.withColumn("cluster_rank", F.row_number().over(w)).drop(*(f"_told_{name}" for name in tables))

@@ -6,6 +6,13 @@
   cluster_id, summary)``.
 * rank plugin: ``fn(clusters) -> Column`` — a per-cluster metric, higher first
   (ties keep first-member order).
+* table cluster plugin (category ``cluster_table``): ``fn(method: str, hits, dist) ->
+  DataFrame(query_id, rank, label)`` — gets the hits and the edge table ``dist(query_id, rank_a,
+  rank_b, d)`` of every group that names it, whatever the groups' size; it takes precedence over a
+  plugin of the same name in ``cluster``.
+* table rank plugin (category ``rank_table``): ``fn(clusters) -> DataFrame(query_id, cluster_id,
+  metric)`` — the same as a rank plugin, as a job of its own (it may join and aggregate); a cluster
+  without a row comes last.
 
 Names are looked up lower-cased; an unknown name raises ``KeyError`` listing
 the known ones.  Cluster plugins are captured by value when a job is built, so
@@ -18,7 +25,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-_REG: dict[str, dict[str, Callable]] = {"cluster": {}, "summary": {}, "rank": {}}
+_REG: dict[str, dict[str, Callable]] = {"cluster": {}, "cluster_table": {}, "summary": {}, "rank": {}, "rank_table": {}}
 
 
 def register(category: str, name: str, fn: Callable) -> None:

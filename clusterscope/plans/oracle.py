@@ -517,6 +517,12 @@ store AS (
     out["similarity_store"] = _with(F, I, H, S, store) + """
 SELECT url1_hash, url2_hash, url1, url2, """ + ", ".join(
         f"round({f}_sim_score, 6) AS {f}_sim_score" for f in SIM_FIELDS) + " FROM store"
+    out["similarity_upsert"] = _with(F, I, H, S) + """
+,
+lead AS (SELECT DISTINCT least(url_a, url_b) AS u, greatest(url_a, url_b) AS v FROM sims WHERE rank_a = 1)
+SELECT query_id, rank_a, rank_b, """ + ", ".join(
+        f"round(CASE WHEN lead.u IS NULL THEN {f}_sim_score ELSE -{f}_sim_score END, 6) + 0.0 AS {f}_sim_score" for f in SIM_FIELDS) + """
+FROM sims LEFT JOIN lead ON lead.u = least(url_a, url_b) AND lead.v = greatest(url_a, url_b)"""
     out["similarity_scan"] = _with(F, I, H, S) + """
 SELECT query_id, rank_a, rank_b, round(d, 6) AS d FROM dist"""
     out["corpus_dbscan"] = _with(F, corpus_ctes(0.1)) + """

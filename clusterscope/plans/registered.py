@@ -21,7 +21,7 @@ from ..operators.groups import relabel_noise
 from ..operators.index import build_impacts, build_postings, field_stats
 from ..operators.labels import rake_summaries
 from ..session import ensure_checkpoint_dir
-from ..sources.similarity_store import canonical_rows, scan
+from ..sources.similarity_store import StoredSimilarities, canonical_rows, scan
 from ..sources.urlmap import read_urlmap, write_urlmap
 from ..functions.text import search_tokens
 from ..operators.lsa import (blurred_field, blurred_terms, fit_lsa, related_terms, singular_values,
@@ -103,6 +103,18 @@ def q_similarity_store(spark, sf_dir):
     return st.select("url1_hash", "url2_hash", "url1", "url2", *[_r(f"{f}_sim_score") for f in SIM_FIELDS])
 
 
+def q_similarity_upsert(spark, sf_dir):
+    """S6 then S7 on the stored table: all hit pairs written, the pairs of the rank 1 hits replaced with
+    scores of their negative, and the hits' distances scanned from the store."""
+    prep, _, h = _hits(spark, sf_dir, materialize=True)
+    pairs = cut(hit_pair_similarity(h, prep.vectors, prep.norms))
+    store = StoredSimilarities(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/clusterscope-store/{uuid.uuid4().hex}")
+    store.upsert(canonical_rows(pairs))
+    store.upsert(canonical_rows(pairs.where("rank_a = 1").select("url_a", "url_b", *[(-F.col(f"{f}_sim_score")).alias(f"{f}_sim_score") for f in SIM_FIELDS])))
+    found = store.scan(h)
+    return found.select("query_id", "rank_a", "rank_b", *[(F.round(f"{f}_sim_score", R) + F.lit(0.0)).alias(f"{f}_sim_score") for f in SIM_FIELDS])
+
+
 def q_similarity_scan(spark, sf_dir):
     prep, _, h = _hits(spark, sf_dir, materialize=True)
     st = cut(canonical_rows(hit_pair_similarity(h, prep.vectors, prep.norms)))
@@ -346,6 +358,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "urlmap": q_urlmap,
         "urlmap_recrawl": q_urlmap_recrawl,
         "similarity_store": q_similarity_store,
+        "similarity_upsert": q_similarity_upsert,
         "similarity_scan": q_similarity_scan,
         "postings": q_postings,
         "field_stats": q_field_stats,
