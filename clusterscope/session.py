@@ -101,6 +101,15 @@ def cut(df):
     return spark.read.parquet(path)
 
 
+def discard(df) -> None:
+    """Delete a table that ``cut`` wrote and that no plan reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/clusterscope-cut/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
 
