@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from clusterscope.llm.graph import components
 from clusterscope.llm.neardup import _confirmed, _merged, _numbered, shingle_hashes
 from clusterscope.llm.texts import mix, row_runs, text_bytes
-from clusterscope.session import cut, ship_package
+from clusterscope.session import cut, discard, ship_package
 
 SHINGLE = 4
 PERCENT = 85
@@ -379,12 +379,18 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, shingle: int
     at = classes.join(placed_in, "node").select("node", "block", "at.*")
     signatures = cut(linkable.select("doc_id", "text_key", F.col("class").alias("node"), F.col("n_shingles").alias("n"), "bits")
                      .join(at, ["doc_id", "text_key", "node"]).select("node", "n", "bits", "block").dropDuplicates(["node"]))
+    # Keys and bitmaps of all rows aren't read again.
+    wide, signed = signed, cut(signed.select("doc_id", "n_shingles", "class"))
+    linkable = signed.where("n_shingles > 0 and doc_id is not null")
+    discard(wide)
     component = cut(hubs.select("node", F.col("node").alias("component")))
     sets = None                                          # full ones, of classes that have been candidates
 
-    def confirm(alike: DataFrame) -> DataFrame:
+    def confirm(alike: DataFrame, last: DataFrame | None = None) -> DataFrame:
         nonlocal sets
         candidates = cut(alike.groupBy("node", "block").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")))
+        if last is not None:
+            discard(last)
         wanted = candidates.select("node").unionByName(candidates.select(F.explode("others").alias("node"))).distinct()
         wanted = wanted if sets is None else wanted.join(sets, "node", "left_anti")
         at = cut(classes.join(wanted, "node").select("node", "at.*"))
@@ -415,7 +421,7 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, shingle: int
     order, tile = ["key", "component", "n", "node"], TILE
     rows = _open(members, component).join(signatures, "node").select("key", "node", "block", "n", "component", "bits")
     tiles = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: _tiles(batches, tile), TILE_SCHEMA))
-    component = confirm(_traversed(tiles, percent))
+    component = confirm(_traversed(tiles, percent), tiles)
 
     # Classes under one doc_id are linked through it.
     of_doc = linkable.select("doc_id", F.col("class").alias("node")).distinct()
