@@ -56,10 +56,10 @@ def test_message_passing_equals_the_group_routine(spark):
     mats = groups(4, 14) | {"even": np.ones((4, 4)) - np.eye(4), "pair": np.array([[0.0, .3], [.3, 0.0]]), "one": np.zeros((1, 1))}
     hits, dist = tables(spark, mats)
     got = {}
-    for r in affinity_labels(hit_similarities(hits, dist), max_iter=60).collect():
+    for r in affinity_labels(hit_similarities(hits, dist), max_iter=30).collect():
         got.setdefault(r.group, {})[r.i] = r.label
     assert {q: [got[q][i + 1] for i in range(len(m))] for q, m in mats.items()} == {
-        q: affinity_propagation_labels(m, max_iter=60).tolist() for q, m in mats.items()}
+        q: affinity_propagation_labels(m, max_iter=30).tolist() for q, m in mats.items()}
 
 
 def test_two_clear_groups_have_two_exemplars():
