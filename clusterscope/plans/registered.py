@@ -307,14 +307,12 @@ def _lsa(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LSA:
         prep = _prep(spark, sf_dir)
-        model = fit_lsa(cut(term_vectors(prep.fields, "fulltext")))
-        model.u, model.terms, model.docs = cut(model.u), cut(model.terms), cut(model.docs)
-        _LSA[key] = model
+        _LSA[key] = fit_lsa(cut(term_vectors(prep.fields, "fulltext")))
     return _LSA[key]
 
 
 def q_lsa_singular_values(spark, sf_dir):
-    return singular_values(spark, _lsa(spark, sf_dir))
+    return singular_values(_lsa(spark, sf_dir))
 
 
 def q_lsa_blurred_field(spark, sf_dir):
