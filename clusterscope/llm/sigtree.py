@@ -42,6 +42,7 @@ HOT_BITS = 22                # size of the table of such tokens, 2 ** 22 bits; a
 LEAST_BITS = 512             # of a bitmap, and of the bitmaps of the upper levels
 LEADERS, LEAD_ROUNDS = 8, 2  # of a bucket of over LEAD_FROM members
 LEAD_FROM = 32
+NEAR_ROUNDS = 2              # rounds in which a candidate meets one block of its partners
 TILE, TILE_BYTES = 256, 1 << 18
 SUB = 16                     # leaves of a node within a tile
 FAN = 32                     # children of a node above the tiles
@@ -355,6 +356,13 @@ def _open(members: DataFrame, component: DataFrame, over: int = 1) -> DataFrame:
     return placed.join(several, "key")
 
 
+def _apart(candidates: DataFrame, component: DataFrame) -> DataFrame:
+    """The candidates (node, block, others) without the others of the node's own component."""
+    at = lambda end: component.toDF(end, f"{end}_c")
+    pairs = candidates.select("node", "block", F.explode("others").alias("other")).join(at("node"), "node").join(at("other"), "other")
+    return pairs.where("node_c <> other_c").groupBy("node", "block").agg(F.collect_list("other").alias("others"))
+
+
 def similarity_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """Components of documents whose word n-gram sets overlap by ``percent`` of their union.
 
@@ -396,10 +404,22 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, shingle: int
         at = cut(classes.join(wanted, "node").select("node", "at.*"))
         new = cut(texts.join(at, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_full_sets(shingle), "node long, shingles array<long>"))
         sets = new if sets is None else sets.unionByName(new)
-        blocks = (sets.join(placed_in, "node").join(candidates.select("block").distinct(), "block", "left_semi")
-                  .groupBy("block").agg(F.collect_list(F.struct("node", "shingles")).alias("held")))
-        links = cut(_confirmed(candidates, sets, blocks, percent))
-        return component if links.isEmpty() else _merged(component, links)
+        # A candidate meets one block of its partners first: what that makes one component isn't compared again.
+        merged, left = component, candidates
+        for step in range(NEAR_ROUNDS + 1):
+            near = left
+            if step < NEAR_ROUNDS:
+                near = cut(left.join(left.groupBy("node").agg(F.min("block").alias("block")), ["node", "block"]))
+            named = near.select("block", F.explode("others").alias("node")).distinct()
+            blocks = sets.join(named, "node").groupBy("block").agg(F.collect_list(F.struct("node", "shingles")).alias("held"))
+            links = cut(_confirmed(near, sets, blocks, percent))
+            if not links.isEmpty():
+                merged = _merged(merged, links)
+            if step < NEAR_ROUNDS:
+                left = cut(_apart(left.join(near.select("node", "block"), ["node", "block"], "left_anti"), merged))
+                if left.isEmpty():
+                    break
+        return merged
 
     for step in range(LEAD_ROUNDS):
         here = cut(_open(members, component, LEAD_FROM).join(signatures.select("node", "n"), "node"))
