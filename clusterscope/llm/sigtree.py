@@ -42,7 +42,7 @@ HOT_BITS = 22                # size of the table of such tokens, 2 ** 22 bits; a
 LEAST_BITS = 512             # of a bitmap, and of the bitmaps of the upper levels
 LEADERS, LEAD_ROUNDS = 8, 2  # of a bucket of over LEAD_FROM members
 LEAD_FROM = 32
-NEAR_ROUNDS = 2              # rounds in which a candidate meets one block of its partners
+NEAR_ROUNDS = 1              # rounds in which a candidate meets one block of its partners
 TILE, TILE_BYTES = 256, 1 << 18
 SUB = 16                     # leaves of a node within a tile
 FAN = 32                     # children of a node above the tiles
@@ -356,6 +356,21 @@ def _open(members: DataFrame, component: DataFrame, over: int = 1) -> DataFrame:
     return placed.join(several, "key")
 
 
+def _likely(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The candidates (node, block, others) without the others that 16 bits of every token rule out: shared
+    values, and tokens beyond the values of the set that has fewer of them, bound the overlap."""
+    short = F.transform("shingles", lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("short"))
+    brief = sets.select("node", F.size("shingles").alias("n"), F.array_distinct(short).alias("brief"))
+    named = candidates.select("block", F.explode("others").alias("node")).distinct()
+    blocks = brief.join(named, "node").groupBy("block").agg(F.collect_list(F.struct("node", "n", "brief")).alias("held"))
+
+    def fits(x):
+        possible = F.size(F.array_intersect("brief", x["brief"])) + F.least(F.col("n") - F.size("brief"), x["n"] - F.size(x["brief"]))
+        return F.array_contains("others", x["node"]) & (possible * (100 + percent) >= (F.col("n") + x["n"]) * percent)
+    kept = F.transform(F.filter("held", fits), lambda x: x["node"])
+    return candidates.join(brief, "node").join(blocks, "block").select("node", "block", kept.alias("others")).where(F.size("others") > 0)
+
+
 def _apart(candidates: DataFrame, component: DataFrame) -> DataFrame:
     """The candidates (node, block, others) without the others of the node's own component."""
     at = lambda end: component.toDF(end, f"{end}_c")
@@ -405,7 +420,7 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, shingle: int
         new = cut(texts.join(at, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_full_sets(shingle), "node long, shingles array<long>"))
         sets = new if sets is None else sets.unionByName(new)
         # A candidate meets one block of its partners first: what that makes one component isn't compared again.
-        merged, left = component, candidates
+        merged, left = component, cut(_likely(candidates, sets, percent))
         for step in range(NEAR_ROUNDS + 1):
             near = left
             if step < NEAR_ROUNDS:
