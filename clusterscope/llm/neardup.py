@@ -13,11 +13,11 @@ five of them.  ``banding`` and ``slack`` give the same chances at other threshol
 
 A bucket of m classes does not become m * m pairs.  Members are compared
 with the bucket's leaders: first with one, then, where a bucket still holds
-more than one component, with the next 15, 240, ... until it holds one component
-or everything in it has been compared.  So large groups of copies cost
-a few comparisons each, and no link between components is left out.  A member meets
-its leaders in one row, what it looks like is gathered per member, not per pair, and
-the full sets are compared block by block, so that only links become rows.
+more than one component, with 16 (if any is large), then its components' members with each other.
+So large groups of copies cost a few comparisons each, and no link between components is left
+out.  A member meets its leaders in one row, then ``CHUNK`` members meet as many (of one component
+alone they don't); what a member looks like is gathered per member, not per pair, and the full sets
+are compared block against block, so that only links become rows.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ from clusterscope.llm.texts import ASCII_LOWER, Rolling, mix, row_runs, text_byt
 from clusterscope.session import cut, ship_package
 
 BANDS, ROWS, BITS = 48, 8, 2
-STEP, LEADERS = 16, 256      # growth of the number of leaders; leaders in a row
-BLOCK = 32                   # classes whose sets are read together
+LEADERS = 1, 16              # of a bucket, in the rounds before the last
+FEW = 2048                   # members of the largest bucket up to which the rounds before the last but the first are left out
+CHUNK = 128                  # members of a bucket that meet others in one row
+BLOCK = 32                   # classes whose sets are read together, 64 at most
 SHINGLE = 5
 PERCENT = 85
 SLACK = 0.11
@@ -150,6 +152,29 @@ def estimated_similarity(mine: Callable[[str], Column], other: Callable[[str], C
     return (1 - differ / F.lit(BANDS * ROWS) - chance) / (1 - chance)
 
 
+def _alike(least: float):
+    """(node, alike) of the members of two chunks of a bucket (of one, if ``same``) that lie in different components."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd, chance = np.uint64(0x5555555555555555), 1 / (1 << BITS)
+        for batch in batches:
+            same = batch.column("same").to_pylist()
+            for i in range(len(batch)):
+                x, y = (_rows_of(batch.column(c), i) for c in ("held_a", "held_b"))
+                differ = np.zeros((len(x["node"]), len(y["node"])), np.int64)
+                for w in range(_WORDS):
+                    d = x[f"low{w}"].view(np.uint64)[:, None] ^ y[f"low{w}"].view(np.uint64)[None, :]
+                    differ += np.bitwise_count((d | (d >> np.uint64(1))) & odd)
+                fits = ((1 - differ / (BANDS * ROWS) - chance) / (1 - chance) >= least) & (x["component"][:, None] != y["component"][None, :])
+                if same[i]:
+                    fits = np.tril(fits, -1)
+                nodes = np.flatnonzero(fits.any(axis=1))
+                m, k = np.nonzero(fits[nodes])
+                ends = np.searchsorted(m, np.arange(len(nodes) + 1)).astype(np.int32)
+                entries = pa.StructArray.from_arrays([pa.array(y["block"][k], pa.int64()), pa.array(y["node"][k], pa.int64())], names=["block", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(x["node"][nodes], pa.int64()), pa.ListArray.from_arrays(ends, entries)], names=["node", "alike"])
+    return run
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block number for every ``BLOCK`` neighbouring rows of a partition."""
     base, seen = TaskContext.get().partitionId() << 40, 0
@@ -158,15 +183,81 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen += len(batch)
 
 
-def _confirmed(candidates: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among ``candidates(node, block, others)``, by the full sets."""
-    mine = sets.select("node", F.col("shingles").alias("own"))
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a node looks like, block by block: (node, block, others)."""
+    for batch in batches:
+        out: list[tuple[int, int, np.ndarray]] = []
+        lists = batch.column("alike")
+        for i, node in enumerate(batch.column("node").to_pylist()):
+            entries = lists[i].values
+            at, other = (np.unique(np.stack([entries.field(c).to_numpy() for c in ("block", "other")]), axis=1))
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            out.extend((node, int(at[k]), part) for k, part in zip(first, np.split(other, first[1:])))
+        yield _candidate_batch(out)
+
+
+def _candidate_batch(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    nodes, blocks, others = zip(*rows) if rows else ((), (), ())
+    ends = np.cumsum([0, *map(len, others)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *others]), pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blocks, pa.int64()), lists], names=["node", "block", "others"])
+
+
+CANDIDATE_SCHEMA = "node long, block long, others array<long>"
+
+
+def shared_tokens(held: list[np.ndarray], own: list[np.ndarray]) -> np.ndarray:
+    """The number of tokens that each set of ``own`` shares with each of ``held``; at most 64 of them, all without repeats."""
+    tokens, owner = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint64), [len(s) for s in held])
+    order = np.argsort(tokens, kind="stable")
+    tokens, bit = tokens[order], np.left_shift(np.uint64(1), owner[order])
+    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[:len(tokens)])
+    if not len(first):
+        return np.zeros((len(own), len(held)), np.int64)
+    tokens, holders = tokens[first], np.bitwise_or.reduceat(bit, first)      # bit j: set j holds the token
+    out = np.zeros((len(own), len(held)), np.int64)
+    for i, s in enumerate(own):
+        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+        met = holders[at[tokens[at] == s]]
+        out[i] = np.unpackbits(met.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)[:len(held)]
+    return out
+
+
+def _rows_of(column: pa.Array, i: int, *lists: str) -> dict[str, list | np.ndarray]:
+    """The fields of the structs in row ``i`` of a list column, those of ``lists`` as an array per struct."""
+    structs = column[i].values
+    out: dict[str, list | np.ndarray] = {}
+    for k in range(structs.type.num_fields):
+        name, field = structs.type.field(k).name, structs.field(k)
+        if name in lists:
+            ends, values = field.offsets.to_numpy(), field.values.to_numpy()
+            out[name] = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        else:
+            out[name] = field.to_numpy()
+    return out
+
+
+def _linked(percent: int):
+    """Links (a, b) of what a row holds of two blocks: ``mine`` (node, own, others) and ``held`` (node, shingles)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                mine, held = _rows_of(batch.column("mine"), i, "own", "others"), _rows_of(batch.column("held"), i, "shingles")
+                shared = shared_tokens(held["shingles"], mine["own"])
+                n_own, n_held = (np.array([len(s) for s in sets], np.int64) for sets in (mine["own"], held["shingles"]))
+                links = shared * 100 >= (n_own[:, None] + n_held[None, :] - shared) * percent
+                links &= np.stack([np.isin(held["node"], others) for others in mine["others"]])
+                x, y = np.nonzero(links)
+                yield pa.RecordBatch.from_arrays([pa.array(mine["node"][x], pa.int64()), pa.array(held["node"][y], pa.int64())], names=["a", "b"])
+    return run
+
 
-    def linked(x):
-        shared = F.size(F.array_intersect("own", x["shingles"]))
-        return F.array_contains("others", x["node"]) & (shared * 100 >= (F.size("own") + F.size(x["shingles"]) - shared) * percent)
-    found = F.transform(F.filter("held", linked), lambda x: x["node"])
-    return candidates.join(mine, "node").join(blocks, "block").select(F.col("node").alias("a"), F.explode(found).alias("b"))
+def _confirmed(candidates: DataFrame, sets: DataFrame, blocks: DataFrame, placed_in: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among ``candidates(node, block, others)``, by the full sets.  Two blocks meet in one row,
+    whatever the number of their candidates; ``placed_in(node, block)`` names each node's own."""
+    mine = sets.join(placed_in.select("node", F.col("block").alias("from")), "node").select("node", "from", F.col("shingles").alias("own"))
+    met = candidates.join(mine, "node").repartition("block").groupBy("block", "from").agg(F.collect_list(F.struct("node", "own", "others")).alias("mine"))
+    return met.join(blocks, "block").select("mine", "held").mapInArrow(_linked(percent), "a long, b long")
 
 
 def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
@@ -213,34 +304,42 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                .mapInArrow(_sets, "node long, shingles array<long>"))
     blocks = cut(sets.join(placed_in, "node").groupBy("block").agg(F.collect_list(F.struct("node", "shingles")).alias("held")))
 
-    compared, leaders = 0, 1
-    while True:
-        placed = cut(members.join(component, "node").join(lows, "node"))
-        open_ = cut(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                              F.count("*").alias("size")).where(f"lo <> hi and size > {compared}").select("key"))
-        if open_.isEmpty():
-            break
-        placed = placed.join(open_, "key")
+    for leaders in (*LEADERS, None):
+        placed = members.join(component, "node")
+        if leaders != 1:                                 # at first every bucket is open
+            open_ = cut(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi"))
+            largest = open_.agg(F.max("size")).first()[0]
+            if not largest:
+                break
+            members = members.join(open_.select("key"), "key")
+            if leaders and largest <= FEW:
+                continue
+            placed = placed.join(open_.select("key"), "key")
+        placed = placed.join(lows, "node")
+        placed = cut(placed) if leaders else placed
         packed = F.struct("node", "component", "block", *low)
-        if leaders == 1:
-            lead = placed.groupBy("key").agg(F.min(packed).alias("l")).select("key", F.array("l").alias("leaders"))
+        # A row per member and its leaders or per two CHUNKs, not per pair; then a row per member with those that look alike.
+        if leaders:
+            if leaders == 1:
+                lead = placed.groupBy("key").agg(F.min(packed).alias("l")).select("key", F.array("l").alias("leaders"))
+            else:
+                rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+                lead = placed.withColumn("rank", rank).where(f"rank <= {leaders}").groupBy("key").agg(F.collect_list(packed).alias("leaders"))
+            alike = F.filter("leaders", lambda l: (l["component"] != F.col("component")) & (
+                estimated_similarity(F.col, lambda name: l[name]) >= percent / 100 - slack(percent)))
+            met = placed.join(cut(lead), "key").select("node", F.transform(alike, lambda l: F.struct(l["block"].alias("block"), l["node"].alias("other"))).alias("alike"))
         else:
-            rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-            lead = (placed.withColumn("rank", rank).where(f"rank <= {leaders}").where(f"rank > {compared}")
-                    .groupBy("key", F.expr(f"rank div {LEADERS}").alias("part")).agg(F.collect_list(packed).alias("leaders")).drop("part"))
-        # A row per member and LEADERS leaders, not per pair; then a row per member with those that look alike.
-        alike = F.filter("leaders", lambda l: (l["component"] != F.col("component")) & (
-            estimated_similarity(F.col, lambda name: l[name]) >= percent / 100 - slack(percent)))
-        met = (placed.join(cut(lead), "key").select("node", F.transform(alike, lambda l: F.struct(l["block"].alias("block"), l["node"].alias("other"))).alias("alike"))
-               .where(F.size("alike") > 0).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("alike"))).alias("alike")))
-        in_blocks = F.transform(F.array_distinct(F.col("alike.block")), lambda b: F.struct(
-            b.alias("block"), F.transform(F.filter("alike", lambda e: e["block"] == b), lambda e: e["other"]).alias("others")))
-        candidates = cut(met.select("node", F.inline(in_blocks)))
-        links = cut(_confirmed(candidates, sets, blocks, percent))
+            rank = F.row_number().over(Window.partitionBy("key").orderBy("component", "node"))
+            chunks = cut(placed.withColumn("rank", rank).withColumn("part", F.expr(f"(rank - 1) div {CHUNK}"))
+                         .groupBy("key", "part").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_list(packed).alias("held")))
+            a, b = (chunks.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("part", "lo", "hi", "held"))) for end in "ab")
+            met = (a.join(b, "key").where("part_b <= part_a and least(lo_a, lo_b) < greatest(hi_a, hi_b)").select((F.col("part_a") == F.col("part_b")).alias("same"), "held_a", "held_b")
+                   .mapInArrow(_alike(percent / 100 - slack(percent)), "node long, alike array<struct<block: long, other: long>>"))
+        met = met.where(F.size("alike") > 0).groupBy("node").agg(F.flatten(F.collect_list("alike")).alias("alike"))
+        candidates = cut(met.mapInArrow(_by_block, CANDIDATE_SCHEMA))
+        links = cut(_confirmed(candidates, sets, blocks, placed_in, percent))
         if not links.isEmpty():
             component = _merged(component, links)
-        members = members.join(open_, "key", "left_semi")
-        compared, leaders = leaders, leaders * STEP
 
     # Classes that hold one doc_id are one node.
     held = linkable.select("doc_id", "set1", "set2").distinct()

@@ -427,7 +427,7 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, shingle: int
                 near = cut(left.join(left.groupBy("node").agg(F.min("block").alias("block")), ["node", "block"]))
             named = near.select("block", F.explode("others").alias("node")).distinct()
             blocks = sets.join(named, "node").groupBy("block").agg(F.collect_list(F.struct("node", "shingles")).alias("held"))
-            links = cut(_confirmed(near, sets, blocks, percent))
+            links = cut(_confirmed(near, sets, blocks, placed_in, percent))
             if not links.isEmpty():
                 merged = _merged(merged, links)
             if step < NEAR_ROUNDS:
