@@ -21,6 +21,7 @@ from clusterscope.session import cut
 SPAN = 10
 GRAM = 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ONE_BYTE_WORD = r"[a-z0-9\uFFFD]+"        # the same in texts of one-byte characters, or of bytes that are none, and faster
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PLACE_BITS = 30              # of a packed fingerprint; the rest is the gram's hash
 
@@ -28,8 +29,9 @@ PLACE_BITS = 30              # of a packed fingerprint; the rest is the gram's h
 def words(text: Column) -> Column:
     """Words of the text, with A-Z (and no other letters) in lower case; none if it is null."""
     one_byte = F.octet_length(text) == F.char_length(text)
-    low = F.when(one_byte, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.coalesce(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    found = F.when(one_byte, F.regexp_extract_all(F.lower(text), F.lit(ONE_BYTE_WORD), F.lit(0))).otherwise(
+        F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def fingerprints(rows: DataFrame, gram: int, span: int) -> DataFrame:
@@ -39,8 +41,7 @@ def fingerprints(rows: DataFrame, gram: int, span: int) -> DataFrame:
     of a window is its least hash, leftmost."""
     grams = F.transform(
         F.slice("hashes", 1, F.greatest(F.size("hashes") - (gram - 1), F.lit(0))),
-        lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, *(F.get("hashes", i + t) for t in range(1, gram))), PLACE_BITS),
-                                 PLACE_BITS) + i)
+        lambda x, i: F.xxhash64(x, *(F.get("hashes", i + t) for t in range(1, gram))).bitwiseAND(F.lit(-1 << PLACE_BITS)).bitwiseOR(i))
     width = span - gram + 1
     least = F.array_distinct(F.transform(
         F.slice("grams", 1, F.greatest(F.size("grams") - (width - 1), F.lit(0))),
