@@ -119,7 +119,7 @@ def _ranks(symbols: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
         key = (key << 9) | padded[t:t + n]
     out = []
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)                          # equal keys get one rank, in whatever order
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
