@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterscope.llm.graph import components
-from clusterscope.llm.neardup import _confirmed, _merged, _numbered, shingle_hashes
+from clusterscope.llm.neardup import CANDIDATE_SCHEMA, _by_block, _confirmed, _merged, _numbered, shingle_hashes
 from clusterscope.llm.texts import mix, row_runs, text_bytes
 from clusterscope.session import cut, discard, ship_package
 
@@ -272,14 +272,15 @@ def _within(percent: int):
         for batch in batches:
             for row in batch.to_pylist():
                 other = Tile({c: row[f"b_{c}"] for c in _LEAF}) if row.get("b_nodes") is not None else None
-                found = list(traverse(Tile(row), other, percent))
-                cols = list(zip(*found)) if found else [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))],
-                                                 names=["node", "block", "others"])
+                found: dict[int, list[dict]] = {}        # a row per node, however many blocks its likes lie in
+                for node, block, others in traverse(Tile(row), other, percent):
+                    found.setdefault(node, []).extend({"block": block, "other": o} for o in others)
+                kind = pa.list_(pa.struct([("block", pa.int64()), ("other", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), kind)], names=["node", "alike"])
     return run
 
 
-ALIKE_SCHEMA = "node long, block long, others array<long>"
+ALIKE_SCHEMA = "node long, alike array<struct<block: long, other: long>>"
 
 
 def _may_link(percent: int):
@@ -292,7 +293,8 @@ def _may_link(percent: int):
 
 
 def _traversed(tiles: DataFrame, percent: int) -> DataFrame:
-    """(node, block, others) of all pairs of leaves, in one bucket and not in one component, that may link."""
+    """(node, alike: block, other) of all pairs of leaves, in one bucket and not in one component, that may link;
+    a node has a row for each two tiles."""
     alike = tiles.where("low_c < high_c").select(*_LEAF).mapInArrow(_within(percent), ALIKE_SCHEMA)
     summary = tiles.drop(*_LEAF)
     if (summary.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) < 2:
@@ -456,7 +458,8 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT, shingle: int
     order, tile = ["key", "component", "n", "node"], TILE
     rows = _open(members, component).join(signatures, "node").select("key", "node", "block", "n", "component", "bits")
     tiles = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: _tiles(batches, tile), TILE_SCHEMA))
-    component = confirm(_traversed(tiles, percent), tiles)
+    gathered = _traversed(tiles, percent).groupBy("node").agg(F.flatten(F.collect_list("alike")).alias("alike"))
+    component = confirm(gathered.mapInArrow(_by_block, CANDIDATE_SCHEMA), tiles)
 
     # Classes under one doc_id are linked through it.
     of_doc = linkable.select("doc_id", F.col("class").alias("node")).distinct()

@@ -55,3 +55,15 @@ def test_words_of_one_byte_texts_are_the_same_by_either_pattern(spark):
     got = {r.i: r.w for r in df.select("i", decontaminate.words(df.t).alias("w")).collect()}
     assert got == {i: re.findall(decontaminate.WORD, (t or "").translate(low)) for i, t in enumerate(texts)}
     assert re.fullmatch(decontaminate.ONE_BYTE_WORD, "a9")
+
+
+def test_a_node_has_one_row_for_two_tiles_however_many_blocks():
+    from clusterscope.llm import sigtree
+
+    sets = [np.unique(np.append(np.arange(100, dtype=np.uint64) << np.uint64(24), np.uint64(1 << 40) + np.uint64(i))) for i in range(12)]
+    row = {"nodes": list(range(12)), "blocks": list(range(100, 112)), "sizes": [len(s) for s in sets], "components": list(range(12)),
+           "bits": [sigtree.bitmap(s).tobytes() for s in sets]}
+    out = list(sigtree._within(85)(iter([pa.RecordBatch.from_pylist([row])])))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert sorted(r["node"] for r in rows) == list(range(11))
+    assert {(r["node"], e["other"]) for r in rows for e in r["alike"]} == {(i, j) for i in range(12) for j in range(i + 1, 12)}
