@@ -147,3 +147,57 @@ def test_stored_patterns_are_restored():
 def test_pages_that_name_themselves_share_a_pattern():
     pages = [story(n).replace("<body>", f"<body class='single postid-{5000 + n}'>") for n in range(40)]
     assert len(wrappers.infer(pages)["expression"]) == len(wrappers.infer(pages[:8])["expression"])
+
+
+def test_wide_sequences_are_matched_whole():
+    # 1,600 unlike elements each: more cells than a table of both sides may have had
+    part = lambda n, i: f"<h2 class=k{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{chr(97 + i // 260)}>part {i} of {n}</h2>"
+    pages = ["<div class=col>" + "".join(part(n, i) for i in range(1600) if i % 7 != n) + "</div>" for n in range(3)]
+    pattern = wrappers.packed(wrappers.merged([wrappers.read(page) for page in pages]))
+    for page in pages:
+        found = list(wrappers.matched(pattern, page))
+        assert len(found) > 1300 and all(how in ("slot", "fixed") for _, _, how in found)
+
+
+@pytest.mark.parametrize("bits", [0, 64, 1 << 26])
+def test_matching_and_alignment_against_regular_expressions_and_tables(monkeypatch, bits):
+    import random
+
+    monkeypatch.setattr(wrappers, "ROW_BITS", bits)
+    draw = random.Random(7)
+    seen = 0
+    for _ in range(2000):
+        pattern, nodes = [], []
+        for _ in range(draw.randint(0, 6)):
+            optional, repeated = draw.random() < 0.5, draw.random() < 0.5
+            if draw.random() < 0.4:
+                pattern.append(["#", draw.choice([None, "x", "y"]), optional, True])
+                turns = [("#", [pattern[-1][1] or draw.choice("xyz")])]
+            else:
+                pattern.append(["<>", [[draw.choice("ab"), None] for _ in range(draw.randint(1, 3))], repeated, optional])
+                turns = [(s, []) for s, _ in pattern[-1][1]] * (draw.randint(1, 3) if repeated else 1)
+            nodes += turns if not optional or draw.random() < 0.5 else []
+        if draw.random() < 0.3:
+            draw.shuffle(nodes)
+        written = "".join(("[xyz]" if p[1] is None else p[1]) + "?" * p[2] if p[0] == "#" else
+                          "(" + "".join(s for s, _ in p[1]) + ")" + {(True, True): "*", (True, False): "+", (False, True): "?", (False, False): ""}[p[2], p[3]]
+                          for p in pattern)
+        good = re.fullmatch(written, "".join(x[1][0] if x[0] == "#" else x[0] for x in nodes)) is not None
+        fit = wrappers._fit(pattern, nodes)
+        assert (fit is not None) == good and (fit is None or len(fit) == len(nodes))
+        seen += good
+        a, b = ([draw.choice("abcd") for _ in range(draw.randint(0, 9))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        pairs = wrappers._longest(a, b)
+        assert len(pairs) == table[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(x < y and z < w for (x, z), (y, w) in zip(pairs, pairs[1:]))
+    assert seen > 500
+
+
+def test_wide_alignment_is_longest():
+    # the first element stands at the end of the other side: taken first it would leave nothing for the others
+    keys = [f"k{i}" for i in range(1500)]
+    assert len(wrappers._longest(keys, ["z", *keys[1:], keys[0]])) == 1499
