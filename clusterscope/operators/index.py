@@ -78,6 +78,18 @@ def bm25_tf(tf, dl, avgdl, k1: float = BM25_K1, b: float = BM25_B):
     return (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * dl / avgdl))
 
 
+def term_frequencies(fields: DataFrame, columns: tuple = SEARCH_FIELDS) -> DataFrame:
+    """``(domain, term, page_id, tf_<field>..., dl_<field>..., first_<field>...)``."""
+    t = field_tokens(by_page(fields), columns)
+    return t.groupBy("domain", "term", "page_id").agg(*[
+        a for f in columns for a in (
+            F.count(F.when(F.col("field") == f, 1)).alias(f"tf_{f}"),
+            F.max(F.when(F.col("field") == f, F.col("dl"))).alias(f"dl_{f}"),
+            # the row holding a page-field's first token carries its length once
+            F.max(F.when((F.col("field") == f) & (F.col("pos") == 0), F.col("dl"))).alias(f"first_{f}"))
+    ])
+
+
 def build_impacts(fields: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
                   columns: tuple = SEARCH_FIELDS) -> DataFrame:
     """Q3: ``impacts(domain, term, page_id, s_title, s_plaintext, s_fulltext)``.
@@ -90,14 +102,11 @@ def build_impacts(fields: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
     join (AQE), never one giant window partition.  Field statistics are one
     row per site (broadcast once AQE has measured them).
     """
-    t = field_tokens(by_page(fields), columns)
-    tf = cut(t.groupBy("domain", "term", "page_id").agg(*[
-        a for f in columns for a in (
-            F.count(F.when(F.col("field") == f, 1)).alias(f"tf_{f}"),
-            F.max(F.when(F.col("field") == f, F.col("dl"))).alias(f"dl_{f}"),
-            # the row holding a page-field's first token carries its length once
-            F.max(F.when((F.col("field") == f) & (F.col("pos") == 0), F.col("dl"))).alias(f"first_{f}"))
-    ]))
+    return impacts_of(cut(term_frequencies(fields, columns)), k1, b, columns)
+
+
+def impacts_of(tf: DataFrame, k1: float = BM25_K1, b: float = BM25_B, columns: tuple = SEARCH_FIELDS) -> DataFrame:
+    """``build_impacts`` from its written ``term_frequencies``."""
     df = tf.groupBy("domain", "term").agg(*[
         F.count(F.when(F.col(f"tf_{f}") > 0, 1)).alias(f"df_{f}") for f in columns])
     # per-site field statistics from the same aggregate (no second tokenisation)
@@ -106,7 +115,8 @@ def build_impacts(fields: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
             F.count(F.col(f"first_{f}")).alias(f"n_{f}"),
             (F.sum(F.col(f"first_{f}")) / F.count(F.col(f"first_{f}"))).alias(f"avgdl_{f}"))
     ])
-    j = tf.join(df, ["domain", "term"]).join(fs, "domain")
+    # the statistics meet a site's terms first: all postings would be dealt out by site
+    j = tf.join(df.join(fs, "domain"), ["domain", "term"])
     return j.select("domain", "term", "page_id", *[
         F.when(F.col(f"tf_{f}") > 0,
                bm25(F.col(f"tf_{f}"), F.col(f"df_{f}"), F.col(f"dl_{f}"), F.col(f"n_{f}"),

@@ -10,16 +10,15 @@ lost it.
 from __future__ import annotations
 
 import hashlib
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.index import build_impacts
+from ..operators.index import build_impacts, impacts_of, term_frequencies
 from ..operators.pages import page_fields
 from ..operators.search import page_passages
 from ..operators.similarity import page_norms, page_vectors, shared_vectors
-from ..session import ensure_checkpoint_dir, parallelism, spread
+from ..session import cut, discard, ensure_checkpoint_dir, parallelism, released, spread
 from ..sources.tables import read_pages
 
 
@@ -68,21 +67,19 @@ def materialize(spark: SparkSession, sf_dir: str, force: bool = False) -> Prepar
     root = prepared_root(spark, sf_dir)
     todo = [n for n in _TABLES if force or not _exists(spark, f"{root}/{n}")]
     if todo:
-        # the page fields feed every other table: write them first and derive
-        # the rest from the written copy, as independent concurrent jobs
-        n = parallelism(spark)
+        # the page fields feed every other table: they are written first, dealt by page, and the rest is
+        # derived from the written copy, one table after the other, so that only one table's shuffle files lie there
+        def write(name: str, table: DataFrame) -> None:
+            with released(spark):
+                table.write.mode("overwrite").parquet(f"{root}/{name}")
+
         pages = spread(read_pages(spark, sf_dir), "page_id")
-        prepare(pages).fields.repartition(n, "domain", "page_id").write.mode("overwrite").parquet(f"{root}/fields")
+        write("fields", page_fields(pages).repartition(parallelism(spark), "domain", "page_id"))
         fields = spark.read.parquet(f"{root}/fields")
-        derived = Prepared(fields=fields, impacts=build_impacts(fields),
-                           vectors=shared_vectors(page_vectors(fields)), norms=page_norms(fields),
-                           passages=page_passages(fields))
-        # written as n files each (keyed like their later joins), so later scans
-        # are parallel even when the tables are small
-        keys = {"impacts": ("domain", "term"), "vectors": ("domain", "page_id"),
-                "norms": ("domain", "page_id"), "passages": ("domain", "page_id")}
-        with ThreadPoolExecutor(max_workers=len(keys)) as pool:
-            for f in [pool.submit(lambda t=t, k=k: getattr(derived, t).repartition(n, *k).write.mode("overwrite")
-                                  .parquet(f"{root}/{t}")) for t, k in keys.items()]:
-                f.result()
+        write("norms", page_norms(fields))
+        write("passages", page_passages(fields))
+        write("vectors", shared_vectors(page_vectors(fields)))
+        tf = cut(term_frequencies(fields))
+        write("impacts", impacts_of(tf))
+        discard(tf)
     return Prepared(*[spark.read.parquet(f"{root}/{n}") for n in _TABLES])
