@@ -31,3 +31,22 @@ def test_no_row_per_query_and_page_is_shuffled(spark):
     fields = impacts.select("domain", "page_id").distinct()
     found = page_search.best_pages(query_terms(queries), impacts, fields, dismax_score(), 5)
     assert found.count() <= 5 * -(-2000 // page_search.PAGES)
+
+
+def test_a_cell_keeps_the_best_of_all_its_blocks(spark, monkeypatch):
+    """Blocks lie by in a file, and what leaves a cell does not grow with them: 125 blocks of 16 pages."""
+    monkeypatch.setattr(page_search, "PAGES", 16)
+    monkeypatch.setattr(page_search, "QUERIES", 2)
+    monkeypatch.setattr(page_search, "HELD", 1)
+    monkeypatch.setattr(page_search, "MERGED", 8)
+    rows = [(d, t, p, float(p % 7), 0.0, 0.5) for d in ("a.org", "b.org") for t in ("x", "y") for p in range(2000)]
+    impacts = spark.createDataFrame(rows, "domain string, term string, page_id long, s_title double, s_plaintext double, s_fulltext double")
+    queries = spark.createDataFrame([(f"q{i}", None, "x y" if i % 2 else "x") for i in range(7)], "query_id string, domain string, query string")
+    fields = impacts.select("domain", "page_id").distinct()
+    found = page_search.best_pages(query_terms(queries), impacts, fields, dismax_score(), 5).collect()
+    assert len(found) <= 5 * 7 * 2 * 16
+    best = [p for p in range(2000) if p % 7 == 6][:5]
+    for q in range(7):
+        for d in ("a.org", "b.org"):
+            mine = sorted((-r.score, r.page_id) for r in found if r.query_id == f"q{q}@{d}")[:5]
+            assert mine == [(-18.0 * (1 + q % 2), p) for p in best]
